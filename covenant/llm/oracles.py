@@ -29,6 +29,49 @@ SELECT doc_id, size, words AS source_size, target,
 FROM p
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1 = f"""
+WITH d AS (
+    SELECT doc_id, {_TERMS} AS w FROM documents
+), i AS (
+    SELECT item_id, {_TERMS} AS w FROM benchmark
+), p AS (
+    SELECT DISTINCT item_id, list_slice(w, k, k + least(10, len(w)) - 1) AS words, least(10, len(w)) AS n
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS k FROM i WHERE len(w) > 0)
+), sizes AS (
+    SELECT DISTINCT n FROM p
+), g AS (
+    SELECT doc_id, k, n, list_slice(w, k, k + n - 1) AS words
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)
+), hits AS (
+    SELECT g.doc_id, g.k, g.n, p.item_id FROM g JOIN p ON g.words = p.words
+), places AS (
+    SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM hits) GROUP BY doc_id
+), items AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP5 = f"""
+WITH l AS (
+    SELECT doc_id, k, lines[k] AS line, trim({_LOWER.replace("coalesce(text, '')", "lines[k]")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key
+    FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+), f AS (
+    SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), m AS (
+    SELECT l.*, f.key IS NOT NULL AND doc_id <> keeper AS gone FROM l LEFT JOIN f ON l.key = f.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
 OP9 = """
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER t AS kept,
     sha256(coalesce(text, '')) AS text_sha256
@@ -36,4 +79,4 @@ FROM documents
 WINDOW t AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op3_mixing": OP3, "op9_exact_dedup": OP9}
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op5_line_dedup": OP5, "op9_exact_dedup": OP9}
