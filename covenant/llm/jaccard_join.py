@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.shared import SPACES, WordHasher, connected_components, materialized, mixed, n_slices, rows_of
+from covenant.llm.shared import SPACES, WordHasher, connected_components, materialized, mixed, n_slices, rows_of, rows_without
 
 WORDS = 5
 #: Links are where PARTS * shared >= NEED * all.
@@ -269,8 +269,7 @@ def jaccard_components(docs: DataFrame, rounds: int = 2, sample_docs: int = 8000
     total = classes.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
     copies = prints.join(classes.where("n > 1"), key).where("doc_id <> rep").select("doc_id").distinct()
     copies = materialized(copies, "shingle-copies")
-    few = copies.limit(1_000_001).count() <= 1_000_000
-    reps = docs.where("doc_id is not null").join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
+    reps = rows_without(docs.where("doc_id is not null"), copies)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(reps, total["n"], sample_docs))
     slices = max(n_slices(docs.sparkSession), (total["shingles"] or 0) // (4 * slice_rows))
     packed = reps.mapInArrow(_windows(frequent, slices), "slice int, h binary, doc binary, size binary")

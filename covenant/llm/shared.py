@@ -42,9 +42,17 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
 def rows_of(df: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
     """The rows of df whose key is in ids. Up to ``most`` ids, which are counted first, are sent to
     the rows; beyond that both sides are shuffled."""
+    return df.join(_counted(ids, key, most), key, "left_semi")
+
+
+def rows_without(df: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
+    """The rows of df whose key isn't in ids, in the same way."""
+    return df.join(_counted(ids, key, most), key, "left_anti")
+
+
+def _counted(ids: DataFrame, key: str, most: int) -> DataFrame:
     ids = ids.select(key).distinct()
-    few = ids.limit(most + 1).count() <= most
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
 def n_slices(spark: SparkSession, least: int = 32) -> int:
