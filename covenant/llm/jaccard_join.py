@@ -9,7 +9,9 @@ would cross borders; a document at distance 1/4 lacks at most a quarter of the s
 of the first quarter, and one more, replicates it to every region in which a link can be met first.
 
 Regions then join recursively. In each, the document of least id is the pivot, and its distance to
-every other is a candidate pair; pairs are verified exactly and linked documents become components.
+every other is a candidate pair; pairs are verified and linked documents become components. Verifying is
+exact: a sketch of each set, whose distance is never more than the sets' own, rules most pairs out,
+and the whole sets of the rest are compared.
 Regions that hold several components still go on to the next pivot, and after ``rounds`` of those all
 pairs of documents of different components and fitting sizes are verified. Copies by the thousand so
 cost a pair each and not a pair of pairs, and no link between components is missed.
@@ -37,6 +39,7 @@ from covenant.llm.shared import SPACES, WordHasher, connected_components, materi
 WORDS = 5
 #: Links are where PARTS * shared >= NEED * all.
 NEED, PARTS = 75, 100
+SKETCH = 256
 
 
 def shingle_sets(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,10 +90,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         values, at = shingle_sets(hasher, b.column("text"))
         f1, f2 = _sums(values, at), _sums(mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(at)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))], ["doc_id", "n_shingles", "f1", "f2"]
+            [b.column("doc_id"), pa.array(np.diff(at)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sketches(values, at)], ["doc_id", "n_shingles", "f1", "f2", "sketch"]
         )
 
 
+def sketches(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """How many shingles of each set fall in each of SKETCH classes, up to 255, a byte each.
+
+    Two sets differ in at least as many shingles as these numbers do, which rules pairs out.
+    """
+    n = len(at) - 1
+    places = np.repeat(np.arange(n), np.diff(at)) * SKETCH + (values >> np.uint64(56)).astype(np.int64)
+    counts = np.minimum(np.bincount(places, minlength=n * SKETCH), 255).astype(np.uint8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), n, [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
+
+
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(SPACES)
     for b in batches:
@@ -115,7 +129,7 @@ def window(n: np.ndarray) -> np.ndarray:
 
 
 def _windows(sent, slices: int):
-    """Packed (shingle, document, size) of the windows of documents, by slices of shingles."""
+    """Packed (shingle, document, size, place) of the windows of documents, by slices of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACES)
@@ -124,15 +138,15 @@ def _windows(sent, slices: int):
         n_held = 0
 
         def packed() -> pa.RecordBatch:
-            h, doc, size = (np.concatenate(x) for x in zip(*held, strict=True))
-            part = (h >> np.uint64(32)).astype(np.int64) * slices >> 32
+            rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+            part = (rows[0] >> np.uint64(32)).astype(np.int64) * slices >> 32
             order = np.argsort(part, kind="stable")
-            h, doc, size = h[order], doc[order], size[order]
+            rows = [x[order] for x in rows]
             cuts = np.searchsorted(part[order], np.arange(slices + 1))
             some = [(s, cuts[s], cuts[s + 1]) for s in range(slices) if cuts[s + 1] > cuts[s]]
             return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _, _ in some], pa.int32()), *(pa.array([x[a:z].tobytes() for _, a, z in some], pa.binary()) for x in (h, doc, size))],
-                ["slice", "h", "doc", "size"],
+                [pa.array([s for s, _, _ in some], pa.int32()), *(pa.array([x[a:z].tobytes() for _, a, z in some], pa.binary()) for x in rows)],
+                ["slice", "h", "doc", "size", "place"],
             )
 
         for b in batches:
@@ -150,7 +164,9 @@ def _windows(sent, slices: int):
                     values = values[order]
             place = np.arange(len(values)) - at[owners]
             keep = place < window(sizes)[owners]
-            held.append((values[keep], ids[owners[keep]].astype(np.int64), sizes[owners[keep]].astype(np.int32)))
+            # the place as a share of the size in 255ths, rounded down
+            share = place[keep] * 255 // sizes[owners[keep]]
+            held.append((values[keep], ids[owners[keep]].astype(np.int64), sizes[owners[keep]].astype(np.int32), share.astype(np.uint8)))
             n_held += int(keep.sum())
             if n_held > 2_000_000:
                 yield packed()
@@ -161,54 +177,51 @@ def _windows(sent, slices: int):
     return run
 
 
-def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can link at all."""
-    return PARTS * np.minimum(a, b) >= NEED * np.maximum(a, b)
+def _fits(a: np.ndarray, b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can link if what stands at these places is the first they share."""
+    most = np.minimum(a - place_a * a // 255, b - place_b * b // 255)
+    return PARTS * most >= NEED * (a + b - most)
 
 
 def _regions(batch: pa.Table) -> pa.Table:
     """Of a slice: pivot pairs of each region (member null), and members of regions of three or more."""
-    h = np.frombuffer(b"".join(batch["h"].to_pylist()), np.uint64)
-    doc = np.frombuffer(b"".join(batch["doc"].to_pylist()), np.int64)
-    size = np.frombuffer(b"".join(batch["size"].to_pylist()), np.int32).astype(np.int64)
+    h, doc, size, place = (np.frombuffer(b"".join(batch[c].to_pylist()), k) for c, k in (("h", np.uint64), ("doc", np.int64), ("size", np.int32), ("place", np.uint8)))
     order = np.argsort(h)
-    h, doc, size = h[order], doc[order], size[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    starts = np.flatnonzero(new)
+    h, doc, size, place = h[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     lengths = np.diff(np.append(starts, len(h)))
     several = np.repeat(lengths > 1, lengths)
-    h, doc, size = h[several], doc[several], size[several]
+    h, doc, size, place = h[several], doc[several], size[several], place[several]
     lengths = lengths[lengths > 1]
     order = np.lexsort((doc, np.repeat(np.arange(len(lengths)), lengths)))
-    doc, size = doc[order], size[order]
-    starts = (np.cumsum(lengths) - lengths).astype(np.int64)
-    first = np.repeat(starts, lengths)
-    pair = np.flatnonzero((np.arange(len(doc)) != first) & _fits(size, size[first]))
+    doc, size, place = doc[order], size[order], place[order]
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    pair = np.flatnonzero((np.arange(len(doc)) != first) & _fits(size, size[first], place, place[first]))
     a, b = doc[first[pair]], doc[pair]
     if len(a):
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
-        fresh = np.ones(len(a), bool)
-        fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         a, b = a[fresh], b[fresh]
     larger = np.repeat(lengths > 2, lengths)
-    m_h, m_doc, m_size = h[larger].view(np.int64), doc[larger], size[larger]
+    m_h, m_doc, m_size, m_place = h[larger].view(np.int64), doc[larger], size[larger], place[larger]
+    none = np.zeros(len(a), np.int64)
     return pa.table({
         "h": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(m_h)]),
         "a": pa.array(np.concatenate([a, m_doc])),
         "b": pa.concat_arrays([pa.array(b), pa.nulls(len(m_doc), pa.int64())]),
-        "size": pa.array(np.concatenate([np.zeros(len(a), np.int64), m_size])),
+        "size": pa.array(np.concatenate([none, m_size])),
+        "place": pa.array(np.concatenate([none, m_place])),
     })
 
 
 def _next_pairs(turn: int, last: bool):
-    """Of members (h, a, size, label): pairs of different labels with the pivot of this turn, or all."""
+    """Of members (h, a, size, place, label): pairs of different labels with the pivot of this turn, or all."""
 
     def run(batch: pa.Table) -> pa.Table:
-        h, doc, size, label = (batch[c].to_numpy() for c in ("h", "a", "size", "label"))
+        h, doc, size, place, label = (batch[c].to_numpy() for c in ("h", "a", "size", "place", "label"))
         order = np.lexsort((doc, h))
-        h, doc, size, label = h[order], doc[order], size[order], label[order]
+        h, doc, size, place, label = h[order], doc[order], size[order], place[order], label[order]
         starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
         mixed_labels = np.zeros(len(starts), bool)
         if len(starts):
@@ -219,7 +232,7 @@ def _next_pairs(turn: int, last: bool):
             # the pivots of earlier turns have met all others
             for i in range(low + turn, high - 1 if last else min(low + turn + 1, high - 1)):
                 rest = np.arange(i + 1, high)
-                rest = rest[(label[rest] != label[i]) & _fits(size[rest], size[i])]
+                rest = rest[(label[rest] != label[i]) & _fits(size[rest], size[i], place[rest], place[i])]
                 if len(rest):
                     pairs.append(np.stack([np.full(len(rest), doc[i]), doc[rest]], 1))
         out = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
@@ -249,9 +262,22 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
 
-def links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The candidate pairs (a, b) that link, by the whole sets of both."""
-    pairs = materialized(pairs.select("a", "b").distinct(), f"{name}-pairs")
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule out that they link."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("one", "two"))
+        differ = np.abs(one - two).sum(1)
+        both = batch.column("n_one").to_numpy() + batch.column("n_two").to_numpy()
+        # sets that differ in so many share (both - differ) / 2 at most, of (both + differ) / 2 at least
+        at = pa.array(np.flatnonzero(PARTS * (both - differ) >= NEED * (both + differ)))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+
+def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The candidate pairs (a, b) that link: by sketches first, then by the whole sets of both."""
+    of = lambda side, x: prints.select(F.col("doc_id").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    near = pairs.select("a", "b").distinct().join(of("b", "two"), "b").join(of("a", "one"), "a")
+    pairs = materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible, "a long, b long").distinct(), f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
     sets = materialized(rows_of(docs, ids).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b").join(
@@ -263,7 +289,7 @@ def links(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, rounds: int = 2, sample_docs: int = 8000, slice_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    prints = materialized(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f1 long, f2 long"), "shingle-prints")
+    prints = materialized(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "shingle-prints")
     key = ["f1", "f2", "n_shingles"]
     classes = materialized(prints.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "shingle-classes")
     total = classes.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
@@ -272,17 +298,17 @@ def jaccard_components(docs: DataFrame, rounds: int = 2, sample_docs: int = 8000
     reps = rows_without(docs.where("doc_id is not null"), copies)
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(reps, total["n"], sample_docs))
     slices = max(n_slices(docs.sparkSession), (total["shingles"] or 0) // (4 * slice_rows))
-    packed = reps.mapInArrow(_windows(frequent, slices), "slice int, h binary, doc binary, size binary")
-    found = materialized(packed.groupBy("slice").applyInArrow(_regions, "h long, a long, b long, size long"), "regions")
-    edges = links(found.where("h is null"), docs, "turn-0")
-    members = found.where("h is not null").select("h", "a", "size")
+    packed = reps.mapInArrow(_windows(frequent, slices), "slice int, h binary, doc binary, size binary, place binary")
+    found = materialized(packed.groupBy("slice").applyInArrow(_regions, "h long, a long, b long, size long, place long"), "regions")
+    edges = links(found.where("h is null"), prints, docs, "turn-0")
+    members = found.where("h is not null").select("h", "a", "size", "place")
     nodes = classes.select(F.col("rep").alias("id"))
     for turn in range(1, rounds + 1):
         labels = connected_components(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges, f"turn-{turn}")
-        labelled = members.join(labels.withColumnRenamed("id", "a"), "a", "left").select("h", "a", "size", F.coalesce("component", "a").alias("label"))
+        labelled = members.join(labels.withColumnRenamed("id", "a"), "a", "left").select("h", "a", "size", "place", F.coalesce("component", "a").alias("label"))
         spread = F.pmod(F.xxhash64("h"), F.lit(slices)).alias("slice")
         pairs = labelled.select("*", spread).groupBy("slice").applyInArrow(_next_pairs(turn, turn == rounds), "a long, b long")
-        edges = edges.union(links(pairs, docs, f"turn-{turn}"))
+        edges = edges.union(links(pairs, prints, docs, f"turn-{turn}"))
     components = connected_components(nodes, edges, "components")
     of_class = classes.join(components, classes["rep"] == components["id"]).select(*key, "component")
     return prints.join(of_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
