@@ -1,0 +1 @@
+"""Functions as column builders."""

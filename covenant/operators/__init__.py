@@ -1,0 +1 @@
+"""Operators on DataFrames that several queries share."""

@@ -1,0 +1 @@
+"""Queries by part of the inventory."""

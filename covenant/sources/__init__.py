@@ -1,0 +1 @@
+"""Readers of captured payloads."""

@@ -1,0 +1 @@
+"""Incremental runs as micro-batches."""
