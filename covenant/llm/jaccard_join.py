@@ -16,8 +16,9 @@ Regions that hold several components still go on to the next pivot, and after ``
 pairs of documents of different components and fitting sizes are verified. Copies by the thousand so
 cost a pair each and not a pair of pairs, and no link between components is missed.
 
-Documents with equal sets are one from the start. The order of shingles comes from a sample of
-documents; it decides how many pairs there are to verify and never which links are found.
+Documents with equal sets are one from the start. The order of shingles is by the number of documents
+that have them, counted over all and read from arrays mapped into memory; it decides how many pairs
+there are to verify and never which links are found. Shingles that one document has make no region.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with
 nothing; texts of one to four words have one shingle, all of them; a row repeated gets the same result;
@@ -27,14 +28,17 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.shared import SPACES, WordHasher, connected_components, materialized, mixed, n_slices, rows_of, rows_without
+from covenant.llm.arrays import Arrays, as_bytes, grouped, narrow, of_bytes, write_arrays
+from covenant.llm.shared import SPACES, WordHasher, by_bytes, connected_components, materialized, mixed, n_slices, rows_of, rows_without, shared_dir
 
 WORDS = 5
 #: Links are where PARTS * shared >= NEED * all.
@@ -49,8 +53,8 @@ def shingle_sets(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.nd
     texts_of = np.repeat(np.arange(len(n_words)), n_words)
     with np.errstate(over="ignore"):
         out = np.zeros(len(h), np.uint64)
-        for k in range(WORDS):
-            out[: len(h) - k or None] += h[k:] * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
+        for k in range(min(WORDS, len(h))):
+            out[: len(h) - k] += h[k:] * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
         out = mixed(out)
         # what is left of a text after a word: a shingle needs five, or all of a shorter text
         left = at[texts_of + 1] - np.arange(len(h))
@@ -86,7 +90,7 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(SPACES)
-    for b in batches:
+    for b in by_bytes(batches):
         values, at = shingle_sets(hasher, b.column("text"))
         f1, f2 = _sums(values, at), _sums(mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
         yield pa.RecordBatch.from_arrays(
@@ -105,22 +109,104 @@ def sketches(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), n, [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher(SPACES)
-    for b in batches:
-        values, counts = np.unique(shingle_sets(hasher, b.column("text"))[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "n"])
-
-
-def frequent_shingles(docs: DataFrame, n_docs: int, sample_docs: int, least: int = 3, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several documents of a sample have, in order of hash, and in how many."""
-    share = min(1.0, sample_docs / max(1, n_docs))
-    picked = docs.where(F.pmod(F.xxhash64(F.lit("order"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    counts = picked.select("text").mapInArrow(_sampled, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "h").limit(most).toArrow()
-    h, n = rows["h"].to_numpy().view(np.uint64), rows["n"].to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
+def _shingle_counts(slices: int, bits: int, flush: int = 4_000_000):
+    """How many documents have each shingle, as runs of the upper bits of hashes, by slice."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = grouped(np.concatenate(held))
+        cuts = np.searchsorted(_slice_of(keys, slices, bits), np.arange(slices + 1))
+        some = [(s, a, z) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _, _ in some], pa.int32()), pa.array([int(keys[a]) for _, a, _ in some], pa.int64()),
+             pa.array([as_bytes(narrow(np.diff(keys[a:z]))) for _, a, z in some], pa.binary()),
+             pa.array([as_bytes(narrow(counts[a:z])) for _, a, z in some], pa.binary())],
+            ["slice", "first", "gaps", "counts"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, held, n = WordHasher(SPACES), [], 0
+        for b in by_bytes(batches):
+            held.append(shingle_sets(hasher, b.column("text"))[0] >> np.uint64(64 - bits))
+            n += len(held[-1])
+            if n > flush:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    return run
+
+
+def _slice_of(keys: np.ndarray, slices: int, bits: int) -> np.ndarray:
+    return (keys * np.uint64(slices) >> np.uint64(bits)).astype(np.int64)
+
+
+def _base(part: int, slices: int, bits: int) -> np.uint64:
+    """The least key of a slice."""
+    return np.uint64(-(-(part << bits) // slices))
+
+
+def _counts_added(folder: str, slices: int, bits: int):
+    """Writes the shingles of a slice that several documents have, in order, and how many have them."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        keys, counts = [], []
+        for first, gaps, n in zip(batch["first"].to_pylist(), batch["gaps"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            keys.append(first + np.append(0, np.cumsum(of_bytes([gaps]))))
+            counts.append(of_bytes([n]))
+        keys, counts = grouped(np.concatenate(keys).astype(np.uint64), np.concatenate(counts))
+        keys, counts = keys[counts > 1], counts[counts > 1]
+        part = int(batch["slice"][0].as_py())
+        write_arrays(folder, f"shared-{part}", {"key": narrow(keys - _base(part, slices, bits)), "docs": narrow(counts)})
+        return pa.table({"slice": pa.array([part], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+
+    return run
+
+
+@dataclass
+class Order:
+    """How many documents have a shingle that several have: arrays in the shared folder, by slice."""
+
+    folder: str
+    slices: int
+    bits: int
+
+    def reader(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Numbers of documents of shingles; 0 for those that only one has."""
+        arrays = Arrays(self.folder)
+
+        def look(values: np.ndarray) -> np.ndarray:
+            by_value = np.argsort(values)
+            keys = values[by_value] >> np.uint64(64 - self.bits)
+            cuts = np.searchsorted(_slice_of(keys, self.slices, self.bits), np.arange(self.slices + 1))
+            out = np.zeros(len(values), np.int64)
+            for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                table, docs = (arrays(f"shared-{s}.{x}") for x in ("key", "docs")) if z > a else ((), ())
+                if len(table):
+                    mine = (keys[a:z] - _base(s, self.slices, self.bits)).astype(np.uint64)
+                    fits = mine <= np.uint64(table[-1])
+                    mine = np.where(fits, mine, 0).astype(table.dtype)
+                    at = np.searchsorted(table, mine)
+                    found = fits & (table[at] == mine)
+                    out[by_value[a:z]] = np.where(found, docs[at], 0)
+            return out
+
+        return look
+
+
+def shingle_order(docs: DataFrame, total: int, slice_rows: int = 4_000_000) -> Order:
+    """Count the shingles of all documents, of which there are ``total``.
+
+    Shingles are told apart by so many bits that one in 128 or so shares its number with another; a
+    number is then too high, which moves a shingle back in the order of all documents alike.
+    """
+    spark = docs.sparkSession
+    slices = max(n_slices(spark), -(-total // slice_rows))
+    bits = min(44, max(34, total.bit_length() + 7))
+    order = Order(f"{shared_dir(spark)}/shingle-order-{uuid.uuid4().hex}", slices, bits)
+    packed = docs.select("text").mapInArrow(_shingle_counts(slices, bits), "slice int, first long, gaps binary, counts binary")
+    packed.groupBy("slice").applyInArrow(_counts_added(order.folder, slices, bits), "slice int, n long").agg(F.sum("n")).collect()
+    return order
 
 
 def window(n: np.ndarray) -> np.ndarray:
@@ -128,12 +214,15 @@ def window(n: np.ndarray) -> np.ndarray:
     return n - (NEED * n + PARTS - 1) // PARTS + 1
 
 
-def _windows(sent, slices: int):
-    """Packed (shingle, document, size, place) of the windows of documents, by slices of shingles."""
+def _windows(shingles: Order, slices: int):
+    """Packed (shingle, document, size, place) of the windows of documents, by slices of shingles.
+
+    A shingle that no other document has is first in the order and makes no region.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher(SPACES)
-        frequent, often = sent.value
+        n_docs = shingles.reader()
         held: list[tuple[np.ndarray, ...]] = []
         n_held = 0
 
@@ -149,21 +238,17 @@ def _windows(sent, slices: int):
                 ["slice", "h", "doc", "size", "place"],
             )
 
-        for b in batches:
+        for b in by_bytes(batches):
             values, at = shingle_sets(hasher, b.column("text"))
             sizes = np.diff(at)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             owners = np.repeat(np.arange(len(sizes)), sizes)
-            rank = np.zeros(len(values), np.int64)
-            if len(frequent):
-                found = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-                known = frequent[found] == values
-                rank[known] = often[found[known]]
-                if known.any():  # by document, then frequency, then hash, which they are in already
-                    order = np.argsort(owners * (int(often.max()) + 2) + rank, kind="stable")
-                    values = values[order]
+            rank = n_docs(values)
+            # by document, then number of documents, then hash, which they are in already
+            order = np.argsort(owners * (int(rank.max(initial=0)) + 1) + rank, kind="stable")
+            values, rank = values[order], rank[order]
             place = np.arange(len(values)) - at[owners]
-            keep = place < window(sizes)[owners]
+            keep = (place < window(sizes)[owners]) & (rank > 0)
             # the place as a share of the size in 255ths, rounded down
             share = place[keep] * 255 // sizes[owners[keep]]
             held.append((values[keep], ids[owners[keep]].astype(np.int64), sizes[owners[keep]].astype(np.int32), share.astype(np.uint8)))
@@ -243,7 +328,7 @@ def _next_pairs(turn: int, last: bool):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(SPACES)
-    for b in batches:
+    for b in by_bytes(batches):
         values, at = shingle_sets(hasher, b.column("text"))
         blobs = [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
@@ -275,30 +360,35 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The candidate pairs (a, b) that link: by sketches first, then by the whole sets of both."""
+    pairs = materialized(pairs.select("a", "b").distinct(), f"{name}-candidates")
+    prints = rows_of(prints, _ends(pairs)).groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
     of = lambda side, x: prints.select(F.col("doc_id").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
-    near = pairs.select("a", "b").distinct().join(of("b", "two"), "b").join(of("a", "one"), "a")
-    pairs = materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible, "a long, b long").distinct(), f"{name}-pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
-    sets = materialized(rows_of(docs, ids).dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary"), f"{name}-sets")
+    near = pairs.join(of("b", "two"), "b").join(of("a", "one"), "a")
+    pairs = materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible, "a long, b long"), f"{name}-pairs")
+    sets = rows_of(docs, _ends(pairs)).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b").join(
         sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a"
     )
     return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long"), f"{name}-links")
 
 
-def jaccard_components(docs: DataFrame, rounds: int = 2, sample_docs: int = 8000, slice_rows: int = 1_000_000) -> DataFrame:
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+
+
+def jaccard_components(docs: DataFrame, rounds: int = 2, slice_rows: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     prints = materialized(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "shingle-prints")
     key = ["f1", "f2", "n_shingles"]
     classes = materialized(prints.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "shingle-classes")
-    total = classes.agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")).first()
+    total = classes.agg(F.sum("n_shingles").alias("shingles")).first()
     copies = prints.join(classes.where("n > 1"), key).where("doc_id <> rep").select("doc_id").distinct()
     copies = materialized(copies, "shingle-copies")
     reps = rows_without(docs.where("doc_id is not null"), copies)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(reps, total["n"], sample_docs))
+    order = shingle_order(reps, total["shingles"] or 0)
     slices = max(n_slices(docs.sparkSession), (total["shingles"] or 0) // (4 * slice_rows))
-    packed = reps.mapInArrow(_windows(frequent, slices), "slice int, h binary, doc binary, size binary, place binary")
+    packed = reps.mapInArrow(_windows(order, slices), "slice int, h binary, doc binary, size binary, place binary")
     found = materialized(packed.groupBy("slice").applyInArrow(_regions, "h long, a long, b long, size long, place long"), "regions")
     edges = links(found.where("h is null"), prints, docs, "turn-0")
     members = found.where("h is not null").select("h", "a", "size", "place")

@@ -23,21 +23,17 @@ the base; an empty table gives an empty one; columns that clash with those added
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from covenant.llm.arrays import Arrays, as_bytes, grouped, narrow, of_bytes, write_arrays
 from covenant.llm.shared import SPACES, WordHasher, mixed, n_slices, shared_dir
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
@@ -81,34 +77,6 @@ def bigram_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return mixed(first * np.uint64(0x9E3779B97F4A7C15) ^ (second & LOW48))
 
 
-def grouped(keys: np.ndarray, amounts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and how many there are of each or the sum of their amounts."""
-    if not len(keys):
-        return keys, np.empty(0, np.int64)
-    if amounts is None:
-        keys = np.sort(keys)
-    else:
-        order = np.argsort(keys)
-        keys, amounts = keys[order], amounts[order]
-    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    if amounts is None:
-        return keys[starts], np.diff(np.append(starts, len(keys)))
-    return keys[starts], np.add.reduceat(amounts.astype(np.int64), starts)
-
-
-def narrow(x: np.ndarray) -> np.ndarray:
-    """Counts in the narrowest unsigned type that holds them."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
-
-
-def _packed(x: np.ndarray) -> bytes:
-    return bytes([x.itemsize]) + x.tobytes()
-
-
-def _unpacked(blobs: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, f"u{b[0]}", offset=1).astype(np.int64) for b in blobs]) if blobs else np.empty(0, np.int64)
-
-
 def _short(h: np.ndarray) -> bytes:
     """The upper 48 bits of hashes."""
     return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
@@ -121,47 +89,6 @@ def _long(blobs: list[bytes]) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
-
-
-def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array as a file; a task that is run again replaces them as a whole."""
-    store, path = _file_system(folder)
-    store.create_dir(path, recursive=True)
-    for key, x in arrays.items():
-        scratch = f"{path}/.{uuid.uuid4().hex}"
-        with store.open_output_stream(scratch) as out:
-            out.write(np.ascontiguousarray(x).tobytes())
-        store.move(scratch, f"{path}/{name}.{key}.{x.dtype.kind}{x.itemsize}")
-
-
-class Arrays:
-    """Arrays in the shared folder, mapped into memory when first used."""
-
-    def __init__(self, folder: str) -> None:
-        self.store, self.path = _file_system(folder)
-        self.own: str | None = None
-        self.names = {f.base_name.rpartition(".")[0]: (f.base_name, f.size) for f in self.store.get_file_info(fs.FileSelector(self.path)) if not f.base_name.startswith(".")}
-        self.open: dict[str, np.ndarray] = {}
-
-    def __call__(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            file, size = self.names.get(name, ("", 0))
-            if not size:
-                return np.empty(0, np.uint64)
-            kind = np.dtype(file.rpartition(".")[2])
-            path = f"{self.path}/{file}"
-            if not isinstance(self.store, fs.LocalFileSystem):
-                if self.own is None:
-                    self.own = tempfile.mkdtemp(prefix="model-")
-                    atexit.register(shutil.rmtree, self.own, ignore_errors=True)
-                fs.copy_files(path, f"{self.own}/{file}", source_filesystem=self.store, destination_filesystem=fs.LocalFileSystem())
-                path = os.path.join(self.own, file)
-            self.open[name] = np.memmap(path, kind, "r")
-        return self.open[name]
-
-
 @dataclass
 class Model:
     """Figures of a model and where its arrays are."""
@@ -215,7 +142,7 @@ def _word_counts(slices: int, flush_bytes: int):
             cuts = np.searchsorted(_slice(words, slices), np.arange(slices + 1))
             rows = [(s, a, z) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s for s, *_ in rows], pa.int32()), pa.array([words[a:z].tobytes() for _, a, z in rows], pa.binary()), pa.array([_packed(narrow(counts[a:z])) for _, a, z in rows], pa.binary()), pa.array([len(begin) - 1 if i == 0 else 0 for i in range(len(rows))], pa.int64())],
+                [pa.array([s for s, *_ in rows], pa.int32()), pa.array([words[a:z].tobytes() for _, a, z in rows], pa.binary()), pa.array([as_bytes(narrow(counts[a:z])) for _, a, z in rows], pa.binary()), pa.array([len(begin) - 1 if i == 0 else 0 for i in range(len(rows))], pa.int64())],
                 ["slice", "words", "counts", "texts"],
             )
 
@@ -224,7 +151,7 @@ def _word_counts(slices: int, flush_bytes: int):
 
 def _words_added(folder: str):
     def run(batch: pa.Table) -> pa.Table:
-        words, counts = grouped(np.frombuffer(b"".join(batch["words"].to_pylist()), np.uint64), _unpacked(batch["counts"].to_pylist()))
+        words, counts = grouped(np.frombuffer(b"".join(batch["words"].to_pylist()), np.uint64), of_bytes(batch["counts"].to_pylist()))
         write_arrays(folder, f"words-{batch['slice'][0].as_py()}", {"hash": words, "count": narrow(counts)})
         top = np.argsort(-counts, kind="stable")[:64]
         return pa.table({"n": [int(counts.sum())], "v": [len(words)], "texts": [sum(batch["texts"].to_pylist())], "top": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())), "tops": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
@@ -252,9 +179,9 @@ def _bigram_counts(slices: int, spread: np.ndarray, flush_bytes: int):
                     starts = np.flatnonzero(np.append(True, first[a + 1 : z] != first[a : z - 1]))
                     out["slice"].append(s)
                     out["first"].append(first[a:z][starts].tobytes())
-                    out["runs"].append(_packed(narrow(np.diff(np.append(starts, z - a)))))
+                    out["runs"].append(as_bytes(narrow(np.diff(np.append(starts, z - a)))))
                     out["second"].append(_short(second[a:z]))
-                    out["counts"].append(_packed(narrow(counts[a:z])))
+                    out["counts"].append(as_bytes(narrow(counts[a:z])))
             yield pa.RecordBatch.from_arrays([pa.array(out["slice"], pa.int32()), *(pa.array(out[c], pa.binary()) for c in ("first", "runs", "second", "counts"))], list(out))
 
     return run
@@ -267,8 +194,8 @@ def _bigrams_added(folder: str, slices: int, spread: np.ndarray):
     """Writes a slice's bigrams and contexts; gives its counts of counts, and contexts of second words."""
 
     def run(batch: pa.Table) -> pa.Table:
-        first = np.repeat(np.frombuffer(b"".join(batch["first"].to_pylist()), np.uint64), _unpacked(batch["runs"].to_pylist()))
-        second, counts = _long(batch["second"].to_pylist()), _unpacked(batch["counts"].to_pylist())
+        first = np.repeat(np.frombuffer(b"".join(batch["first"].to_pylist()), np.uint64), of_bytes(batch["runs"].to_pylist()))
+        second, counts = _long(batch["second"].to_pylist()), of_bytes(batch["counts"].to_pylist())
         order = np.lexsort((second, first))
         first, second, counts = first[order], second[order], counts[order]
         starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
@@ -287,7 +214,7 @@ def _bigrams_added(folder: str, slices: int, spread: np.ndarray):
         rows += [(1, part, None, None, [int(h), *(int(x[i]) for x in by)]) for i, h in zip(np.flatnonzero(~own), first[new][~own].view(np.int64), strict=True)]
         seconds, n = grouped(second)
         cuts = np.searchsorted(_slice(seconds, slices), np.arange(slices + 1))
-        rows += [(2, s, _short(seconds[a:z]), _packed(narrow(n[a:z])), None) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
+        rows += [(2, s, _short(seconds[a:z]), as_bytes(narrow(n[a:z])), None) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "slice", "words", "counts", "figures"])
 
@@ -304,7 +231,7 @@ def _followers_added(folder: str):
         if len(pick):
             part = batch["slice"][int(pick[0])].as_py()
             rows = batch.take(pa.array(pick))
-            short, n = grouped(_long(rows["words"].to_pylist()), _unpacked(rows["counts"].to_pylist()))
+            short, n = grouped(_long(rows["words"].to_pylist()), of_bytes(rows["counts"].to_pylist()))
             write_arrays(folder, f"follows-{part}", {"short": short, "n": narrow(n)})
             figures.append([2, *_of_counts(n), int((n > 2).sum()), int(n.sum())])
         return pa.table({"figures": pa.array(figures, pa.list_(pa.int64()))})

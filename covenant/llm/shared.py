@@ -202,5 +202,16 @@ def pieces(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> Iter
         low = high
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about so many bytes of a text column, one row at least."""
+    for b in batches:
+        _, offsets = buffers(b.column(column))
+        low = 0
+        while low < len(b):
+            high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
+            yield b.slice(low, high - low)
+            low = high
+
+
 #: Bytes that end a token: space and the controls from tab to carriage return.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
