@@ -61,7 +61,7 @@ class Arrays:
     def __init__(self, folder: str) -> None:
         self.store, self.path = _file_system(folder)
         self.own: str | None = None
-        self.names = {f.base_name.rpartition(".")[0]: (f.base_name, f.size) for f in self.store.get_file_info(fs.FileSelector(self.path)) if not f.base_name.startswith(".")}
+        self.names = {f.base_name.rpartition(".")[0]: (f.base_name, f.size) for f in self.store.get_file_info(fs.FileSelector(self.path, allow_not_found=True)) if not f.base_name.startswith(".")}
         self.open: dict[str, np.ndarray] = {}
 
     def __call__(self, name: str) -> np.ndarray:
