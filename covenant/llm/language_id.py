@@ -61,17 +61,16 @@ class LanguageModel:
 
     def __init__(self, texts: list[str], langs: list[str], landmarks: int = 64, ridge: float = 1e-2) -> None:
         self.langs = sorted(set(langs))
-        x = np.concatenate([*presences(pa.array(texts, pa.large_string()))])
-        norm = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        x /= norm
+        texts = pa.array(texts, pa.large_string())
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None], 1.0, -1.0)
         chosen = np.concatenate([np.flatnonzero(y[:, k] > 0)[:landmarks] for k in range(len(self.langs))])
-        marks = x[chosen]
+        unit = lambda x: x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        marks = np.concatenate([unit(x) for x in presences(texts.take(pa.array(chosen)))])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        features = (x @ marks.T).astype(np.float64) @ root
-        features = np.hstack([features, np.ones((len(x), 1))])
+        features = np.concatenate([(unit(x) @ marks.T).astype(np.float64) @ root for x in presences(texts)])
+        features = np.hstack([features, np.ones((len(features), 1))])
         # languages count alike, however many of the sample they are
         weight = 1 / np.array([langs.count(v) for v in langs], np.float64)
         weight *= len(langs) / weight.sum()
