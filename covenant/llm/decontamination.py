@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from covenant.llm.shared import by_bytes
+
 WINDOW = 10
 BLOCK = 3
 ADDED = ["n_words", "spans", "items"]
@@ -120,7 +122,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, part_
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             searches = tables(sent.value, window)
-            for b in batches:
+            for b in by_bytes(batches):
                 before = b.column("spans").to_pylist() if "spans" in b.schema.names else None
                 known = b.column("items").to_pylist() if before is not None else None
                 counts, all_spans, all_items = [], [], []

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covenant.llm.shared import materialized, rows_of
+from covenant.llm.shared import by_bytes, materialized, rows_of
 
 THRESHOLD = 0.3
 WORD = regex.compile(r"[\p{L}\p{M}]+")
@@ -48,6 +48,8 @@ SAYING = frozenset(
 ADDRESS = frozenset("you your youre u du dich dir ihr sie tu te toi vous tú ti usted eres".split())
 QUOTES = "\"“”«»„‘"
 FEATURES = 10
+#: Bytes of text, and words with what they match, that a worker holds at once.
+PART_BYTES, MOST_KNOWN = 1 << 20, 1 << 17
 
 
 class Lexicon:
@@ -142,7 +144,7 @@ class Scorer:
             text = lower
         words = WORD.findall(lower)
         known, match = self.known, self.lexicon.match
-        if len(known) > 1 << 19:
+        if len(known) > MOST_KNOWN:
             known.clear()
         found = []
         for i, w in enumerate(words):
@@ -193,8 +195,8 @@ class Scorer:
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(unit, stem, toxic, context) of each word and beginning of a word, once for each batch."""
-    for b in batches:
+    """(unit, stem, toxic, context) of each word and beginning of a word, once for each part of a batch."""
+    for b in by_bytes(batches, most=PART_BYTES):
         seen: set[tuple[str, bool, int, int]] = set()
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             words = ["", *WORD.findall((text or "").lower()), ""]
@@ -253,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entrie
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value.scorer()
-        for b in batches:
+        for b in by_bytes(batches, most=PART_BYTES):
             x = [scorer.features(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column("toxic")], ["x", "toxic"])
 
@@ -288,7 +290,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = sent.value.scorer() if sent.value else None
-        for b in batches:
+        for b in by_bytes(batches, most=PART_BYTES):
             values = [scorer.score(scorer.features(t)) if scorer else 0.0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, pa.float64())], [f.name for f in schema.fields])
 
