@@ -135,14 +135,23 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_dropped"), pa.array(sha, pa.string())], ["doc_id", "n_dropped", "kept_sha256"])
 
 
-def line_digests(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_sha256 of every row of docs, by its bitmap."""
+def line_digests(docs: DataFrame, sent_bytes: int = 32 << 20, **options) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every row of docs, by its bitmap.
+
+    Bitmaps are measured, and up to ``sent_bytes`` of them with their keys are sent to the texts;
+    beyond that, bitmaps and the texts that have one are shuffled.
+    """
     docs = docs.select("doc_id", "text")
     bitmaps = materialized(keep_bitmaps(docs, **options), "bitmaps")
+    held = bitmaps.agg(F.sum(F.octet_length("keep") + 64).alias("bytes")).first()["bytes"] or 0
     text = F.coalesce("text", F.lit(""))
     n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
+    if held <= sent_bytes:
+        with_map = docs.join(F.broadcast(bitmaps), "doc_id")
+    else:
+        with_map = rows_of(docs, bitmaps).join(bitmaps, "doc_id")
     changed = (
-        rows_of(docs, bitmaps).join(bitmaps.select("doc_id", "n_lines", "n_dropped", "keep"), "doc_id")
+        with_map
         .select("doc_id", "text", "n_lines", "n_dropped", "keep").mapInArrow(_applied, "doc_id long, n_dropped long, kept_sha256 string")
         .dropDuplicates(["doc_id"])
     )
