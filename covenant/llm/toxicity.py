@@ -11,7 +11,9 @@ around it quote or report (quotation marks, verbs of saying), address someone, o
 document's score is a logistic regression on sums of these over its whole text.
 
 Learning uses at most about ``per_label`` labelled documents of each label, chosen by a hash of
-doc_id, and the documents left out of learning play no part in it.
+doc_id, and the documents left out of learning play no part in it. A label's sampled documents stand
+for all of that label by weight, so that a score is a chance among the labelled documents as they are,
+however large the table.
 
 Defined results: null and empty texts have no hits and get the score of such texts; a label that is
 null, or a document with both labels, teaches nothing; rows repeated give the same result each;
@@ -48,6 +50,8 @@ SAYING = frozenset(
 ADDRESS = frozenset("you your youre u du dich dir ihr sie tu te toi vous tú ti usted eres".split())
 QUOTES = "\"“”«»„‘"
 FEATURES = 10
+#: Log-likelihood ratio that an entry of the lexicon needs.
+NEED = 12.0
 #: Bytes of text, and words with what they match, that a worker holds at once.
 PART_BYTES, MOST_KNOWN = 1 << 20, 1 << 17
 
@@ -216,7 +220,8 @@ def hash_context(left: str, right: str) -> int:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
-    """(doc_id, text, toxic) of about ``per_label`` documents of each label at most."""
+    """(doc_id, text, toxic, weight) of about ``per_label`` documents of each label at most; weight is
+    how many documents of its label each stands for."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     learnable = docs.where("text is not null").select("doc_id").join(known, "doc_id").distinct()
     learnable = materialized(learnable, "toxicity-labels")
@@ -224,27 +229,31 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
     chance = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rate = F.when(F.col("toxic") == 1, min(1.0, per_label / max(1, counts.get(1, 0)))).otherwise(min(1.0, per_label / max(1, counts.get(0, 0))))
     chosen = materialized(learnable.where("toxic in (0, 1)").where(chance < rate), "toxicity-chosen")
-    return rows_of(docs.select("doc_id", "text"), chosen).join(chosen, "doc_id")
+    return rows_of(docs.select("doc_id", "text"), chosen).join(chosen.withColumn("weight", 1 / rate), "doc_id")
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entries: int = 2000) -> Model | None:
     """A model from docs with text and labels with toxic; docs hold only what may be learned from."""
     sample = materialized(labelled(docs, labels, per_label).repartition(24), "toxicity-sample")
-    totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sums = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("all")).collect()
+    totals = {r.toxic: r.n for r in sums}
     if not totals.get(0) or not totals.get(1):
         return None
+    # of mean 1, so that the evidence is no more than what was sampled
+    weight = {r.toxic: r["all"] / r.n * sum(totals.values()) / sum(s["all"] for s in sums) for r in sums}
     kinds = "unit string, stem boolean, toxic int, context long"
     toxic_units = sample.where("toxic = 1").select("text", "toxic").mapInArrow(_units, kinds)
     # contexts of each unit among toxic documents, of those with some, and then among the others
     often = materialized(toxic_units.groupBy("unit", "stem").agg(F.countDistinct("context").alias("bad")).where("bad >= 4"), "toxicity-units")
     other = sample.where("toxic = 0").select("text", "toxic").mapInArrow(_units, kinds).join(often.select("unit", "stem"), ["unit", "stem"], "left_semi")
     counted = often.join(other.groupBy("unit", "stem").agg(F.countDistinct("context").alias("fine")), ["unit", "stem"], "left").fillna(0, ["fine"])
-    # how much more the contexts are toxic than a sample of this mixture would have them, as a log-likelihood ratio
+    # how much more the contexts are toxic than a sample of this mixture would have them, as a log-likelihood ratio:
+    # that is about the contexts seen, so it is in sampled counts; the share to be required is one of all documents
     base = totals[1] / (totals[0] + totals[1])
     share = F.col("bad") / (F.col("bad") + F.col("fine"))
+    of_all = F.col("bad") * weight[1] / (F.col("bad") * weight[1] + F.col("fine") * weight[0])
     gain = F.col("bad") * F.log(share / base) + F.when(F.col("fine") > 0, F.col("fine") * F.log((1 - share) / (1 - base))).otherwise(0)
-    need = 12.0 if base < 0.4 else 8.0
-    rows = counted.select("unit", "stem", "bad", "fine", gain.alias("gain"), share.alias("share")).where((F.col("gain") > need) & (F.col("share") > 0.97)).orderBy(F.desc("gain"), "unit", "stem").limit(most_entries).collect()
+    rows = counted.select("unit", "stem", "bad", "fine", gain.alias("gain"), of_all.alias("share")).where((F.col("gain") > NEED) & (F.col("share") > 0.97)).orderBy(F.desc("gain"), "unit", "stem").limit(most_entries).collect()
     stems: list[str] = []
     for r in sorted((r for r in rows if r.stem), key=lambda r: len(r.unit)):
         if not any(r.unit.startswith(s) for s in stems):
@@ -263,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entrie
     x = np.array([[*r.x, 1.0] for r in rows])
     y = np.array([r.toxic for r in rows], float)
     # the sample has so many times fewer of each label than there are
-    n = np.array([r["count"] for r in rows], float)
+    n = np.array([r["count"] * weight[r.toxic] for r in rows], float)
     return Model(words, stems, _logistic(x, y, n).tolist())
 
 
