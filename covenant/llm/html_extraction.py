@@ -5,7 +5,9 @@ are by name, role or class a menu, header, footer, sidebar, notice, advert or co
 block. Where a page marks an article (or else a main part), its blocks are the text. On other pages
 the first pass calls a block good or bad by its share of stop words, length and share of linked
 characters, and leaves short ones open; the second gives an open block the label of the nearest
-decided blocks: good if both sides are, and for a heading if what follows is.
+decided blocks: good if both sides are, and for a heading if what follows is. At an end of the page
+the one decided side counts. Where no long block has the stop words of prose, the page is in a language
+without a list here (or has no prose), and length and links alone decide.
 
 Defined results: a null or empty page has an empty text, of 0 characters; markup left open ends with
 the page; character references that name nothing stay as they are; rows repeated give the same result
@@ -27,15 +29,19 @@ _MARKUP = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _BOILERPLATE = frozenset("nav footer aside form head menu button dialog".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in a class, id or role that say that an element isn't part of the article.
+#: Elements that hold the text itself, whatever they are called.
+_NEVER_BOILERPLATE = frozenset("html body main article".split())
+#: Whole classes, ids, roles or labels that say that an element isn't part of the article.
 _SAYS_NO = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search login signup".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo related respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo search login signup "
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper comment-form comment-list comments-area cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav main-navigation nav-menu page-footer page-header "
+    "related-articles related-posts share-bar share-buttons side-bar site-footer site-header site-nav site-navigation social-links social-share sharing-buttons top-nav topnav widget-area".split()
 )
 _ENDS_P = _BLOCKS - {"body", "html", "head"}
 #: Frequent words of English, French, German and Spanish.
@@ -61,11 +67,14 @@ class Block:
 
 
 def _says_no(tag: str, attributes: str, article: bool) -> bool:
+    if tag in _NEVER_BOILERPLATE:
+        return False
     if tag in _BOILERPLATE or (tag == "header" and not article):
         return True
     if "=" in attributes:
-        for value in _NAMED.findall(attributes):
-            if _SAYS_NO.intersection(re.split(r"[^a-z]+", value.lower())):
+        for name, value in _NAMED.findall(attributes):
+            value = value.strip("\"'").lower().replace("_", "-")
+            if not _SAYS_NO.isdisjoint([value.strip()] if name.lower() == "aria-label" else value.split()):
                 return True
     return False
 
@@ -132,37 +141,52 @@ def blocks_of(page: str) -> list[Block]:
     return [b for b in out if b.text]
 
 
-def _first_pass(b: Block) -> None:
+def _density(b: Block) -> float:
     words = b.text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
-    if b.linked / max(1, len(b.text)) > LINKS_HIGH:
+    return sum(w.strip(".,;:!?\"'()") in _STOP for w in words) / len(words)
+
+
+def _is_linked(b: Block) -> bool:
+    return b.linked / max(1, len(b.text)) > LINKS_HIGH
+
+
+def _first_pass(b: Block, told: bool) -> None:
+    """``told`` is whether stop words tell prose on this page."""
+    density = _density(b)
+    if _is_linked(b):
         b.good = False
     elif len(b.text) < LENGTH_LOW:
         b.good = None
-    elif density >= STOP_HIGH or (density >= STOP_LOW and len(b.text) >= LENGTH_HIGH):
+    elif not told or density >= STOP_HIGH or (density >= STOP_LOW and len(b.text) >= LENGTH_HIGH):
         b.good = True
     elif density < STOP_LOW:
         b.good = False
 
 
-def main_blocks(page: str | None) -> list[str]:
-    blocks = blocks_of(page or "")
-    marked = max((b.within for b in blocks), default=0)
-    if marked:
-        return [b.text for b in blocks if b.within == marked]
-    for b in blocks:
-        _first_pass(b)
-    after: list[bool] = []
-    near = False
+def _second_pass(blocks: list[Block]) -> None:
+    after: list[bool | None] = []
+    near: bool | None = None
     for b in reversed(blocks):
         near = near if b.good is None else b.good
         after.append(near)
-    before = False
+    before: bool | None = None
     for b, following in zip(blocks, reversed(after), strict=True):
         if b.good is None:
-            b.good = following if b.heading else before and following
+            sides = [s for s in ((following,) if b.heading and following is not None else (before, following)) if s is not None]
+            b.good = all(sides)
         else:
             before = b.good
+
+
+def main_blocks(page: str | None) -> list[str]:
+    blocks = blocks_of(page or "")
+    marked = max((b.within for b in blocks), default=0)
+    if marked:
+        return [b.text for b in blocks if b.within == marked]
+    told = any(len(b.text) >= LENGTH_LOW and not _is_linked(b) and _density(b) >= STOP_LOW for b in blocks)
+    for b in blocks:
+        _first_pass(b, told)
+    _second_pass(blocks)
     return [b.text for b in blocks if b.good]
 
 
