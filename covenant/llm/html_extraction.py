@@ -2,13 +2,17 @@
 
 A page is cut into blocks at block-level tags; scripts, styles, forms and what is inside elements that
 are by name, role or class a menu, header, footer, sidebar, notice, advert or comment section give no
-block. Where a page marks an article (or else a main part), its blocks are the text. On other pages
-the first pass calls a block good or bad by its share of stop words, length and share of linked
+block. The first pass calls a block good or bad by its share of stop words, length and share of linked
 characters, and leaves short ones open; the second gives an open block the label of the nearest
 decided blocks: good if both sides are, and for a heading if what follows is. At an end of the page
 the one decided side counts. Where no long block has the stop words of prose, the page is in a language
 without a list here (or has no prose), and length and links alone decide.
 
+That a block is in an <article> (or else a <main>) is one of its features. In the part that a page
+marks most closely, a long block poor in stop words and a linked heading are open rather than bad, an
+open block needs one good side, and without a decided one it is good unless other parts hold good
+blocks. Sides are those in a part marked alike, so short blocks around an article don't follow from it.
+
 Defined results: a null or empty page has an empty text, of 0 characters; markup left open ends with
 the page; character references that name nothing stay as they are; rows repeated give the same result
 each; an empty table gives an empty one; columns that clash with those added are replaced by them.
@@ -150,20 +154,21 @@ def _is_linked(b: Block) -> bool:
     return b.linked / max(1, len(b.text)) > LINKS_HIGH
 
 
-def _first_pass(b: Block, told: bool) -> None:
-    """``told`` is whether stop words tell prose on this page."""
+def _first_pass(b: Block, told: bool, marked: bool) -> None:
+    """``told`` is whether stop words tell prose on this page, ``marked`` whether the page says that b is text."""
     density = _density(b)
     if _is_linked(b):
-        b.good = False
+        b.good = None if marked and b.heading else False
     elif len(b.text) < LENGTH_LOW:
         b.good = None
     elif not told or density >= STOP_HIGH or (density >= STOP_LOW and len(b.text) >= LENGTH_HIGH):
         b.good = True
     elif density < STOP_LOW:
-        b.good = False
+        b.good = None if marked else False
 
 
-def _second_pass(blocks: list[Block]) -> None:
+def _second_pass(blocks: list[Block], marked: bool, otherwise: bool) -> None:
+    """``otherwise`` is the label of open blocks where none is decided."""
     after: list[bool | None] = []
     near: bool | None = None
     for b in reversed(blocks):
@@ -173,20 +178,20 @@ def _second_pass(blocks: list[Block]) -> None:
     for b, following in zip(blocks, reversed(after), strict=True):
         if b.good is None:
             sides = [s for s in ((following,) if b.heading and following is not None else (before, following)) if s is not None]
-            b.good = all(sides)
+            b.good = (any(sides) if marked else all(sides)) if sides else otherwise
         else:
             before = b.good
 
 
 def main_blocks(page: str | None) -> list[str]:
     blocks = blocks_of(page or "")
-    marked = max((b.within for b in blocks), default=0)
-    if marked:
-        return [b.text for b in blocks if b.within == marked]
+    most = max((b.within for b in blocks), default=0)
     told = any(len(b.text) >= LENGTH_LOW and not _is_linked(b) and _density(b) >= STOP_LOW for b in blocks)
     for b in blocks:
-        _first_pass(b, told)
-    _second_pass(blocks)
+        _first_pass(b, told, b.within == most > 0)
+    good = {b.within for b in blocks if b.good}
+    for within in {b.within for b in blocks}:
+        _second_pass([b for b in blocks if b.within == within], within == most > 0, within == most and good <= {within})
     return [b.text for b in blocks if b.good]
 
 

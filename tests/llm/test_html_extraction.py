@@ -30,3 +30,21 @@ def test_short_blocks_at_page_ends():
     assert main_blocks(f"<p>Short.</p><p><a href=x>{LONG}</a></p><p>{LONG}</p><p><a href=x>{LONG}</a></p><p>Below.</p>") == [LONG]
     assert main_blocks("<p>Nothing but this.</p>") == ["Nothing but this."]
     assert main_blocks(None) == main_blocks("") == []
+
+
+def test_teaser_cards_do_not_hide_the_text():
+    cards = "".join(f"<article><h3><a href=/{i}>Card {i} with its linked title</a></h3><p>Read on</p></article>" for i in range(3))
+    assert main_blocks(f"<body><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div>{cards}</body>") == ["Title", LONG, LONG]
+
+
+def test_link_lists_in_an_article_are_judged():
+    links = "".join(f"<li><a href=/{i}>Another page of this site, number {i}</a></li>" for i in range(3))
+    assert main_blocks(f"<article><h1>Title</h1><p>{LONG}</p><ul>{links}</ul><p>Short.</p><p>{LONG}</p></article><p>Imprint</p>") == ["Title", LONG, "Short.", LONG]
+
+
+def test_marks_still_count():
+    code = "x = y(z); " * 20
+    assert main_blocks(f"<main><h2><a href=x>Linked title</a></h2><p>{LONG}</p><pre>{code}</pre><p>End.</p></main><div>Imprint</div>") == ["Linked title", LONG, code.strip(), "End."]
+    assert main_blocks("<article><h1>Sold out</h1><p>No more today.</p></article>") == ["Sold out", "No more today."]
+    replies = "".join(f"<article><p>{LONG}</p></article>" for _ in range(2))
+    assert main_blocks(f"<div><p>{LONG}</p></div>{replies}") == [LONG] * 3
