@@ -6,9 +6,14 @@ one document don't count as many. Entries form a trie. A Levenshtein automaton o
 against it: its states are sets of (trie node, errors so far), made when first met and kept, so a word
 costs one look-up a letter and most words end after a few letters.
 
+Digits and marks inside a word belong to it, and the error may be at any letter. Entries are taken by
+likelihood ratio, the ``most_entries`` words and beginnings of the greatest at most; words of any length
+are learned, and what clean documents quote or report now and then stays in.
+
 Each hit has a kind (whole word, misspelled, beginning of a word) and a context: whether the words
 around it quote or report (quotation marks, verbs of saying), address someone, or hold other hits. A
-document's score is a logistic regression on sums of these over its whole text.
+document's score is a logistic regression on sums of these over its whole text, and on the share of
+words of under five letters that are an entry but for an error, whose context isn't looked at.
 
 Learning uses at most about ``per_label`` labelled documents of each label, chosen by a hash of
 doc_id, and the documents left out of learning play no part in it. A label's sampled documents stand
@@ -38,7 +43,10 @@ from pyspark.sql import types as T
 from covenant.llm.shared import by_bytes, materialized, rows_of
 
 THRESHOLD = 0.3
-WORD = regex.compile(r"[\p{L}\p{M}]+")
+#: Letters with the digits and marks that stand for some of them, as in id1ot, st*pid and $cum; its parts; what they may stand for.
+WORD = regex.compile(r"[\p{N}@$]*[\p{L}\p{M}]+(?:[\p{N}*@$!#|+]+[\p{L}\p{M}]+)*[\p{N}*@$]*")
+PART = regex.compile(r"[\p{L}\p{M}]+")
+MEANT = str.maketrans("013457@$!|", "oieastasil")
 #: Around a hit so many words, and characters of punctuation with them, are its context.
 AROUND = 6
 STEMS = (4, 5, 6, 7)
@@ -49,9 +57,14 @@ SAYING = frozenset(
 )
 ADDRESS = frozenset("you your youre u du dich dir ihr sie tu te toi vous tú ti usted eres".split())
 QUOTES = "\"“”«»„‘"
-FEATURES = 10
-#: Log-likelihood ratio that an entry of the lexicon needs.
-NEED = 12.0
+FEATURES = 11
+#: Log-likelihood ratio that an entry of the lexicon needs, and how many times as likely a context of it has to
+#: be in a toxic document as in another. Some quotations in others are left to the features of context.
+NEED, TIMES = 12.0, 8.0
+#: In words of fewer letters an error leaves little, so such hits are a kind of their own.
+LONG = 5
+#: States of the automaton kept.
+MOST_STATES = 1 << 15
 #: Bytes of text, and words with what they match, that a worker holds at once.
 PART_BYTES, MOST_KNOWN = 1 << 20, 1 << 17
 
@@ -73,6 +86,9 @@ class Lexicon:
                     node = self.next[node][c]
                 self.ends[node] |= mark
         self.longest = max(map(len, words), default=0)
+        self.clear()
+
+    def clear(self) -> None:
         self.states: dict[frozenset[tuple[int, int]], int] = {}
         self.members: list[frozenset[tuple[int, int]]] = []
         self.step: list[dict[str, int]] = []
@@ -84,7 +100,7 @@ class Lexicon:
         # a letter of the entry may be missing from the word
         for node, errors in list(members):
             if not errors:
-                members |= {(child, 1) for child in self.next[node].values() if node}
+                members |= {(child, 1) for child in self.next[node].values()}
         least: dict[int, int] = {}
         for node, errors in members:
             least[node] = min(errors, least.get(node, 2))
@@ -104,7 +120,7 @@ class Lexicon:
             children = self.next[node]
             if c in children:
                 reached.add((children[c], errors))
-            if not errors and node:  # the first letter has to be right
+            if not errors:
                 reached.add((node, 1))
                 reached |= {(child, 1) for child in children.values()}
         to = self._state(reached) if reached else -1
@@ -112,7 +128,21 @@ class Lexicon:
         return to
 
     def match(self, word: str) -> int:
-        """0: no entry; 1: an entry; 2: an entry with one error; 3: begins with a stem."""
+        """0: no entry; 1: an entry; 2: an entry with one error; 3: begins with a stem; 4: one error in a short word."""
+        if len(self.members) > MOST_STATES:
+            self.clear()
+        if PART.fullmatch(word):
+            return self._match(word)
+        # what digits and marks hide is one error or a letter each; else each part is a word
+        whole = {self._match(word), self._match(word.translate(MEANT))}
+        parts = {self._match(p) for p in PART.findall(word)}
+        if 1 in parts:
+            return 1
+        if whole & {1, 2, 4}:
+            return 2
+        return min((parts | whole) - {0}, default=0)
+
+    def _match(self, word: str) -> int:
         state, stem = self.start, False
         for c in word:
             to = self.step[state].get(c)
@@ -121,8 +151,8 @@ class Lexicon:
                 return 3 if stem else 0
             stem = stem or self.stem[state]
         kind = self.kind[state]
-        if kind == 2 and len(word) < 5:
-            kind = 0
+        if kind == 2 and len(word) < LONG:
+            kind = 4
         return kind or (3 if stem else 0)
 
 
@@ -141,8 +171,8 @@ class Scorer:
         self.lexicon, self.weights = lexicon, weights
         self.known: dict[str, int] = {}
 
-    def hits(self, text: str) -> tuple[list[tuple[int, int, int, int]], list[str]]:
-        """(word number, kind, from, to) of each hit, and the words."""
+    def hits(self, text: str) -> tuple[list[tuple[int, int, int, int]], list[str], int]:
+        """(word number, kind, from, to) of each hit, the words, and the number of short words with an error."""
         lower = text.lower()
         if len(lower) != len(text):
             text = lower
@@ -150,15 +180,17 @@ class Scorer:
         known, match = self.known, self.lexicon.match
         if len(known) > MOST_KNOWN:
             known.clear()
-        found = []
+        found, short = [], 0
         for i, w in enumerate(words):
             kind = known.get(w)
             if kind is None:
                 kind = known[w] = match(w)
-            if kind:
+            if kind == 4:
+                short += 1
+            elif kind:
                 found.append((i, kind))
         if not found:
-            return [], words
+            return [], words, short
         wanted, out, k = dict(found), [], 0
         for i, m in enumerate(WORD.finditer(lower)):
             if i in wanted:
@@ -166,14 +198,15 @@ class Scorer:
                 k += 1
                 if k == len(found):
                     break
-        return out, words
+        return out, words, short
 
     def features(self, text: str | None) -> list[float]:
         """Sums over the hits of a text, by kind and context."""
         x = [0.0] * FEATURES
         if not text:
             return x
-        hits, words = self.hits(text)
+        hits, words, short = self.hits(text)
+        x[10] = math.log1p(100 * short / max(1, len(words)))
         if not hits:
             return x
         at = {i for i, *_ in hits}
@@ -207,9 +240,9 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(1, len(words) - 1):
                 w = words[i]
                 context = hash_context(words[i - 1], words[i + 1])
-                if len(w) >= 4:
-                    seen.add((w, False, toxic, context))
-                    seen.update((w[:n], True, toxic, context) for n in STEMS if n < len(w))
+                for part in (w,) if PART.fullmatch(w) else (w, *PART.findall(w)):
+                    seen.add((part, False, toxic, context))
+                    seen.update((part[:n], True, toxic, context) for n in STEMS if n < len(part))
         columns = list(zip(*seen, strict=True)) if seen else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.int32(), pa.int64()), strict=True)], ["unit", "stem", "toxic", "context"])
 
@@ -248,12 +281,12 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entrie
     other = sample.where("toxic = 0").select("text", "toxic").mapInArrow(_units, kinds).join(often.select("unit", "stem"), ["unit", "stem"], "left_semi")
     counted = often.join(other.groupBy("unit", "stem").agg(F.countDistinct("context").alias("fine")), ["unit", "stem"], "left").fillna(0, ["fine"])
     # how much more the contexts are toxic than a sample of this mixture would have them, as a log-likelihood ratio:
-    # that is about the contexts seen, so it is in sampled counts; the share to be required is one of all documents
+    # that is about the contexts seen, so it is in sampled counts
     base = totals[1] / (totals[0] + totals[1])
     share = F.col("bad") / (F.col("bad") + F.col("fine"))
-    of_all = F.col("bad") * weight[1] / (F.col("bad") * weight[1] + F.col("fine") * weight[0])
+    times = (F.col("bad") / totals[1]) / ((F.col("fine") + 0.5) / totals[0])
     gain = F.col("bad") * F.log(share / base) + F.when(F.col("fine") > 0, F.col("fine") * F.log((1 - share) / (1 - base))).otherwise(0)
-    rows = counted.select("unit", "stem", "bad", "fine", gain.alias("gain"), of_all.alias("share")).where((F.col("gain") > NEED) & (F.col("share") > 0.97)).orderBy(F.desc("gain"), "unit", "stem").limit(most_entries).collect()
+    rows = counted.select("unit", "stem", "bad", "fine", gain.alias("gain"), times.alias("times")).where((F.col("gain") > NEED) & (F.col("times") >= TIMES)).orderBy(F.desc("gain"), "unit", "stem").limit(most_entries).collect()
     stems: list[str] = []
     for r in sorted((r for r in rows if r.stem), key=lambda r: len(r.unit)):
         if not any(r.unit.startswith(s) for s in stems):

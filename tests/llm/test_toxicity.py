@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from covenant.llm import toxicity
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, toxic int"
@@ -34,3 +36,34 @@ def test_scores_are_shares_of_all_labelled_documents(spark):
     none, hit = (scorer.score(scorer.features(t)) for t in ("wordbbbb wordcccc", rows[0][0]))
     assert 0.02 < none < 0.12  # 60 of 1140
     assert hit > toxicity.THRESHOLD
+
+
+def test_misspelled_and_masked_words_are_hits():
+    lexicon = toxicity.Lexicon(["idiot", "moron", "stupid", "ass", "scum"], ["disg"])
+    scorer = toxicity.Scorer(lexicon, np.zeros(toxicity.FEATURES + 1))
+    kinds = lambda text: [kind for _, kind, *_ in scorer.hits(text)[0]]
+    assert kinds("You id1ot, m0ron, st*pid, $cum and a$$!") == [2] * 5
+    assert kinds("xdiot tupid xtupid") == [2] * 3  # an error at the first letter
+    assert kinds("**idiot** moron!Go ass1") == [1] * 3
+    assert kinds("disgusted 1d1ot") == [3, 2]
+    assert kinds("2019 a plain text, don't you+me 4 all") == []
+    assert scorer.hits("scam asp diot")[2] == 3
+    assert lexicon.match("scum") == 1 and lexicon.match("idlers") == 0
+
+
+def test_quoted_slurs_stay_in_the_lexicon(spark):
+    """A word of three letters that clean documents quote in a twentieth of its contexts."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(800):
+        words = prose(rng)
+        if i % 4 == 0:
+            words[5] = "zog"
+        if i % 80 == 1:
+            words[4:7] = ["wrote", "“zog”", "quoted"]
+        rows.append((" ".join(words), int(i % 4 == 0)))
+    model = toxicity.learn(*tables(spark, rows))
+    assert "zog" in model.words
+    scorer = model.scorer()
+    abusive, quoted = (scorer.score(scorer.features(rows[i][0])) for i in (0, 1))
+    assert abusive > 0.5 > quoted
