@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyarrow import fs
@@ -45,31 +46,46 @@ def _file_system(folder: str) -> tuple[fs.FileSystem, str]:
 
 
 def write_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array as a file; a task that is run again replaces them as a whole."""
+    """Each array as a file, named by its kind and length; a task that is run again replaces them as a whole."""
     store, path = _file_system(folder)
     store.create_dir(path, recursive=True)
     for key, x in arrays.items():
         scratch = f"{path}/.{uuid.uuid4().hex}"
         with store.open_output_stream(scratch) as out:
             out.write(np.ascontiguousarray(x).tobytes())
-        store.move(scratch, f"{path}/{name}.{key}.{x.dtype.kind}{x.itemsize}")
+        store.move(scratch, f"{path}/{name}.{key}.{x.dtype.kind}{x.itemsize}.{len(x)}")
 
 
 class Arrays:
-    """Arrays in the shared folder, mapped into memory when first used."""
+    """Arrays in the shared folder, mapped into memory when first used.
 
-    def __init__(self, folder: str) -> None:
+    ``parts`` are the names, without the key, that tasks have reported as written: of those, a file that
+    isn't there, or isn't of the length in its name, is an error, as on a machine that doesn't see the
+    folder. Arrays of other names are empty.
+    """
+
+    def __init__(self, folder: str, parts: Iterable[str]) -> None:
         self.store, self.path = _file_system(folder)
+        self.parts = frozenset(parts)
         self.own: str | None = None
-        self.names = {f.base_name.rpartition(".")[0]: (f.base_name, f.size) for f in self.store.get_file_info(fs.FileSelector(self.path, allow_not_found=True)) if not f.base_name.startswith(".")}
+        self.names: dict[str, tuple[str, int]] = {}
+        for f in self.store.get_file_info(fs.FileSelector(self.path, allow_not_found=True)):
+            if not f.base_name.startswith("."):
+                self.names[f.base_name.rsplit(".", 2)[0]] = (f.base_name, f.size)
         self.open: dict[str, np.ndarray] = {}
 
     def __call__(self, name: str) -> np.ndarray:
         if name not in self.open:
-            file, size = self.names.get(name, ("", 0))
-            if not size:
+            if name.rpartition(".")[0] not in self.parts:
                 return np.empty(0, np.uint64)
-            kind = np.dtype(file.rpartition(".")[2])
+            if name not in self.names:
+                raise FileNotFoundError(f"{self.path} has no array {name}; all executors have to share this folder")
+            file, size = self.names[name]
+            _, kind, length = file.rsplit(".", 2)
+            if size != int(length) * np.dtype(kind).itemsize:
+                raise OSError(f"{self.path}/{file} has {size} bytes")
+            if not size:
+                return np.empty(0, kind)
             path = f"{self.path}/{file}"
             if not isinstance(self.store, fs.LocalFileSystem):
                 if self.own is None:

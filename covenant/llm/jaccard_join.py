@@ -1,29 +1,38 @@
 """Exact self-join of texts by the Jaccard similarity of their word shingles, and its components.
 
-Jaccard distance is a metric, and documents within a distance of 1/4 link. Documents themselves make
-poor pivots: almost all of them are at distance 1 from each other, so a window of twice the radius
-around a Voronoi border takes in everything. The pivots here are single shingles: a document that has
-the shingle is nearer to it than any that doesn't, so a region is the documents that share it. Were
-only a document's first shingle (in one order of all shingles, rare before frequent) its pivot, links
-would cross borders; a document at distance 1/4 lacks at most a quarter of the shingles, so a window
-of the first quarter, and one more, replicates it to every region in which a link can be met first.
-
-Regions then join recursively. In each, the document of least id is the pivot, and its distance to
-every other is a candidate pair; pairs are verified and linked documents become components. Verifying is
-exact: a sketch of each set, whose distance is never more than the sets' own, rules most pairs out,
-and the whole sets of the rest are compared.
-Regions that hold several components still go on to the next pivot, and after ``rounds`` of those all
-pairs of documents of different components and fitting sizes are verified. Copies by the thousand so
-cost a pair each and not a pair of pairs, and no link between components is missed.
+Jaccard distance is a metric, and documents within a distance of 1/4 link. The first pivots are single
+shingles, which are points of the same space: a document that has the shingle is nearer to it than any
+that doesn't, so its Voronoi region is the documents that share it. Were only a document's first shingle
+(in one order of all shingles, rare before frequent) its pivot, links would cross borders; a document at
+distance 1/4 lacks at most a quarter of the shingles, so a window of the first quarter, and one more,
+replicates it to every region in which a link can be met first. Whole documents as the first pivots
+would be at distance 1 from almost all others, and windows around their borders would take in everything.
+
+Inside a region pivots are documents. The one of least id meets all others first; linked documents
+become components, and regions of one component are settled. The rest join recursively, any number of
+times, with more pivots each time, all of them outside the region's largest component: a pivot meets
+the documents of other components and is then done with. For x and y that link, with a pivot p:
+
+- if one is within 1/4 of p, the other is within 1/2, by the triangle inequality: what links with p and
+  the window of what may be within 1/2 of it go on as a region of their own, where the window is of
+  another component;
+- if neither links with any pivot, both stay in the region that is left over.
+
+So crowds of copies cost a pair each and not a pair of pairs, what is far from a crowd never meets its
+members, and no link between components is missed. Pairs are verified exactly: a sketch of each set,
+whose distance is never more than the sets' own, rules most out, and the whole sets of the rest are
+compared. Regions of more than ``wide`` documents are dealt to many tasks by document and meet as one
+from the second turn on.
 
 Documents with equal sets are one from the start. The order of shingles is by the number of documents
 that have them, counted over all and read from arrays mapped into memory; it decides how many pairs
 there are to verify and never which links are found. Shingles that one document has make no region.
 
 Defined results: null and empty texts, and texts without words, have an empty set and link with
-nothing; texts of one to four words have one shingle, all of them; a row repeated gets the same result;
-a null doc_id links with nothing and is its own null component; an empty table gives an empty one;
-other columns are not looked at.
+nothing; texts of one to four words have one shingle, all of them; rows are told apart by doc_id and
+text, so of several texts with one doc_id each has its own result, and a row repeated gets the same one;
+a row with a null doc_id links as any other, and its component has the least doc_id that there is in it,
+or null if there is none; an empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,11 +43,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from covenant.llm.arrays import Arrays, as_bytes, grouped, narrow, of_bytes, write_arrays
-from covenant.llm.shared import SPACES, WordHasher, by_bytes, connected_components, materialized, mixed, n_slices, rows_of, rows_without, shared_dir
+from covenant.llm.shared import FIRST_NODE, SPACES, WordHasher, by_bytes, connected_components, few, joined_by_group, materialized, mixed, n_slices, rows_of, rows_without, shared_dir, with_nodes
 
 WORDS = 5
 #: Links are where PARTS * shared >= NEED * all.
@@ -94,7 +104,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         values, at = shingle_sets(hasher, b.column("text"))
         f1, f2 = _sums(values, at), _sums(mixed(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array(np.diff(at)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sketches(values, at)], ["doc_id", "n_shingles", "f1", "f2", "sketch"]
+            [b.column("doc_id"), b.column("node"), pa.array(np.diff(at)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sketches(values, at)],
+            ["doc_id", "node", "n_shingles", "f1", "f2", "sketch"],
         )
 
 
@@ -170,10 +181,11 @@ class Order:
     folder: str
     slices: int
     bits: int
+    parts: tuple[str, ...] = ()
 
     def reader(self) -> Callable[[np.ndarray], np.ndarray]:
         """Numbers of documents of shingles; 0 for those that only one has."""
-        arrays = Arrays(self.folder)
+        arrays = Arrays(self.folder, self.parts)
 
         def look(values: np.ndarray) -> np.ndarray:
             by_value = np.argsort(values)
@@ -205,7 +217,8 @@ def shingle_order(docs: DataFrame, total: int, slice_rows: int = 4_000_000) -> O
     bits = min(44, max(34, total.bit_length() + 7))
     order = Order(f"{shared_dir(spark)}/shingle-order-{uuid.uuid4().hex}", slices, bits)
     packed = docs.select("text").mapInArrow(_shingle_counts(slices, bits), "slice int, first long, gaps binary, counts binary")
-    packed.groupBy("slice").applyInArrow(_counts_added(order.folder, slices, bits), "slice int, n long").agg(F.sum("n")).collect()
+    done = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_counts_added(order.folder, slices, bits), "slice int, n long").collect()
+    order.parts = tuple(f"shared-{r.slice}" for r in done)
     return order
 
 
@@ -214,10 +227,11 @@ def window(n: np.ndarray) -> np.ndarray:
     return n - (NEED * n + PARTS - 1) // PARTS + 1
 
 
-def _windows(shingles: Order, slices: int):
+def _windows(shingles: Order, slices: int, wide: int):
     """Packed (shingle, document, size, place) of the windows of documents, by slices of shingles.
 
-    A shingle that no other document has is first in the order and makes no region.
+    A shingle that no other document has is first in the order and makes no region. Those that more than
+    ``wide`` documents have are dealt by document too, to as many slices again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +242,14 @@ def _windows(shingles: Order, slices: int):
 
         def packed() -> pa.RecordBatch:
             rows = [np.concatenate(x) for x in zip(*held, strict=True)]
-            part = (rows[0] >> np.uint64(32)).astype(np.int64) * slices >> 32
+            is_wide = rows.pop()
+            with np.errstate(over="ignore"):
+                dealt = np.where(is_wide, mixed(rows[0] ^ mixed(rows[1].view(np.uint64))), rows[0])
+            part = ((dealt >> np.uint64(32)).astype(np.int64) * slices >> 32) + is_wide * slices
             order = np.argsort(part, kind="stable")
             rows = [x[order] for x in rows]
-            cuts = np.searchsorted(part[order], np.arange(slices + 1))
-            some = [(s, cuts[s], cuts[s + 1]) for s in range(slices) if cuts[s + 1] > cuts[s]]
+            cuts = np.searchsorted(part[order], np.arange(2 * slices + 1))
+            some = [(s, cuts[s], cuts[s + 1]) for s in range(2 * slices) if cuts[s + 1] > cuts[s]]
             return pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _, _ in some], pa.int32()), *(pa.array([x[a:z].tobytes() for _, a, z in some], pa.binary()) for x in rows)],
                 ["slice", "h", "doc", "size", "place"],
@@ -241,7 +258,7 @@ def _windows(shingles: Order, slices: int):
         for b in by_bytes(batches):
             values, at = shingle_sets(hasher, b.column("text"))
             sizes = np.diff(at)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = b.column("node").to_numpy(zero_copy_only=False)
             owners = np.repeat(np.arange(len(sizes)), sizes)
             rank = n_docs(values)
             # by document, then number of documents, then hash, which they are in already
@@ -251,7 +268,7 @@ def _windows(shingles: Order, slices: int):
             keep = (place < window(sizes)[owners]) & (rank > 0)
             # the place as a share of the size in 255ths, rounded down
             share = place[keep] * 255 // sizes[owners[keep]]
-            held.append((values[keep], ids[owners[keep]].astype(np.int64), sizes[owners[keep]].astype(np.int32), share.astype(np.uint8)))
+            held.append((values[keep], ids[owners[keep]].astype(np.int64), sizes[owners[keep]].astype(np.int32), share.astype(np.uint8), rank[keep] > wide))
             n_held += int(keep.sum())
             if n_held > 2_000_000:
                 yield packed()
@@ -268,27 +285,41 @@ def _fits(a: np.ndarray, b: np.ndarray, place_a: np.ndarray, place_b: np.ndarray
     return PARTS * most >= NEED * (a + b - most)
 
 
-def _regions(batch: pa.Table) -> pa.Table:
-    """Of a slice: pivot pairs of each region (member null), and members of regions of three or more."""
+def _can_link(a: Column, b: Column, place_a: Column, place_b: Column) -> Column:
+    """The same of columns."""
+    most = F.least(a - F.floor(place_a * a / 255), b - F.floor(place_b * b / 255))
+    return PARTS * most >= NEED * (a + b - most)
+
+
+def _regions(slices: int):
+    """Of a slice: pivot pairs of each region (h null), and members of regions of three or more, and of all wide ones."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        return _slice_regions(batch, batch["slice"][0].as_py() >= slices)
+
+    return run
+
+
+def _slice_regions(batch: pa.Table, wide: bool) -> pa.Table:
     h, doc, size, place = (np.frombuffer(b"".join(batch[c].to_pylist()), k) for c, k in (("h", np.uint64), ("doc", np.int64), ("size", np.int32), ("place", np.uint8)))
     order = np.argsort(h)
     h, doc, size, place = h[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     lengths = np.diff(np.append(starts, len(h)))
-    several = np.repeat(lengths > 1, lengths)
+    several = np.repeat(lengths > 1, lengths) | wide
     h, doc, size, place = h[several], doc[several], size[several], place[several]
-    lengths = lengths[lengths > 1]
+    lengths = lengths[(lengths > 1) | wide]
     order = np.lexsort((doc, np.repeat(np.arange(len(lengths)), lengths)))
     doc, size, place = doc[order], size[order], place[order]
     first = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    pair = np.flatnonzero((np.arange(len(doc)) != first) & _fits(size, size[first], place, place[first]))
+    pair = np.flatnonzero((doc != doc[first]) & _fits(size, size[first], place, place[first]))
     a, b = doc[first[pair]], doc[pair]
     if len(a):
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
         a, b = a[fresh], b[fresh]
-    larger = np.repeat(lengths > 2, lengths)
+    larger = np.repeat((lengths > 2) | wide, lengths)
     m_h, m_doc, m_size, m_place = h[larger].view(np.int64), doc[larger], size[larger], place[larger]
     none = np.zeros(len(a), np.int64)
     return pa.table({
@@ -300,38 +331,12 @@ def _regions(batch: pa.Table) -> pa.Table:
     })
 
 
-def _next_pairs(turn: int, last: bool):
-    """Of members (h, a, size, place, label): pairs of different labels with the pivot of this turn, or all."""
-
-    def run(batch: pa.Table) -> pa.Table:
-        h, doc, size, place, label = (batch[c].to_numpy() for c in ("h", "a", "size", "place", "label"))
-        order = np.lexsort((doc, h))
-        h, doc, size, place, label = h[order], doc[order], size[order], place[order], label[order]
-        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-        mixed_labels = np.zeros(len(starts), bool)
-        if len(starts):
-            mixed_labels = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
-        ends = np.append(starts[1:], len(h))
-        pairs = []
-        for low, high in zip(starts[mixed_labels].tolist(), ends[mixed_labels].tolist(), strict=True):
-            # the pivots of earlier turns have met all others
-            for i in range(low + turn, high - 1 if last else min(low + turn + 1, high - 1)):
-                rest = np.arange(i + 1, high)
-                rest = rest[(label[rest] != label[i]) & _fits(size[rest], size[i], place[rest], place[i])]
-                if len(rest):
-                    pairs.append(np.stack([np.full(len(rest), doc[i]), doc[rest]], 1))
-        out = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-        return pa.table({"a": pa.array(out[:, 0].astype(np.int64)), "b": pa.array(out[:, 1].astype(np.int64))})
-
-    return run
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher(SPACES)
     for b in by_bytes(batches):
         values, at = shingle_sets(hasher, b.column("text"))
         blobs = [values[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,58 +352,112 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
 
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches don't rule out that they link."""
-    for batch in batches:
-        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("one", "two"))
-        differ = np.abs(one - two).sum(1)
-        both = batch.column("n_one").to_numpy() + batch.column("n_two").to_numpy()
-        # sets that differ in so many share (both - differ) / 2 at most, of (both + differ) / 2 at least
-        at = pa.array(np.flatnonzero(PARTS * (both - differ) >= NEED * (both + differ)))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+def _possible(need: int, parts: int):
+    """Pairs whose sketches don't rule out that they share need / parts of all their shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("one", "two"))
+            differ = np.abs(one - two).sum(1)
+            both = batch.column("n_one").to_numpy() + batch.column("n_two").to_numpy()
+            # sets that differ in so many share (both - differ) / 2 at most, of (both + differ) / 2 at least
+            at = pa.array(np.flatnonzero(parts * (both - differ) >= need * (both + differ)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The candidate pairs (a, b) that link: by sketches first, then by the whole sets of both."""
+    return run
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
+
+def possible(pairs: DataFrame, prints: DataFrame, need: int, parts: int, name: str) -> DataFrame:
+    """The distinct pairs (a, b) whose sketches don't rule out that similarity."""
     pairs = materialized(pairs.select("a", "b").distinct(), f"{name}-candidates")
-    prints = rows_of(prints, _ends(pairs)).groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
-    of = lambda side, x: prints.select(F.col("doc_id").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
+    prints = rows_of(prints, _ends(pairs), "node").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    of = lambda side, x: prints.select(F.col("node").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
     near = pairs.join(of("b", "two"), "b").join(of("a", "one"), "a")
-    pairs = materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible, "a long, b long"), f"{name}-pairs")
-    sets = rows_of(docs, _ends(pairs)).select("doc_id", "text").mapInArrow(_sets, "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles"))
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two")), "b").join(
-        sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one")), "a"
-    )
-    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long"), f"{name}-links")
+    return materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible(need, parts), "a long, b long"), f"{name}-possible")
 
 
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The candidate pairs (a, b) that link: by sketches first, then by the whole sets of both."""
+    pairs = possible(pairs, prints, NEED, PARTS, name)
+    sets = rows_of(docs, _ends(pairs), "node").select("node", "text").mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").join(
+        sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a"
+    )
+    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long"), f"{name}-links")
 
 
-def jaccard_components(docs: DataFrame, rounds: int = 2, slice_rows: int = 1_000_000) -> DataFrame:
+def _pivots(members: DataFrame, most: int) -> DataFrame:
+    """(h, p, p_size, p_place, p_label) of up to ``most`` components but the largest of each unsettled region: its least document."""
+    of_label = members.groupBy("h", "label").agg(F.count("*").alias("n"), F.min(F.struct("a", "size", "place")).alias("p"))
+    of_label = materialized(of_label, "region-labels")
+    largest = of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("largest")).where("labels > 1")
+    others = of_label.join(largest, "h").where("label <> largest")
+    first = F.row_number().over(Window.partitionBy("h").orderBy("p")) <= most
+    return others.select("h", "p.a", "p.size", "p.place", "label", first.alias("first")).where("first").toDF("h", "p", "p_size", "p_place", "p_label", "first").drop("first")
+
+
+def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, docs: DataFrame, first_pivots: int = 4) -> DataFrame:
+    """Labels (id, component) of all documents that link, by joining members (h, a, size, place) recursively."""
+    turn, most = 1, first_pivots
+    labels = connected_components(edges, "turn-0")
+    while True:
+        labelled = members.join(labels.select(F.col("id").alias("a"), "component"), "a", "left").select("h", "a", "size", "place", F.coalesce("component", "a").alias("label"))
+        labelled = materialized(labelled, "members")
+        pivots = materialized(_pivots(labelled, most), "pivots")
+        if pivots.isEmpty():
+            return labels
+        open_ = labelled.join(few(pivots.select("h").distinct()), "h", "left_semi")
+        met = open_.join(few(pivots), "h").where("label <> p_label")
+        new = links(met.where(_can_link(F.col("size"), F.col("p_size"), F.col("place"), F.col("p_place"))).select(F.col("p").alias("a"), F.col("a").alias("b")), prints, docs, f"turn-{turn}")
+        found = not new.isEmpty()
+        if found:
+            edges = edges.unionByName(new)
+            labels = connected_components(edges, f"turn-{turn}")
+        linked = met.join(new.select(F.col("a").alias("p"), F.col("b").alias("a")), ["p", "a"], "left_semi").select("h", "p", "a", "size", "place")
+        done = pivots.select("h", F.col("p").alias("a"))
+        if found:
+            linked = materialized(linked, "linked")
+            # what may be within 1/2 of a pivot that links with some: the window around its crowd
+            around = met.join(linked.select("h", "p").distinct(), ["h", "p"], "left_semi").join(linked.select("h", "p", "a"), ["h", "p", "a"], "left_anti")
+            around = around.where((2 * F.col("size") >= F.col("p_size")) & (F.col("size") <= 2 * F.col("p_size")))
+            near = possible(around.select(F.col("p").alias("a"), F.col("a").alias("b")), prints, 1, 2, f"window-{turn}")
+            window = around.join(near.select(F.col("a").alias("p"), F.col("b").alias("a")), ["p", "a"], "left_semi").select(*linked.columns)
+            crowds = linked.join(window.select("h", "p").distinct(), ["h", "p"], "left_semi").unionByName(window)
+            crowds = crowds.select(F.xxhash64("h", "p").alias("h"), "a", "size", "place")
+            done = done.unionByName(linked.select("h", "a"))
+        rest = open_.select("h", "a", "size", "place").join(done.distinct(), ["h", "a"], "left_anti")
+        members = rest.unionByName(crowds) if found else rest
+        turn, most = turn + 1, most * 4
+
+
+def jaccard_components(docs: DataFrame, slice_rows: int = 1_000_000, wide: int = 10_000) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    prints = materialized(docs.mapInArrow(_fingerprints, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary"), "shingle-prints")
+    docs, renamed = with_nodes(docs.select("doc_id", "text"))
+    prints = materialized(docs.mapInArrow(_fingerprints, "doc_id long, node long, n_shingles long, f1 long, f2 long, sketch binary"), "shingle-prints")
     key = ["f1", "f2", "n_shingles"]
-    classes = materialized(prints.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "shingle-classes")
-    total = classes.agg(F.sum("n_shingles").alias("shingles")).first()
-    copies = prints.join(classes.where("n > 1"), key).where("doc_id <> rep").select("doc_id").distinct()
-    copies = materialized(copies, "shingle-copies")
-    reps = rows_without(docs.where("doc_id is not null"), copies)
-    order = shingle_order(reps, total["shingles"] or 0)
-    slices = max(n_slices(docs.sparkSession), (total["shingles"] or 0) // (4 * slice_rows))
-    packed = reps.mapInArrow(_windows(order, slices), "slice int, h binary, doc binary, size binary, place binary")
-    found = materialized(packed.groupBy("slice").applyInArrow(_regions, "h long, a long, b long, size long, place long"), "regions")
+    classes = materialized(prints.where("n_shingles > 0").groupBy(*key).agg(F.min("node").alias("rep"), F.count("*").alias("n")), "shingle-classes")
+    total = classes.agg(F.sum("n_shingles").alias("shingles")).first()["shingles"] or 0
+    copies = materialized(joined_by_group(prints.select("node", *key), classes.where("n > 1"), key, "n").where("node <> rep").select("node").distinct(), "shingle-copies")
+    reps = rows_without(docs, copies, "node")
+    order = shingle_order(reps, total)
+    slices = max(n_slices(docs.sparkSession), total // (4 * slice_rows))
+    packed = reps.select("node", "text").mapInArrow(_windows(order, slices, wide), "slice int, h binary, doc binary, size binary, place binary")
+    found = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_regions(slices), "h long, a long, b long, size long, place long")
+    found = materialized(found, "regions")
     edges = links(found.where("h is null"), prints, docs, "turn-0")
-    members = found.where("h is not null").select("h", "a", "size", "place")
-    nodes = classes.select(F.col("rep").alias("id"))
-    for turn in range(1, rounds + 1):
-        labels = connected_components(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct(), edges, f"turn-{turn}")
-        labelled = members.join(labels.withColumnRenamed("id", "a"), "a", "left").select("h", "a", "size", "place", F.coalesce("component", "a").alias("label"))
-        spread = F.pmod(F.xxhash64("h"), F.lit(slices)).alias("slice")
-        pairs = labelled.select("*", spread).groupBy("slice").applyInArrow(_next_pairs(turn, turn == rounds), "a long, b long")
-        edges = edges.union(links(pairs, prints, docs, f"turn-{turn}"))
-    components = connected_components(nodes, edges, "components")
-    of_class = classes.join(components, classes["rep"] == components["id"]).select(*key, "component")
-    return prints.join(of_class, key, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place"), edges, prints, docs)
+    of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "n", F.coalesce("component", "rep").alias("component"))
+    of_class = materialized(of_class, "class-components")
+    out = joined_by_group(prints.where("n_shingles > 0").select("doc_id", "node", *key), of_class, key, "n").select("doc_id", "node", "n_shingles", "component")
+    out = out.unionByName(prints.where("n_shingles = 0").select("doc_id", "node", "n_shingles", F.col("node").alias("component")))
+    if not renamed:
+        return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    # the least doc_id of a component, where nodes that are none take part
+    out = materialized(out, "node-components")
+    least = out.where(F.col("node") >= FIRST_NODE).groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = F.least(F.when(F.col("component") < FIRST_NODE, F.col("component")), "least")
+    return out.join(few(least), "component", "left").select("doc_id", "n_shingles", named.alias("component_id"))

@@ -20,14 +20,14 @@ PIECE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. In a session of one machine without that
+    setting it is a temporary folder; on a cluster its absence is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
-        jsc_dir = spark.sparkContext.getCheckpointDir()
-        if jsc_dir is None:
-            jsc_dir = tempfile.mkdtemp(prefix="covenant-")
-            spark.sparkContext.setCheckpointDir(jsc_dir)
-        path = jsc_dir
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="covenant-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -55,17 +55,62 @@ def _counted(ids: DataFrame, key: str, most: int) -> DataFrame:
     return F.broadcast(ids) if ids.limit(most + 1).count() <= most else ids
 
 
+def few(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, to be sent to all rows if it is counted to have no more than so many, or else joined by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def joined_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, most_hot: int = 10_000) -> DataFrame:
+    """Rows joined with their group, of which there is one for each value of the keys.
+
+    ``size`` is a column of groups with the number of their rows. Groups that hold more than one row in
+    ``most_hot`` of all, so fewer than that in number, are sent to the rows; the rest meet by a shuffle, in
+    which no key has more than that share.
+    """
+    total = groups.agg(F.sum(size).alias("n")).first()["n"] or 0
+    hot = groups.where(F.col(size) * most_hot > max(total, 1000 * most_hot))
+    if hot.isEmpty():
+        return rows.join(groups, keys)
+    cold = groups.where(F.col(size) * most_hot <= max(total, 1000 * most_hot))
+    return rows.join(F.broadcast(hot), keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+#: Ids from here on are given to rows that their doc_id doesn't tell from others.
+FIRST_NODE = 1 << 62
+
+
+def with_nodes(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs (doc_id, text, ...) with ``node``, a number for each doc_id and text, and whether any node isn't a doc_id.
+
+    A doc_id of one row is its node. Where several rows have one, or it is null or no less than
+    FIRST_NODE, the node is a hash of both that no other such row has, FIRST_NODE at least.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("_n"))
+    odd = materialized(ids.where((F.col("_n") > 1) | F.col("doc_id").isNull() | (F.col("doc_id") >= FIRST_NODE)).select("doc_id", F.lit(True).alias("_odd")), "odd-ids")
+    if odd.isEmpty():
+        return docs.withColumn("node", F.col("doc_id")), False
+    told = docs.join(few(odd.where("doc_id is not null")), "doc_id", "left")
+    is_odd = F.col("_odd").isNotNull() | F.col("doc_id").isNull()
+    seed = 0
+    while True:
+        made = F.lit(FIRST_NODE) + F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), "doc_id", "text"), F.lit(FIRST_NODE))
+        names = told.where(is_odd).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("text").isNull().alias("none"), made.alias("node")).distinct()
+        if names.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return told.withColumn("node", F.when(is_odd, made).otherwise(F.col("doc_id"))).drop("_odd"), True
+        seed += 1
+
+
 def n_slices(spark: SparkSession, least: int = 32) -> int:
     """Partitions to deal hashed rows to; follows the cluster's setting and not the data's keys."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-    """(id) and (a, b) to (id, component): the smallest id that each id reaches.
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
+    """Edges (a, b) to (id, component): the smallest id that each id of an edge reaches.
 
     Labels of neighbours meet in a grouped min, which Spark combines before the shuffle, and labels
     are then replaced by their own labels (pointer jumping), so rounds grow with the logarithm of a
-    component's diameter. Nodes without edges never take part in the rounds.
+    component's diameter. Up to a million labels are sent to the edges; beyond that both are shuffled.
     """
     both = materialized(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
@@ -74,14 +119,14 @@ def connected_components(nodes: DataFrame, edges: DataFrame, name: str) -> DataF
     labels = materialized(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{name}-labels")
     while True:
         near = (
-            both.join(labels.select(F.col("a").alias("b"), "label"), "b")
+            both.join(few(labels.select(F.col("a").alias("b"), "label")), "b")
             .groupBy("a")
             .agg(F.min("label").alias("near"))
         )
         stepped = labels.join(near, "a", "left").select(
             "a", F.col("label").alias("old"), F.least("label", "near").alias("label")
         )
-        jumped = labels.select(F.col("a").alias("label"), F.col("label").alias("further"))
+        jumped = few(labels.select(F.col("a").alias("label"), F.col("label").alias("further")))
         new = materialized(
             stepped.join(jumped, "label", "left").select("a", "old", F.least("label", "further").alias("label")),
             f"{name}-labels",
@@ -89,8 +134,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, name: str) -> DataF
         labels = new.select("a", "label")
         if new.where("old <> label").isEmpty():
             break
-    labels = labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
-    return nodes.select("id").join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -56,13 +56,34 @@ def test_odd_rows(spark):
 
 
 def test_rows_repeated_null_ids_and_nothing(spark):
-    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f")], SCHEMA)
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (None, "a b c d e f"), (None, "x"), (None, None)], SCHEMA)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()), key=str)
-    assert [x for x in got if x[0] is not None] == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
-    assert len(got) == 4
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (2, 2, 1), (None, 2, 1), (None, 1, None), (None, 0, None)], key=str)
     assert jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_one_doc_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f"), (1, "x y z w v u"), (2, "a b c d e f"), (3, "x y z w v u"), (5, "x y z w v u"), (5, "p q r s t"), (7, "p q r s t"), (7, ""), (7, None)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (5, 1, 5), (5, 2, 1), (7, 0, 7), (7, 0, 7), (7, 1, 5)]
+
+
+def test_crowds_that_share_a_passage(spark):
+    """Regions with several crowds and documents between them, dealt wide: the recursive turns find every link."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(100_000)}"
+    shared = [word() for _ in range(60)]
+    texts: dict[int, str | None] = {}
+    for _ in range(9):
+        tail = [word() for _ in range(rng.randrange(4, 24))]
+        for _ in range(rng.choice([1, 2, 6, 15])):
+            copy = shared + tail
+            for _ in range(rng.randrange(0, 5)):
+                copy[rng.randrange(len(copy))] = word()
+            texts[len(texts)] = " ".join(copy)
+    check(jaccard_components(spark.createDataFrame(list(texts.items()), SCHEMA), wide=10), texts)
+
+
 def test_order_counts_documents(spark):
     texts = {i: "a b c d e" + (" f" if i % 2 else f" g{i}") for i in range(6)}
     order = jaccard_join.shingle_order(spark.createDataFrame(list(texts.items()), SCHEMA), 12)
