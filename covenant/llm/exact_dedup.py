@@ -5,15 +5,16 @@ given by its distance from the end is its share of the whole: shares add up, wha
 them. Texts longer than ``segment_bytes`` become several rows, and a grouped sum of their shifted
 hashes gives the fingerprint of the whole.
 
-Rows of equal fingerprint and length meet in a grouped count; each text of a group with two rows or
-more is then compared with the text of the group's representative, chunk by chunk, in an
-equi-join on (representative, salt, chunk number). A text that differs from its representative, as
-hashes may collide, joins the next round among those that differed from the same one.
-
-Defined results: a null text counts as empty; empty texts are equal to each other; a row repeated
-comes out as often, each with the same result; a null doc_id counts as smaller than any other, is
-grouped by fingerprint alone, and keeps a null where only such rows share a text; an empty table gives an empty one; other
-columns are not looked at.
+Rows of equal fingerprint and length meet in a grouped count; groups that hold a large share of all
+rows are sent to the rows, so that no task gets such a group whole. Each text of a group with two rows
+or more is then compared with the text of the group's representative, chunk by chunk, in an equi-join on
+(group, salt, chunk number). A text that differs from its representative, as hashes may collide, joins
+the next round among those that differed from the same one.
+
+Defined results: a null text counts as empty; empty texts are equal to each other; rows are told apart
+by doc_id and text, so of several texts with one doc_id each has its own group; a row repeated comes out
+as often, each with the same result; a null doc_id counts as smaller than any other, and keeps a null
+where only such rows share a text; an empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.shared import buffers, materialized, rows_of
+from covenant.llm.shared import buffers, by_bytes, few, joined_by_group, materialized
 
 #: Two prime moduli of 31 bits, and a base for each.
 MODULI = (2147483647, 2147483629)
@@ -92,7 +93,7 @@ def fingerprints(docs: DataFrame, segment_bytes: int = 4 << 20, moduli: tuple[in
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fingerprint = Fingerprinter(moduli, bases)
-        for b in batches:
+        for b in by_bytes(batches, "part"):
             hashes = fingerprint(*buffers(b.column("part")))
             after = b.column("after").to_numpy()
             for i in np.flatnonzero(after):
@@ -116,6 +117,11 @@ def _chunks(size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.expr("cast(text as binary)").substr(k * size + 1, F.lit(size)))
 
 
+def _id() -> Column:
+    """A doc_id as a key without null."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
 def exact_dedup(docs: DataFrame, salt_rows: int = 64, compare_bytes: int = 1 << 16, **fingerprint) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -125,41 +131,43 @@ def exact_dedup(docs: DataFrame, salt_rows: int = 64, compare_bytes: int = 1 <<
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     prints = materialized(fingerprints(docs, **fingerprint), "fingerprints")
     key = ["h1", "h2", "n_bytes"]
-    groups = prints.groupBy(*key).agg(F.max("doc_id").alias("rep"), F.sum("copies").alias("n"), F.count("*").alias("texts"))
-    several = groups.where("texts > 1").drop("texts")
-    members = materialized(prints.join(several, key), "equal-fingerprints")
-    texts = materialized(rows_of(docs, members).select("doc_id", "text", F.sha2("text", 256).alias("sha")).distinct(), "texts-to-compare")
-    settled = None
+    rep = F.max(F.struct("doc_id", "sha")).alias("rep")
+    groups = materialized(prints.groupBy(*key).agg(rep, F.sum("copies").alias("n"), F.count("*").alias("rows")), "fingerprint-groups")
+    joined = materialized(joined_by_group(prints, groups, key, "rows"), "grouped-fingerprints")
+    settled = joined.where("rows = 1")
+    members = joined.where("rows > 1")
+    texts = materialized(_texts_of(docs, members), "texts-to-compare")
     while True:
+        # in a group, texts are told apart by what they are and not by whose they are
         salts = F.ceil(F.col("n") / salt_rows)
-        members = materialized(members.withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts)), "members")
-        theirs = (
-            texts.join(members.where("doc_id <> rep").select("doc_id", "sha", "rep", "salt"), ["doc_id", "sha"])
-            .select("doc_id", "sha", "rep", "salt", F.posexplode(_chunks(compare_bytes)).alias("k", "part"))
-        )
-        reps = members.where("doc_id = rep").groupBy("rep").agg(F.max("sha").alias("sha"), F.max("n").alias("n"))
-        own = (
-            texts.join(reps.withColumnRenamed("rep", "doc_id"), ["doc_id", "sha"])
-            .select(F.col("doc_id").alias("rep"), "n", F.posexplode(_chunks(compare_bytes)).alias("k", "rep_part"))
-            .select("rep", "k", "rep_part", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
-        )
-        differ = materialized(theirs.join(own, ["rep", "salt", "k"]).where("part <> rep_part").select("doc_id", "sha", "rep").distinct(), "differ")
-        done = differ.isEmpty()
-        columns = ["doc_id", "sha", *key, "copies", "rep"]
-        same = (members if done else members.join(differ, ["doc_id", "sha", "rep"], "left_anti")).select(*columns)
-        settled = same if settled is None else settled.unionByName(same)
-        if done:
+        told = members.select(_id().alias("id"), "sha", F.col("rep.sha").alias("group"), *key, "n", (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("sha") == F.col("rep.sha"))).alias("is_rep"))
+        chunked = texts.join(told, ["id", "sha"]).select("id", "sha", "group", *key, "is_rep", salts.alias("salts"), F.posexplode(_chunks(compare_bytes)).alias("k", "part"))
+        meet = ["group", *key, "salt", "k"]
+        theirs = chunked.where("not is_rep").withColumn("salt", F.pmod(F.xxhash64("id", "sha"), F.col("salts")))
+        own = chunked.where("is_rep").select("group", *key, "k", F.col("part").alias("rep_part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+        differ = materialized(theirs.join(own, meet).where("part <> rep_part").select("id", "sha", F.col("group")).distinct(), "differ")
+        if differ.isEmpty():
+            settled = settled.unionByName(members)
             break
-        rest = members.join(differ, ["doc_id", "sha", "rep"]).withColumnRenamed("rep", "old")
-        again = rest.groupBy(*key, "old").agg(F.max("doc_id").alias("rep"), F.sum("copies").alias("n"))
-        members = rest.select("doc_id", "sha", *key, "copies", "old").join(again, [*key, "old"]).select(*columns, "n")
-    sizes = settled.groupBy(*key, "rep").agg(F.sum("copies").alias("group_size"))
-    found = settled.join(sizes, [*key, "rep"]).select("doc_id", "sha", "copies", "rep", "group_size")
-    alone = prints.join(several.select(*key), key, "left_anti").select(
-        "doc_id", "sha", "copies", F.col("doc_id").alias("rep"), F.col("copies").alias("group_size")
-    )
-    return (
-        alone.unionByName(found)
-        .select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-        .select("doc_id", F.col("rep").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("rep")).alias("kept"), F.col("sha").alias("text_sha256"))
+        keyed = members.withColumn("id", _id()).withColumn("group", F.col("rep.sha"))
+        other = keyed.join(few(differ), ["id", "sha", "group"])
+        same = keyed.join(few(differ), ["id", "sha", "group"], "left_anti")
+        by = [*key, "group"]
+        settled = settled.unionByName(_regrouped(same, by).select(*settled.columns))
+        members = materialized(_regrouped(other, by).select(*settled.columns), "members")
+    return settled.select("*", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(
+        "doc_id", F.col("rep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("rep.doc_id")).alias("kept"), F.col("sha").alias("text_sha256")
     )
+
+
+def _texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, sha, text) of the texts that members have, once each."""
+    wanted = members.select(_id().alias("id")).distinct()
+    return docs.select(_id().alias("id"), "text").join(few(wanted), "id", "left_semi").select("id", F.sha2("text", 256).alias("sha"), "text").distinct()
+
+
+def _regrouped(members: DataFrame, by: list[str]) -> DataFrame:
+    """Members with the largest row and the numbers of their group anew."""
+    members = materialized(members.drop("rep", "n", "rows"), "members")
+    groups = members.groupBy(*by).agg(F.max(F.struct("doc_id", "sha")).alias("rep"), F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    return joined_by_group(members, materialized(groups, "groups"), by, "rows")
