@@ -1,18 +1,20 @@
 """Line dedup over all documents by sorted hashes, giving a keep bitmap for each document.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased. Keys of at least
-``least_chars`` code points become rows of a 128-bit hash, document and line number, which are dealt
-out by ranges of hash and document and sorted by hash, document (largest first) and line. Running
+``least_chars`` code points become rows of a 128-bit hash, document, text and line number, which are
+dealt out by ranges of hash and document and sorted by hash, document (largest first) and line. Running
 through a range, the first document of a hash is the one that keeps its lines, and once five
 documents have it, the lines of all others go. Only the first and last hash of a range can go on in
 another: their counts, two for each range, are added up, and their lines are decided after that. So a
 line that a third of all documents hold is spread over as many ranges as its rows fill.
 
-Lines that go are gathered for each document as a bitmap, one bit for each of its lines, compressed.
+Lines that go are gathered for each text as a bitmap, one bit for each line up to the last that goes,
+compressed. To apply them, texts and bitmaps meet in one shuffle by document, the same at every size.
 
 Defined results: a null or empty text is one empty line, which stays; documents are told apart by
-doc_id, and rows repeated give the same result each; lines of a null doc_id count for nothing and
-stay; an empty table gives an empty one; other columns are not looked at.
+doc_id, so several texts with one doc_id are one document that has the lines of all, each row keeping
+its own; rows repeated give the same result each; lines of a null doc_id count for nothing and stay; an
+empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,19 +26,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.shared import materialized, n_slices, rows_of
+from covenant.llm.shared import by_bytes, materialized, n_slices
 
 _WHITE = b" \t\n\x0b\x0c\r"
 
 
 def _hashed_lines(least_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            high, low, docs, lines = [], [], [], []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+        for b in by_bytes(batches):
+            high, low, docs, texts, lines = [], [], [], [], []
+            for doc, of, text in zip(b.column("doc_id").to_pylist(), b.column("of").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
                 if doc is None or not text:
                     continue
                 for i, line in enumerate(text.lower().split(b"\n")):
@@ -49,8 +51,9 @@ def _hashed_lines(least_chars: int):
                     high.append((h >> 64) - (1 << 63))
                     low.append((h & ((1 << 64) - 1)) - (1 << 63))
                     docs.append(doc)
+                    texts.append(of)
                     lines.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(docs, pa.int64()), pa.array(lines, pa.int32())], ["h1", "h2", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (high, low, docs, texts)), pa.array(lines, pa.int32())], ["h1", "h2", "doc_id", "of", "line"])
 
     return run
 
@@ -59,11 +62,11 @@ def _decided(least_docs: int):
     """Rows of a range, sorted, to lines that go (n null), open lines, and counts of open hashes (line null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches), schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())]))
+        rows = pa.Table.from_batches(list(batches), schema=pa.schema([*((c, pa.int64()) for c in ("h1", "h2", "doc_id", "of")), ("line", pa.int32())]))
         n = len(rows)
         if not n:
             return
-        h1, h2, doc, line = (rows[c].combine_chunks().to_numpy() for c in ("h1", "h2", "doc_id", "line"))
+        h1, h2, doc, of, line = (rows[c].combine_chunks().to_numpy() for c in ("h1", "h2", "doc_id", "of", "line"))
         new_run = np.ones(n, bool)
         new_run[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
         new_doc = new_run.copy()
@@ -77,7 +80,7 @@ def _decided(least_docs: int):
         ends = np.unique([0, len(starts) - 1])
 
         def made(at: np.ndarray, docs: np.ndarray, lines: pa.Array, counts: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(docs), lines, counts], ["h1", "h2", "doc_id", "line", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(docs), pa.array(of[at]), lines, counts], ["h1", "h2", "doc_id", "of", "line", "n"])
 
         for at, count in ((np.flatnonzero(goes), None), (np.flatnonzero(boundary), 0)):
             counts = pa.nulls(len(at), pa.int64()) if count is None else pa.array(np.zeros(len(at), np.int64))
@@ -87,73 +90,67 @@ def _decided(least_docs: int):
     return run
 
 
+def _text_number() -> Column:
+    """What tells the texts of one doc_id apart."""
+    return F.xxhash64("text")
+
+
 def dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, range_rows: int = 400_000) -> DataFrame:
-    """(doc_id, line) of every line that goes."""
-    keys = materialized(docs.select("doc_id", "text").mapInArrow(_hashed_lines(least_chars), "h1 long, h2 long, doc_id long, line int"), "line-hashes")
+    """(doc_id, of, line) of every line that goes; ``of`` is the number of its text."""
+    lines = docs.select("doc_id", _text_number().alias("of"), "text").mapInArrow(_hashed_lines(least_chars), "h1 long, h2 long, doc_id long, of long, line int")
+    keys = materialized(lines, "line-hashes")
     n_ranges = max(n_slices(docs.sparkSession, 12), -(-keys.count() // range_rows))
     by = ["h1", "h2", F.col("doc_id").desc()]
-    ranged = keys.repartitionByRange(n_ranges, *by).sortWithinPartitions(*by, "line")
-    seen = materialized(ranged.mapInArrow(_decided(least_docs), "h1 long, h2 long, doc_id long, line int, n long"), "line-runs")
+    ranged = keys.repartitionByRange(n_ranges, *by).sortWithinPartitions(*by, "of", "line")
+    seen = materialized(ranged.mapInArrow(_decided(least_docs), "h1 long, h2 long, doc_id long, of long, line int, n long"), "line-runs")
     open_hashes = seen.where("line is null").groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("doc_id").alias("keeper"))
     open_lines = seen.where("n = 0 and line is not null").join(F.broadcast(open_hashes) if n_ranges <= 1 << 18 else open_hashes, ["h1", "h2"])
-    return seen.where("n is null").select("doc_id", "line").union(
-        open_lines.where((F.col("docs") >= least_docs) & (F.col("doc_id") != F.col("keeper"))).select("doc_id", "line")
+    return seen.where("n is null").select("doc_id", "of", "line").union(
+        open_lines.where((F.col("docs") >= least_docs) & (F.col("doc_id") != F.col("keeper"))).select("doc_id", "of", "line")
     )
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        maps = []
-        for n, gone in zip(b.column("n_lines").to_pylist(), b.column("gone").to_pylist(), strict=True):
-            keep = np.ones(n, bool)
+        maps, counts = [], []
+        for gone in b.column("gone").to_pylist():
+            keep = np.ones(max(gone) // 8 * 8 + 8, bool)  # whole bytes, as lines past the last that goes stay
             keep[gone] = False
             maps.append(zlib.compress(np.packbits(keep).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_lines"), b.column("n_dropped"), pa.array(maps, pa.binary())], ["doc_id", "n_lines", "n_dropped", "keep"])
+            counts.append(int(len(keep) - keep.sum()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("of"), pa.array(counts, pa.int64()), pa.array(maps, pa.binary())], ["doc_id", "of", "n_dropped", "keep"])
 
 
 def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, keep) of every document that loses a line."""
-    text = F.coalesce("text", F.lit(""))
-    gone = dropped_lines(docs, **options).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone"))
-    gone = materialized(gone, "lines-gone")
-    lengths = rows_of(docs, gone).select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("int").alias("n_lines")).groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
-    return gone.join(lengths, "doc_id").select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), "gone").mapInArrow(
-        _bitmaps, "doc_id long, n_lines int, n_dropped long, keep binary"
-    )
+    """(doc_id, of, n_dropped, keep) of every text that loses a line."""
+    gone = dropped_lines(docs, **options).groupBy("doc_id", "of").agg(F.collect_set("line").alias("gone"))
+    return gone.mapInArrow(_bitmaps, "doc_id long, of long, n_dropped long, keep binary")
 
 
-def kept_text(text: bytes | None, n_lines: int, keep: bytes) -> bytes:
-    """What stays of a text under its bitmap."""
-    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8), count=n_lines)
-    return b"\n".join(line for line, bit in zip((text or b"").split(b"\n"), bits.tolist(), strict=False) if bit)
+def kept_lines(text: bytes | None, keep: bytes | None) -> list[bytes]:
+    """What stays of a text under its bitmap; lines past its end do."""
+    lines = (text or b"").split(b"\n")
+    if keep is None:
+        return lines
+    bits = np.unpackbits(np.frombuffer(zlib.decompress(keep), np.uint8)).tolist()
+    return [line for i, line in enumerate(lines) if i >= len(bits) or bits[i]]
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [kept_text(*x) for x in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("n_lines").to_pylist(), b.column("keep").to_pylist(), strict=True)]
-        sha = [hashlib.sha256(t).hexdigest() for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_dropped"), pa.array(sha, pa.string())], ["doc_id", "n_dropped", "kept_sha256"])
-
+    for b in by_bytes(batches):
+        n_lines, sha = [], []
+        for text, keep in zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("keep").to_pylist(), strict=True):
+            n_lines.append((text or b"").count(b"\n") + 1)
+            sha.append(hashlib.sha256(b"\n".join(kept_lines(text, keep))).hexdigest())
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_lines, pa.int64()), b.column("n_dropped"), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-def line_digests(docs: DataFrame, sent_bytes: int = 32 << 20, **options) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept_sha256 of every row of docs, by its bitmap.
 
-    Bitmaps are measured, and up to ``sent_bytes`` of them with their keys are sent to the texts;
-    beyond that, bitmaps and the texts that have one are shuffled.
-    """
+def line_digests(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept_sha256 of every row of docs, by its bitmap."""
     docs = docs.select("doc_id", "text")
     bitmaps = materialized(keep_bitmaps(docs, **options), "bitmaps")
-    held = bitmaps.agg(F.sum(F.octet_length("keep") + 64).alias("bytes")).first()["bytes"] or 0
-    text = F.coalesce("text", F.lit(""))
-    n_lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long")
-    if held <= sent_bytes:
-        with_map = docs.join(F.broadcast(bitmaps), "doc_id")
-    else:
-        with_map = rows_of(docs, bitmaps).join(bitmaps, "doc_id")
-    changed = (
-        with_map
-        .select("doc_id", "text", "n_lines", "n_dropped", "keep").mapInArrow(_applied, "doc_id long, n_dropped long, kept_sha256 string")
-        .dropDuplicates(["doc_id"])
-    )
-    whole = docs.select("doc_id", n_lines.alias("n_lines"), F.sha2(text, 256).alias("sha"))
-    return whole.join(changed, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    # each partition's bitmaps are held and its texts run past them, without a sort of texts
+    with_map = docs.withColumn("of", _text_number()).join(bitmaps.hint("shuffle_hash"), ["doc_id", "of"], "left")
+    return with_map.select("doc_id", "text", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep").mapInArrow(
+        _applied, "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
+    )
