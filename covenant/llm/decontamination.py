@@ -3,8 +3,8 @@
 Texts and benchmark items become words: A-Z lower-cased, then runs of letters, digits and bytes above
 ASCII. Each run of ten words of an item is a pattern; an item of fewer, but not none, is one pattern.
 Patterns of one length share tables: for each block of three words, how far a search may jump on (the
-shift), and for each block that ends a pattern, the patterns that it ends, which are then compared
-word by word. In most places of a text a block is in no pattern and the search jumps eight words.
+shift), and for each block that ends a pattern, the patterns that it ends, by the block that begins them;
+those of both blocks are then compared word by word. In most places of a text a block is in no pattern and the search jumps eight words.
 
 The tables are built from the items in parts of at most ``part_words`` words, each sent to the
 documents in turn, in one pass without a shuffle; a document's spans and items are joined over parts.
@@ -49,12 +49,12 @@ class WuManber:
         self.block = min(BLOCK, self.length)
         self.furthest = self.length - self.block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.ending: dict[tuple[bytes, ...], list[tuple[list[bytes], set[str]]]] = {}
+        self.ending: dict[tuple[bytes, ...], dict[tuple[bytes, ...], list[tuple[list[bytes], set[str]]]]] = {}
         for pattern, items in patterns.items():
             for end in range(self.block, self.length + 1):
                 key = pattern[end - self.block : end]
                 self.shift[key] = min(self.shift.get(key, self.furthest), self.length - end)
-            self.ending.setdefault(pattern[-self.block :], []).append((list(pattern), items))
+            self.ending.setdefault(pattern[-self.block :], {}).setdefault(pattern[: self.block], []).append((list(pattern), items))
 
     def search(self, words: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> None:
         """Add the span of each occurrence, and the items whose pattern it is."""
@@ -67,7 +67,7 @@ class WuManber:
                 at += jump
                 continue
             here = words[at - m : at]
-            for pattern, owners in self.ending[block]:
+            for pattern, owners in self.ending[block].get(tuple(here[:size]), ()):
                 if pattern == here:
                     spans.append((at - m, at))
                     items |= owners
