@@ -22,15 +22,18 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from covenant.llm.shared import by_bytes
+
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
@@ -87,6 +90,7 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks outside boilerplate; ``within`` is 2 in an article, 1 in a main part, else 0."""
     out: list[Block] = []
     open_tags: list[tuple[str, int, bool]] = []  # name, within, whether it is boilerplate
+    n_open: Counter[str] = Counter()
     within, bad, links, heading = 0, 0, 0, False
     current: Block | None = None
     at = 0
@@ -123,20 +127,22 @@ def blocks_of(page: str) -> list[Block]:
         if tag in _VOID:
             continue
         if m[2]:
-            names = [t for t, _, _ in open_tags]
-            if tag in names:
+            if n_open[tag]:
                 while open_tags:
                     name, before, was_bad = open_tags.pop()
+                    n_open[name] -= 1
                     within = before
                     bad -= was_bad
                     if name == tag:
                         break
         elif tag in _BLOCKS or tag in ("span", "section", "button"):
             if tag in ("p", "li") and open_tags and open_tags[-1][0] == tag:
-                _, within, was_bad = open_tags.pop()
+                name, within, was_bad = open_tags.pop()
+                n_open[name] -= 1
                 bad -= was_bad
             is_bad = _says_no(tag, m[4] or "", within == 2)
             open_tags.append((tag, within, is_bad))
+            n_open[tag] += 1
             bad += is_bad
             within = max(within, 2 if tag == "article" else 1 if tag == "main" else 0)
     add(page[at:])
@@ -201,7 +207,7 @@ def extract(pages: DataFrame) -> DataFrame:
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "html"):
             texts = ["\n".join(main_blocks(h)) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [f.name for f in schema.fields])
 
