@@ -18,7 +18,7 @@ leaves its rest to a uniform share for each known word and one for all unknown o
 Defined results: a null or empty text has one token, its end; words not seen in training are known by
 nothing but the uniform share; rows repeated are counted and scored as often as they come; a null
 doc_id is trained on; without training texts every token has probability 1 in the uniform share and in
-the base; an empty table gives an empty one; columns that clash with those added are replaced by them.
+the base; an array file that is missing is an error; an empty table gives an empty one; columns that clash with those added are replaced by them.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from covenant.llm.arrays import Arrays, as_bytes, grouped, narrow, of_bytes, write_arrays
-from covenant.llm.shared import SPACES, WordHasher, mixed, n_slices, shared_dir
+from covenant.llm.shared import SPACES, WordHasher, by_bytes, mixed, n_slices, shared_dir
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
 #: Of a second word's hash, the bytes that tell it from others after the same first word.
@@ -95,6 +95,7 @@ class Model:
 
     folder: str
     slices: int
+    parts: list[str] = field(default_factory=list)
     n_tokens: int = 0
     n_words: int = 0
     n_texts: int = 0
@@ -123,7 +124,7 @@ def _held(batches: Iterator[pa.RecordBatch], flush_bytes: int) -> Iterator[tuple
     """Tokens and where texts begin, for batches of texts joined up to a size."""
     hasher = WordHasher(SPACES)
     toks, begins, n = [], [np.zeros(1, np.int64)], 0
-    for b in batches:
+    for b in by_bytes(batches):
         t, begin = tokens(hasher, b.column("text"))
         toks.append(t)
         begins.append(begin[1:] + n)
@@ -154,7 +155,7 @@ def _words_added(folder: str):
         words, counts = grouped(np.frombuffer(b"".join(batch["words"].to_pylist()), np.uint64), of_bytes(batch["counts"].to_pylist()))
         write_arrays(folder, f"words-{batch['slice'][0].as_py()}", {"hash": words, "count": narrow(counts)})
         top = np.argsort(-counts, kind="stable")[:64]
-        return pa.table({"n": [int(counts.sum())], "v": [len(words)], "texts": [sum(batch["texts"].to_pylist())], "top": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())), "tops": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
+        return pa.table({"slice": pa.array([batch["slice"][0].as_py()], pa.int32()), "n": [int(counts.sum())], "v": [len(words)], "texts": [sum(batch["texts"].to_pylist())], "top": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())), "tops": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
 
     return run
 
@@ -210,7 +211,7 @@ def _bigrams_added(folder: str, slices: int, spread: np.ndarray):
             folder, f"bigrams-{part}",
             {"key": keys[by_key], "count": narrow(counts[by_key]), "context": first[new][own], **{f"n{k + 1}": narrow(by[k][own]) for k in range(3)}},
         )
-        rows: list[tuple] = [(0, part, None, None, [*_of_counts(counts), len(counts)])]
+        rows: list[tuple] = [(0, part, None, None, [part, *_of_counts(counts), len(counts)])]
         rows += [(1, part, None, None, [int(h), *(int(x[i]) for x in by)]) for i, h in zip(np.flatnonzero(~own), first[new][~own].view(np.int64), strict=True)]
         seconds, n = grouped(second)
         cuts = np.searchsorted(_slice(seconds, slices), np.arange(slices + 1))
@@ -233,38 +234,43 @@ def _followers_added(folder: str):
             rows = batch.take(pa.array(pick))
             short, n = grouped(_long(rows["words"].to_pylist()), of_bytes(rows["counts"].to_pylist()))
             write_arrays(folder, f"follows-{part}", {"short": short, "n": narrow(n)})
-            figures.append([2, *_of_counts(n), int((n > 2).sum()), int(n.sum())])
+            figures.append([2, part, *_of_counts(n), int((n > 2).sum()), int(n.sum())])
         return pa.table({"figures": pa.array(figures, pa.list_(pa.int64()))})
 
     return run
 
 
-def train(texts: DataFrame, folder: str | None = None, slices: int | None = None, flush_bytes: int = 48 << 20) -> Model:
-    """Count texts (text) and write the model's arrays to a folder that all workers share."""
+def train(texts: DataFrame, folder: str | None = None, slices: int | None = None, flush_bytes: int = 48 << 20, slice_bytes: int = 32 << 20) -> Model:
+    """Count texts (text) and write the model's arrays to a folder that all workers share.
+
+    There are so many slices that each has about ``slice_bytes`` of the texts, and a task for each.
+    """
     spark = texts.sparkSession
     folder = folder or f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
-    slices = slices or n_slices(spark)
     texts = texts.select("text")
+    slices = slices or max(n_slices(spark), (texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // slice_bytes)
     model = Model(folder, slices)
     packed = texts.mapInArrow(_word_counts(slices, flush_bytes), "slice int, words binary, counts binary, texts long")
-    rows = packed.groupBy("slice").applyInArrow(_words_added(folder), "n long, v long, texts long, top array<long>, tops array<long>").collect()
+    rows = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_words_added(folder), "slice int, n long, v long, texts long, top array<long>, tops array<long>").collect()
+    model.parts = [f"words-{r.slice}" for r in rows]
     model.n_tokens, model.n_words, model.n_texts = (sum(r[c] for r in rows) for c in ("n", "v", "texts"))
     often = [w for r in rows for w, n in zip(r.top, r.tops, strict=True) if n * 4 * slices > model.n_tokens]
     spread = np.array(sorted({*(w & 0xFFFFFFFFFFFFFFFF for w in often), int(BEGIN)}), np.uint64)
     model.spread = spread.tolist()
     counted = (
         texts.mapInArrow(_bigram_counts(slices, spread, flush_bytes), "slice int, first binary, runs binary, second binary, counts binary")
-        .groupBy("slice").applyInArrow(_bigrams_added(folder, slices, spread), _BIGRAM_FIGURES)
+        .repartition(slices, "slice").groupBy("slice").applyInArrow(_bigrams_added(folder, slices, spread), _BIGRAM_FIGURES)
     )
-    figures = [r.figures for r in counted.groupBy("slice").applyInArrow(_followers_added(folder), "figures array<long>").collect()]
-    seen = np.sum([f[1:] for f in figures if f[0] == 0] or [[0] * 5], axis=0).tolist()
+    figures = [r.figures for r in counted.repartition(slices, "slice").groupBy("slice").applyInArrow(_followers_added(folder), "figures array<long>").collect()]
+    model.parts += [f"bigrams-{f[1]}" for f in figures if f[0] == 0] + [f"follows-{f[1]}" for f in figures if f[0] == 2]
+    seen = np.sum([f[2:] for f in figures if f[0] == 0] or [[0] * 5], axis=0).tolist()
     model.discounts, model.n_bigrams = _discounts(seen), seen[4]
     wide: dict[int, list[int]] = {h: [0, 0, 0] for h in model.spread}
     for f in figures:
         if f[0] == 1:
             wide[f[1] & 0xFFFFFFFFFFFFFFFF] = [x + y for x, y in zip(wide[f[1] & 0xFFFFFFFFFFFFFFFF], f[2:], strict=True)]
     model.spread_counts = [wide[h] for h in model.spread]
-    low = np.sum([f[1:] for f in figures if f[0] == 2] or [[0] * 6], axis=0).tolist()
+    low = np.sum([f[2:] for f in figures if f[0] == 2] or [[0] * 6], axis=0).tolist()
     model.low_discounts = _discounts(low)
     taken = model.low_discounts[0] * low[0] + model.low_discounts[1] * low[1] + model.low_discounts[2] * low[4]
     model.low_rest = taken / low[5] if low[5] else 1.0
@@ -275,7 +281,7 @@ class Reader:
     """Looks tokens up in a model's arrays."""
 
     def __init__(self, model: Model) -> None:
-        self.m, self.arrays = model, Arrays(model.folder)
+        self.m, self.arrays = model, Arrays(model.folder, model.parts)
         self.spread = np.array(model.spread, np.uint64)
         self.d = np.array([0.0, *model.discounts])
         self.low_d = np.array([0.0, *model.low_discounts])
@@ -350,7 +356,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, reader = WordHasher(SPACES), Reader(model)
-        for b in batches:
+        for b in by_bytes(batches):
             tok, begin = tokens(hasher, b.column("text"))
             n, known, base, logs = reader.score(tok, begin)
             train_tokens = np.full(len(n), model.n_tokens, np.int64)
