@@ -2,13 +2,15 @@
 
 The lexicon is learned from labelled documents: words, and beginnings of words, that stand in far more
 contexts of toxic documents than of others. A context is a word's two neighbours, so that copies of
-one document don't count as many. Entries form a trie. A Levenshtein automaton of distance 1 is run
-against it: its states are sets of (trie node, errors so far), made when first met and kept, so a word
-costs one look-up a letter and most words end after a few letters.
+one document don't count as many. Entries form a trie. A Levenshtein automaton of distance 1, two letters
+that have changed places being one error too, is run against it: its states are sets of (trie node,
+errors so far, letter that has to follow), made when first met and kept, so a word costs one look-up a
+letter and most words end after a few letters.
 
-Digits and marks inside a word belong to it, and the error may be at any letter. Entries are taken by
-likelihood ratio, the ``most_entries`` words and beginnings of the greatest at most; words of any length
-are learned, and what clean documents quote or report now and then stays in.
+Digits and marks inside a word belong to it, and the error may be at any letter. Entries are all words
+and beginnings of a likelihood ratio of ``NEED`` in ``LEAST`` contexts at least; words of any length are
+learned, and what clean documents quote or report now and then stays in. Their number is bounded by
+the sample's words.
 
 Each hit has a kind (whole word, misspelled, beginning of a word) and a context: whether the words
 around it quote or report (quotation marks, verbs of saying), address someone, or hold other hits. A
@@ -60,7 +62,7 @@ QUOTES = "\"“”«»„‘"
 FEATURES = 11
 #: Log-likelihood ratio that an entry of the lexicon needs, and how many times as likely a context of it has to
 #: be in a toxic document as in another. Some quotations in others are left to the features of context.
-NEED, TIMES = 12.0, 8.0
+NEED, TIMES, LEAST = 12.0, 8.0, 4
 #: In words of fewer letters an error leaves little, so such hits are a kind of their own.
 LONG = 5
 #: States of the automaton kept.
@@ -89,40 +91,47 @@ class Lexicon:
         self.clear()
 
     def clear(self) -> None:
-        self.states: dict[frozenset[tuple[int, int]], int] = {}
-        self.members: list[frozenset[tuple[int, int]]] = []
+        self.states: dict[frozenset[tuple[int, int, str]], int] = {}
+        self.members: list[frozenset[tuple[int, int, str]]] = []
         self.step: list[dict[str, int]] = []
         self.kind: list[int] = []
         self.stem: list[bool] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
 
-    def _state(self, members: set[tuple[int, int]]) -> int:
+    def _state(self, members: set[tuple[int, int, str]]) -> int:
         # a letter of the entry may be missing from the word
-        for node, errors in list(members):
+        for node, errors, _ in list(members):
             if not errors:
-                members |= {(child, 1) for child in self.next[node].values()}
-        least: dict[int, int] = {}
-        for node, errors in members:
-            least[node] = min(errors, least.get(node, 2))
-        key = frozenset(least.items())
+                members |= {(child, 1, "") for child in self.next[node].values()}
+        least: dict[tuple[int, str], int] = {}
+        for node, errors, then in members:
+            least[node, then] = min(errors, least.get((node, then), 2))
+        key = frozenset((node, errors, then) for (node, then), errors in least.items())
         if key not in self.states:
             self.states[key] = len(self.members)
             self.members.append(key)
             self.step.append({})
-            exact = any(e == 0 and self.ends[n] & 1 for n, e in key)
-            self.kind.append(1 if exact else 2 if any(self.ends[n] & 1 for n, _ in key) else 0)
-            self.stem.append(any(e == 0 and self.ends[n] & 2 for n, e in key))
+            ends = [(e, self.ends[n]) for n, e, then in key if not then]
+            self.kind.append(1 if any(e == 0 and mark & 1 for e, mark in ends) else 2 if any(mark & 1 for _, mark in ends) else 0)
+            self.stem.append(any(e == 0 and mark & 2 for e, mark in ends))
         return self.states[key]
 
     def _to(self, state: int, c: str) -> int:
-        reached: set[tuple[int, int]] = set()
-        for node, errors in self.members[state]:
+        reached: set[tuple[int, int, str]] = set()
+        for node, errors, then in self.members[state]:
+            if then:
+                if c == then:
+                    reached.add((node, 1, ""))
+                continue
             children = self.next[node]
             if c in children:
-                reached.add((children[c], errors))
+                reached.add((children[c], errors, ""))
             if not errors:
-                reached.add((node, 1))
-                reached |= {(child, 1) for child in children.values()}
+                reached.add((node, 1, ""))
+                for x, child in children.items():
+                    reached.add((child, 1, ""))
+                    if x != c and c in self.next[child]:
+                        reached.add((self.next[child][c], 1, x))
         to = self._state(reached) if reached else -1
         self.step[state][c] = to
         return to
@@ -265,7 +274,7 @@ def labelled(docs: DataFrame, labels: DataFrame, per_label: int) -> DataFrame:
     return rows_of(docs.select("doc_id", "text"), chosen).join(chosen.withColumn("weight", 1 / rate), "doc_id")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entries: int = 2000) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000) -> Model | None:
     """A model from docs with text and labels with toxic; docs hold only what may be learned from."""
     sample = materialized(labelled(docs, labels, per_label).repartition(24), "toxicity-sample")
     sums = sample.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("all")).collect()
@@ -277,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entrie
     kinds = "unit string, stem boolean, toxic int, context long"
     toxic_units = sample.where("toxic = 1").select("text", "toxic").mapInArrow(_units, kinds)
     # contexts of each unit among toxic documents, of those with some, and then among the others
-    often = materialized(toxic_units.groupBy("unit", "stem").agg(F.countDistinct("context").alias("bad")).where("bad >= 4"), "toxicity-units")
+    often = materialized(toxic_units.groupBy("unit", "stem").agg(F.countDistinct("context").alias("bad")).where(F.col("bad") >= LEAST), "toxicity-units")
     other = sample.where("toxic = 0").select("text", "toxic").mapInArrow(_units, kinds).join(often.select("unit", "stem"), ["unit", "stem"], "left_semi")
     counted = often.join(other.groupBy("unit", "stem").agg(F.countDistinct("context").alias("fine")), ["unit", "stem"], "left").fillna(0, ["fine"])
     # how much more the contexts are toxic than a sample of this mixture would have them, as a log-likelihood ratio:
@@ -286,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2000, most_entrie
     share = F.col("bad") / (F.col("bad") + F.col("fine"))
     times = (F.col("bad") / totals[1]) / ((F.col("fine") + 0.5) / totals[0])
     gain = F.col("bad") * F.log(share / base) + F.when(F.col("fine") > 0, F.col("fine") * F.log((1 - share) / (1 - base))).otherwise(0)
-    rows = counted.select("unit", "stem", "bad", "fine", gain.alias("gain"), times.alias("times")).where((F.col("gain") > NEED) & (F.col("times") >= TIMES)).orderBy(F.desc("gain"), "unit", "stem").limit(most_entries).collect()
+    rows = counted.select("unit", "stem", "bad", "fine", gain.alias("gain"), times.alias("times")).where((F.col("gain") > NEED) & (F.col("times") >= TIMES)).orderBy(F.desc("gain"), "unit", "stem").collect()
     stems: list[str] = []
     for r in sorted((r for r in rows if r.stem), key=lambda r: len(r.unit)):
         if not any(r.unit.startswith(s) for s in stems):
