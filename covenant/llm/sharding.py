@@ -42,7 +42,7 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = SEED, b
     """docs with size, text_crc32, shard and slot added: shards of equal counts in random order.
 
     ``bucket_bytes`` is how much of the records one task shuffles in memory; the number of buckets
-    follows from the bytes of the whole table.
+    follows from the bytes of the whole table, and eight of them or so go to a task.
     """
     docs = docs.drop(*ADDED, "_bucket", "_offset")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
@@ -77,7 +77,8 @@ def shuffle_into_shards(docs: DataFrame, n_shards: int = 24, seed: int = SEED, b
     def bucketwise(table: pa.Table) -> pa.Table:
         return pa.Table.from_batches(list(shuffled(iter(table.to_batches()))))
 
-    return rows.join(offsets, "_bucket").groupBy("_bucket").applyInArrow(bucketwise, schema)
+    n_tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_buckets // 8)
+    return rows.join(offsets, "_bucket").repartition(n_tasks, "_bucket").groupBy("_bucket").applyInArrow(bucketwise, schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
