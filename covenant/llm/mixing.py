@@ -3,7 +3,9 @@
 Each source's target is its share by weight of all words, held to a number of times its own size;
 the excess goes to the others by weight until none is above. Sources are cut into blocks by a hash of
 doc_id, blocks are permuted, and a source's draw is a run of that permutation, passed over as often
-as needed: its quota is a number of tickets, one for each block drawn, the last of which may be cut.
+as needed: its quota is a number of tickets, one for each block drawn, the last of which may be cut. Of
+the block that is cut, documents are taken in random order while they fit in what is left, those that
+don't being passed over, in ``ROUNDS`` rounds.
 
 A splitting tree deals the tickets of all sources to output shards. At each node the tickets in it are
 put in seeded random order and the first half of them goes left: how many of each source go left is
@@ -23,10 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from covenant.llm.shared import materialized
+from covenant.llm.shared import few, materialized
 
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
+ROUNDS = 4
 ADDED = ["size", "source_size", "target", "copies", "taken", "shards"]
 
 
@@ -63,11 +66,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times:
     return s.select("source_key", "words", F.coalesce(F.least(shared, limit), limit).alias("target"))
 
 
-def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """df, to be sent to all rows if it is counted to be small, or else joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _block(blocks: Column) -> Column:
     """The block of a row: blocks are equal ranges of its hash, so their order permutes the documents."""
     return F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("long") * blocks / F.lit(1 << 32)).cast("long")
@@ -92,22 +90,24 @@ def splitting_tree(tickets: DataFrame, depth: int) -> DataFrame:
 
 
 def mix_sources(
-    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times: int = 3, block_rows: int = 100_000, least_blocks: int = 16, depth: int = 4
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_times: int = 3, block_rows: int = 100_000, usual_blocks: int = 16, usual_rows: int = 64, depth: int = 4
 ) -> DataFrame:
     """One row per row of docs with size, source_size, target, copies, taken and shards added.
 
     ``copies`` is how often the mix has the document, ``taken`` its words times that, and ``shards`` the
-    output shard of each copy. Nothing but block totals and the documents of one block for each source
-    is shuffled; the documents themselves are only read.
+    output shard of each copy. A block has at most about ``block_rows`` documents; a source has
+    ``usual_blocks`` at least, unless they would have fewer than ``usual_rows`` documents each. Nothing
+    but block totals and the documents of one block for each source is shuffled; the documents themselves
+    are only read.
     """
-    clash = [*ADDED, "_key", "_block", "_h", "_blocks", "_cut_block", "_cut_h", "_whole", "_shards"]
+    clash = [*ADDED, "_key", "_block", "_h", "_blocks", "_cut_block", "_cuts", "_gaps", "_whole", "_shards"]
     docs = docs.drop(*clash)
     rows = docs.select(
         "*", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _key().alias("_key"), _order(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_h"),
     )
     counted = materialized(docs.groupBy(_key().alias("_key")).agg(F.count("*").alias("n")), "mix-sources")
-    blocks = _few(counted.select("_key", F.greatest(F.lit(least_blocks), F.ceil(F.col("n") / block_rows)).cast("long").alias("_blocks")))
+    blocks = few(counted.select("_key", F.greatest(F.ceil(F.col("n") / block_rows), F.least(F.lit(usual_blocks), F.ceil(F.col("n") / usual_rows))).cast("long").alias("_blocks")))
     blocked = rows.join(blocks, "_key").withColumn("_block", _block(F.col("_blocks")))
     totals = materialized(blocked.groupBy("_key", "_block").agg(F.min("source").alias("source"), F.sum("size").alias("words")), "mix-blocks")
     goals = targets(totals.groupBy(F.col("_key").alias("source_key"), "source").agg(F.sum("words").alias("words")), weights, most_times)
@@ -116,12 +116,21 @@ def mix_sources(
     left = F.col("target") - F.col("_whole") * F.col("source_size")
     end = F.sum("words").over(Window.partitionBy("_key").orderBy("_block"))
     plan = materialized(totals.join(goals, "_key").select("_key", "_block", "words", "source_size", "target", "_whole", left.alias("left"), (end - F.col("words")).alias("begin")), "mix-plan")
-    # the block in which a source's last pass ends, and the hash at which it ends there
+    # the block in which a source's last pass ends, and which of its documents still fit: round by round, those
+    # after the last one taken, no larger than what is left, as far as their sum isn't either
     ends_in = plan.where("left > 0 and begin <= left and left < begin + words")
-    inside = blocked.select("_key", "_block", "_h", "size").join(_few(ends_in.select("_key", "_block", "begin", "left")), ["_key", "_block"])
-    so_far = F.sum("size").over(Window.partitionBy("_key").orderBy("_h").rowsBetween(Window.unboundedPreceding, 0))
-    last = inside.select("_key", "_h", (F.col("begin") + so_far - F.col("size") / 2.0 < F.col("left")).alias("in"))
-    cut_h = last.where("in").groupBy("_key").agg(F.max("_h").alias("_cut_h"))
+    inside = blocked.select("_key", "_block", "_h", "size").join(few(ends_in.select("_key", "_block", (F.col("left") - F.col("begin")).alias("g0"))), ["_key", "_block"])
+    in_source = Window.partitionBy("_key")
+    inside = inside.withColumn("c0", F.lit(""))
+    for k in range(ROUNDS):
+        fits = (F.col("_h") > F.col(f"c{k}")) & (F.col("size") <= F.col(f"g{k}"))
+        so_far = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(in_source.orderBy("_h"))
+        inside = inside.withColumn("taken", fits & (so_far <= F.col(f"g{k}")))
+        gone = F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).over(in_source)
+        last = F.max(F.when(F.col("taken"), F.col("_h")).otherwise(F.col(f"c{k}"))).over(in_source)
+        inside = inside.withColumn(f"c{k + 1}", last).withColumn(f"g{k + 1}", F.col(f"g{k}") - gone)
+    cuts = F.first(F.array(*(f"c{k}" for k in range(ROUNDS + 1)))).alias("_cuts")
+    cut_h = inside.groupBy("_key").agg(cuts, F.first(F.array(*(f"g{k}" for k in range(ROUNDS)))).alias("_gaps"))
     drawn = F.array_compact(F.array(F.when(F.col("_whole") > 0, 0), F.when(F.col("_whole") > 1, 1), F.when(F.col("_whole") > 2, 2), F.when((F.col("left") > 0) & (F.col("begin") <= F.col("left")), F.col("_whole"))))
     if most_times > 3:
         drawn = F.sequence(F.lit(0), F.col("_whole") - F.when((F.col("left") > 0) & (F.col("begin") <= F.col("left")), 0).otherwise(1))
@@ -132,8 +141,11 @@ def mix_sources(
     )
     by_source = goals.join(ends_in.select("_key", F.col("_block").alias("_cut_block")), "_key", "left").join(cut_h, "_key", "left")
     by_source = materialized(by_source.join(counted, "_key", "left").drop("n"), "mix-goals")
-    out = blocked.drop("_blocks").join(_few(by_source), "_key").join(_few(materialized(shards, "mix-shards")), ["_key", "_block"], "left")
-    cut = (F.col("_block") < F.col("_cut_block")) | ((F.col("_block") == F.col("_cut_block")) & (F.col("_h") <= F.col("_cut_h")))
+    out = blocked.drop("_blocks").join(few(by_source), "_key").join(few(materialized(shards, "mix-shards")), ["_key", "_block"], "left")
+    fit = F.lit(False)
+    for k in range(ROUNDS):
+        fit |= (F.col("_h") > F.col("_cuts")[k]) & (F.col("_h") <= F.col("_cuts")[k + 1]) & (F.col("size") <= F.col("_gaps")[k])
+    cut = (F.col("_block") < F.col("_cut_block")) | ((F.col("_block") == F.col("_cut_block")) & fit)
     copies = F.col("_whole") + F.coalesce(cut, F.lit(False)).cast("int")
     return out.select(
         *docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
@@ -141,8 +153,15 @@ def mix_sources(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is drawn, with its shard, in random order in a shard."""
+def mixed_documents(docs: DataFrame, task_bytes: int = 64 << 20, **options) -> DataFrame:
+    """The mix itself: each document as often as it is drawn, with its shard, in random order in a shard.
+
+    A shard is put in order in ranges of its random places, and there are so many tasks that each has
+    about ``task_bytes`` of texts.
+    """
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // task_bytes)
     mix = mix_sources(docs, **options).select(*[c for c in docs.columns if c not in ADDED], F.posexplode("shards").alias("_pass", "mix_shard"))
     place = _order(F.lit("place"), F.col("mix_shard").cast("string"), F.col("_pass").cast("string"), F.col("doc_id").cast("string"))
-    return mix.withColumn("_place", place).repartition("mix_shard").sortWithinPartitions("mix_shard", "_place").drop("_pass", "_place")
+    placed = mix.withColumn("_place", place).repartition(tasks, "mix_shard", F.substring("_place", 1, 4))
+    return placed.sortWithinPartitions("mix_shard", "_place").drop("_pass", "_place")

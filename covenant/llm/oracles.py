@@ -2,12 +2,21 @@
 
 _WORDS = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
 
+#: In the block that is cut: what is taken in a round, and then the last one taken and what is left.
+_ROUND = """, f{k} AS (
+    SELECT *, fits AND sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source, cut_block ORDER BY h) <= g{k} AS takes{k}
+    FROM (SELECT *, cut_block AND h > c{k} AND size <= g{k} AS fits FROM {before})
+), q{k} AS (
+    SELECT * EXCLUDE (fits), max(CASE WHEN takes{k} THEN h ELSE c{k} END) OVER cut AS c{next}, g{k} - sum(CASE WHEN takes{k} THEN size ELSE 0 END) OVER cut AS g{next}
+    FROM f{k} WINDOW cut AS (PARTITION BY source, cut_block)
+)"""
+
 OP3 = rf"""
 WITH d AS (
     SELECT doc_id, source, coalesce({_WORDS}, 0)::BIGINT AS size, md5('mix-1/' || coalesce(doc_id::VARCHAR, 'null')) AS h
     FROM documents
 ), s AS (
-    SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source
+    SELECT source, sum(size)::BIGINT AS words, greatest(ceil(count(*) / 100000), least(16, ceil(count(*) / 64)))::BIGINT AS blocks FROM d GROUP BY source
 ), w AS (
     SELECT *, [1, 2, 3][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS w FROM s
 ), r AS (
@@ -18,15 +27,21 @@ WITH d AS (
 ), l AS (
     SELECT *, CASE WHEN (all_words - held)::DOUBLE / rest_w * w <= words * 3 THEN (all_words - held)::DOUBLE / rest_w END AS level FROM r
 ), t AS (
-    SELECT source, words, coalesce(least(w * max(level) OVER (), (words * 3)::DOUBLE), (words * 3)::DOUBLE) AS target FROM l
+    SELECT source, words, blocks, coalesce(least(w * max(level) OVER (), (words * 3)::DOUBLE), (words * 3)::DOUBLE) AS target FROM l
 ), p AS (
     SELECT d.*, t.words, t.target, CASE WHEN t.words > 0 THEN least(floor(t.target / t.words), 3)::BIGINT ELSE 0 END AS whole,
-        sum(size) OVER (PARTITION BY d.source ORDER BY h) - size / 2.0 AS middle
+        floor(('0x' || substr(h, 1, 8))::BIGINT * blocks / 4294967296.0::DOUBLE)::BIGINT AS block
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-)
+), b AS (
+    SELECT *, target - whole * words AS rest, sum(size) OVER (PARTITION BY source, block) AS in_block,
+        sum(size) OVER (PARTITION BY source ORDER BY block) - sum(size) OVER (PARTITION BY source, block) AS begins
+    FROM p
+), c AS (
+    SELECT *, rest > 0 AND begins <= rest AND rest < begins + in_block AS cut_block, rest - begins AS g0, '' AS c0 FROM b
+){"".join(_ROUND.format(k=k, next=k + 1, before=f"q{k - 1}" if k else "c") for k in range(4))}
 SELECT doc_id, size, words AS source_size, target,
-    (size * (whole + CASE WHEN target - whole * words > 0 AND middle < target - whole * words THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM p
+    (size * (whole + CASE WHEN takes0 OR takes1 OR takes2 OR takes3 OR (rest > 0 AND NOT cut_block AND begins + in_block <= rest) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM q3
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
