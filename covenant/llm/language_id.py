@@ -8,9 +8,10 @@ root of K. One ridge regression for each language, against the rest, is solved o
 of it is linear in the presences, so a batch of texts is scored by one product of its presence matrix
 with the weights of n-grams, whatever the number of landmarks.
 
-Learning uses at most about ``per_language`` documents of each language, chosen by a hash of doc_id,
-so the sample is bounded by that and the number of languages. Every document is scored by its whole
-text, in pieces of any length, as presences of pieces are joined by "or".
+Learning uses at most about ``per_language`` documents of each language, chosen by a hash of doc_id.
+Their presences are made by the tasks, from whole texts, and a document reaches the driver as 4 KB of
+bits, so the sample is bounded by that, ``per_language`` and the number of languages. Every document is
+scored by its whole text, in pieces of any length, as presences of pieces are joined by "or".
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; rows repeated give the
 same result each; without anything to learn from, all are ``und``; an empty table gives an empty one;
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from covenant.llm.shared import PIECE_BYTES, buffers, materialized, rows_of
+from covenant.llm.shared import PIECE_BYTES, buffers, by_bytes, materialized, rows_of
 
 N_GRAMS = 1 << 15
 _LETTER = regex.compile(r"\p{L}")
@@ -56,20 +57,30 @@ def presences(texts: pa.Array, rows: int = 128) -> Iterator[np.ndarray]:
         yield out
 
 
+def packed(texts: pa.Array) -> list[bytes]:
+    """The presences of each text as bits."""
+    return [row.tobytes() for x in presences(texts) for row in np.packbits(x.astype(bool), axis=1)]
+
+
+def _unpacked(bits: list[bytes], rows: int = 256) -> Iterator[np.ndarray]:
+    for low in range(0, len(bits), rows):
+        some = bits[low : low + rows]
+        yield np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32)
+
+
 class LanguageModel:
-    """Weights of n-grams for each language, from texts and their languages."""
+    """Weights of n-grams for each language, from packed presences of texts and their languages."""
 
-    def __init__(self, texts: list[str], langs: list[str], landmarks: int = 64, ridge: float = 1e-2) -> None:
+    def __init__(self, bits: list[bytes], langs: list[str], landmarks: int = 64, ridge: float = 1e-2) -> None:
         self.langs = sorted(set(langs))
-        texts = pa.array(texts, pa.large_string())
         y = np.where(np.array(langs)[:, None] == np.array(self.langs)[None], 1.0, -1.0)
         chosen = np.concatenate([np.flatnonzero(y[:, k] > 0)[:landmarks] for k in range(len(self.langs))])
         unit = lambda x: x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        marks = np.concatenate([unit(x) for x in presences(texts.take(pa.array(chosen)))])
+        marks = np.concatenate([unit(x) for x in _unpacked([bits[i] for i in chosen])])
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values[-1]
         root = vectors[:, keep] / np.sqrt(values[keep])
-        features = np.concatenate([(unit(x) @ marks.T).astype(np.float64) @ root for x in presences(texts)])
+        features = np.concatenate([(unit(x) @ marks.T).astype(np.float64) @ root for x in _unpacked(bits)])
         features = np.hstack([features, np.ones((len(features), 1))])
         # languages count alike, however many of the sample they are
         weight = 1 / np.array([langs.count(v) for v in langs], np.float64)
@@ -83,27 +94,33 @@ class LanguageModel:
         return presence @ self.weights / np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1)) + self.bias
 
 
-def training_sample(docs: DataFrame, per_language: int = 500) -> list[tuple[str, str]]:
-    """Up to about ``per_language`` (text, lang) of each language, by a hash of doc_id."""
+def training_sample(docs: DataFrame, per_language: int = 500) -> list[tuple[bytes, str]]:
+    """Presences and language of up to about ``per_language`` documents of each language, by a hash of doc_id."""
     rows = docs.where("lang is not null and text is not null and doc_id is not null")
     counts = rows.groupBy("lang").count()
     chance = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     narrow = rows.select("doc_id", "lang").join(F.broadcast(counts) if counts.limit(1001).count() <= 1000 else counts, "lang")
     ids = materialized(narrow.where(chance * F.col("count") < per_language).select("doc_id"), "language-sample")
-    chosen = rows_of(rows, ids).orderBy(F.xxhash64("doc_id"), "text").select("text", "lang")
-    return [(r.text, r.lang) for r in chosen.collect()]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches):
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(packed(b.column("text")), pa.binary())], ["h", "lang", "bits"])
+
+    chosen = rows_of(rows, ids).select(F.xxhash64("doc_id", "text").alias("h"), "lang", "text").mapInArrow(bits, "h long, lang string, bits binary")
+    found = chosen.collect()
+    return [(bytes(r.bits), r.lang) for r in sorted(found, key=lambda r: (r.h, r.lang, bytes(r.bits)))]
 
 
-def identify(docs: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
+def identify(docs: DataFrame, sample: list[tuple[bytes, str]]) -> DataFrame:
     """docs with lang_pred and score (the share of the best language after a softmax) added."""
     docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    model = LanguageModel([t for t, _ in sample], [v for _, v in sample]) if sample else None
+    model = LanguageModel([x for x, _ in sample], [v for _, v in sample]) if sample else None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for b in batches:
+        for b in by_bytes(batches):
             texts = b.column("text")
             lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts.to_pylist()], bool)
             pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
