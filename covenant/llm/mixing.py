@@ -31,6 +31,7 @@ SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 4
 ADDED = ["size", "source_size", "target", "copies", "taken", "shards"]
+_OWN = ["_key", "_block", "_h", "_blocks", "_cut_block", "_cuts", "_gaps", "_whole", "_shards", "_pass", "_place", "mix_shard"]
 
 
 def _key(source: str = "source") -> Column:
@@ -100,8 +101,7 @@ def mix_sources(
     but block totals and the documents of one block for each source is shuffled; the documents themselves
     are only read.
     """
-    clash = [*ADDED, "_key", "_block", "_h", "_blocks", "_cut_block", "_cuts", "_gaps", "_whole", "_shards"]
-    docs = docs.drop(*clash)
+    docs = docs.drop(*ADDED, *_OWN)
     rows = docs.select(
         "*", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         _key().alias("_key"), _order(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_h"),
@@ -161,7 +161,7 @@ def mixed_documents(docs: DataFrame, task_bytes: int = 64 << 20, **options) -> D
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // task_bytes)
-    mix = mix_sources(docs, **options).select(*[c for c in docs.columns if c not in ADDED], F.posexplode("shards").alias("_pass", "mix_shard"))
+    mix = mix_sources(docs, **options).select(*[c for c in docs.columns if c not in (*ADDED, *_OWN)], F.posexplode("shards").alias("_pass", "mix_shard"))
     place = _order(F.lit("place"), F.col("mix_shard").cast("string"), F.col("_pass").cast("string"), F.col("doc_id").cast("string"))
     placed = mix.withColumn("_place", place).repartition(tasks, "mix_shard", F.substring("_place", 1, 4))
     return placed.sortWithinPartitions("mix_shard", "_place").drop("_pass", "_place")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
-from covenant.llm.html_extraction import main_blocks
+from covenant.llm.html_extraction import extract, main_blocks
 
 LONG = "It was the first of the days in which they had to see that all of this is for the good of the town and not for its market."
 OTHER = "Uutisten mukaan kaupunki rakentaa uuden kirjaston keskustan laidalle, missä vanha tehdas seisoi vuosikymmeniä tyhjänä."
@@ -48,3 +51,50 @@ def test_marks_still_count():
     assert main_blocks("<article><h1>Sold out</h1><p>No more today.</p></article>") == ["Sold out", "No more today."]
     replies = "".join(f"<article><p>{LONG}</p></article>" for _ in range(2))
     assert main_blocks(f"<div><p>{LONG}</p></div>{replies}") == [LONG] * 3
+
+
+def test_quotes_in_tags():
+    assert main_blocks(f"<p>{LONG} <a title='it's here' href=x>more</a> text</p>") == [f"{LONG} more text"]
+    assert main_blocks(f'<p class="a>b" data-x=\'c">d\'>{LONG}</p><p title="open>{LONG}</p>') == [LONG, LONG]
+    assert main_blocks(f"<p>{LONG} 3 < 4 &amp; 5 &gt; 4 &#8211; &nope; &copy;</p>") == [f"{LONG} 3 < 4 & 5 > 4 – &nope; ©"]
+
+
+def test_deep_pages_take_time_in_proportion():
+    page = lambda n: "<div>" * n + f"<p>{LONG}</p>" + "</div>" * n
+    began = time.time()
+    assert main_blocks(page(100_000)) == [LONG]
+    assert time.time() - began < 5
+
+
+def test_pages_made_of_known_parts():
+    """Articles between menus, notices, adverts, forms, comments and footers come out whole, with and without marks."""
+    rng = random.Random(8)
+    words = LONG.split()
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    junk = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href=/{i}>Part {i}</a></li>" for i in range(8)) + "</ul></nav>",
+        lambda: f'<div class="cookie-banner"><p>{prose(40)}</p><button>OK</button></div>',
+        lambda: f'<aside><p>{prose(30)}</p></aside>',
+        lambda: f'<form><label>Mail</label><input name=m><p>{prose(30)}</p></form>',
+        lambda: f"<script>var x = '<p>{prose(30)}</p>';</script><style>p {{ color: red }}</style><!-- {prose(9)} -->",
+        lambda: f'<section id="comments"><p>{prose(60)}</p></section>',
+        lambda: f'<div class="advert box"><a href=x>{prose(40)}</a></div>',
+        lambda: f"<footer><p>{prose(30)}</p></footer>",
+    ]
+    for opened, closed in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class=content>", "</div>")):
+        for _ in range(20):
+            parts = [f"Title {rng.randrange(99)}"] + [prose(rng.randrange(30, 80)) for _ in range(rng.randrange(2, 6))]
+            body = f"<h1>{parts[0]}</h1>" + "".join(f"<p>{t.replace(' ', rng.choice([' ', '  ', chr(10)]), 3)}</p>" for t in parts[1:])
+            rng.shuffle(junk)
+            page = f"<html><head><title>T</title></head><body>{''.join(j() for j in junk[:4])}{opened}{body}{closed}{''.join(j() for j in junk[4:])}</body></html>"
+            assert main_blocks(page) == parts
+
+
+def test_odd_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "no markup"), (3, "u", "no markup"), (None, "u", f"<p>{LONG}</p>" * 3000), (4, "u", "<p"), (5, "u", "<script>x"), (6, "u", "\x00&#0;&#x110000;")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "'x' AS n_chars")
+    found = {(r.page_id, r.html): (r.text, r.n_chars) for r in extract(pages).collect()}
+    assert len(found) == 7 and all(n == len(t) for t, n in found.values())
+    assert found[1, None] == ("", 0) and found[2, ""] == ("", 0) and found[3, "no markup"] == ("no markup", 9) and found[5, "<script>x"] == ("", 0)
+    assert found[None, rows[4][2]][1] == 3000 * (len(LONG) + 1) - 1
+    assert extract(pages.limit(0)).collect() == []

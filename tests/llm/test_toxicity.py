@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from odd import ROWS, table
+from plain import distance
 
 from covenant.llm import toxicity
+from covenant.llm.queries import QUERIES
 
 DOCS, LABELS = "doc_id long, text string", "doc_id long, toxic int"
 
@@ -67,3 +70,34 @@ def test_quoted_slurs_stay_in_the_lexicon(spark):
     scorer = model.scorer()
     abusive, quoted = (scorer.score(scorer.features(rows[i][0])) for i in (0, 1))
     assert abusive > 0.5 > quoted
+
+
+def test_automaton_against_distances():
+    """Hits are just the words at one edit from an entry, by dynamic programming."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(2, 8)))
+    entries = sorted({word() for _ in range(12)})
+    lexicon = toxicity.Lexicon(entries, [])
+    for w in {word() for _ in range(400)}:
+        nearest = min(distance(w, e) for e in entries)
+        assert lexicon.match(w) == (1 if nearest == 0 else 0 if nearest > 1 else 2 if len(w) >= toxicity.LONG else 4), w
+
+
+def test_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op4_toxicity"](spark, sf_dir).collect() if r.held_out and labels.get(r.doc_id) is not None]
+    toxic = [r.predicted for r in rows if labels[r.doc_id] == 1]
+    clean = [r.predicted for r in rows if labels[r.doc_id] == 0]
+    assert sum(toxic) > 0.8 * len(toxic) and sum(clean) < 0.05 * len(clean)
+
+
+def test_odd_rows(spark):
+    docs = table(spark)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (6, 0), (7, 1), (8, None), (9, 0), (9, 1), (None, 1), (99, 1)], LABELS)
+    found = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert len(found) == len(ROWS) and all(0 <= r.toxicity <= 1 for r in found)
+    assert len({r.toxicity for r in found if not (r.text or "").strip()}) == 1
+    assert toxicity.learn(docs, labels.where("toxic = 1")) is None
+    assert {r.toxicity for r in toxicity.score(docs, None).collect()} == {0.0}
+    assert toxicity.score(docs.limit(0), None).collect() == []
