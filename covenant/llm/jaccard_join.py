@@ -8,21 +8,21 @@ distance 1/4 lacks at most a quarter of the shingles, so a window of the first q
 replicates it to every region in which a link can be met first. Whole documents as the first pivots
 would be at distance 1 from almost all others, and windows around their borders would take in everything.
 
-Inside a region pivots are documents. The one of least id meets all others first; linked documents
-become components, and regions of one component are settled. The rest join recursively, any number of
-times, with more pivots each time, all of them outside the region's largest component: a pivot meets
-the documents of other components and is then done with. For x and y that link, with a pivot p:
-
-- if one is within 1/4 of p, the other is within 1/2, by the triangle inequality: what links with p and
-  the window of what may be within 1/2 of it go on as a region of their own, where the window is of
-  another component;
-- if neither links with any pivot, both stay in the region that is left over.
-
-So crowds of copies cost a pair each and not a pair of pairs, what is far from a crowd never meets its
-members, and no link between components is missed. Pairs are verified exactly: a sketch of each set,
-whose distance is never more than the sets' own, rules most out, and the whole sets of the rest are
-compared. Regions of more than ``wide`` documents are dealt to many tasks by document and meet as one
-from the second turn on.
+Inside a region pivots are documents. The one of least id meets all others first; those that link with
+it are its ball, of radius 1/4, and the rest are balls of one document. Linked documents become
+components, and regions of one component are settled. In the others balls join recursively: pivots are
+balls outside the region's largest component, more of them each turn, and a pivot's centre meets the
+centres of the balls of other components. By the triangle inequality,
+
+- centres within 1/4 of each other link, and all of both balls is one component;
+- centres further apart than 1/4 and both radii leave no link between the balls;
+- two balls in between become a region of their own, in which each document is a ball.
+
+The pivot's ball is then done with. So crowds of copies cost a pair each and not a pair of pairs, what is
+far from a crowd meets its centre and not its members, and no link between components is missed. Pairs
+are verified exactly: a sketch of each set, whose distance is never more than the sets' own, rules most
+out, and the whole sets of the rest are compared. Regions of more than ``wide`` documents are dealt to
+many tasks by document, each with a ball of its own, and their balls meet as those of one region.
 
 Documents with equal sets are one from the start. The order of shingles is by the number of documents
 that have them, counted over all and read from arrays mapped into memory; it decides how many pairs
@@ -292,7 +292,8 @@ def _can_link(a: Column, b: Column, place_a: Column, place_b: Column) -> Column:
 
 
 def _regions(slices: int):
-    """Of a slice: pivot pairs of each region (h null), and members of regions of three or more, and of all wide ones."""
+    """Of a slice: pivot pairs of each region (h null), and members of regions of three or more, and of all wide
+    ones, with the pivot that they met (lead)."""
 
     def run(batch: pa.Table) -> pa.Table:
         return _slice_regions(batch, batch["slice"][0].as_py() >= slices)
@@ -328,6 +329,7 @@ def _slice_regions(batch: pa.Table, wide: bool) -> pa.Table:
         "b": pa.concat_arrays([pa.array(b), pa.nulls(len(m_doc), pa.int64())]),
         "size": pa.array(np.concatenate([none, m_size])),
         "place": pa.array(np.concatenate([none, m_place])),
+        "lead": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(doc[first][larger])]),
     })
 
 
@@ -339,17 +341,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
-            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep.append(PARTS * shared >= NEED * (len(x) + len(y) - shared))
-        at = pa.array(np.flatnonzero(keep))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+def _verified(need: int, parts: int):
+    """Pairs of which the sets share need / parts of all their shingles at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
+                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+                if len(x) > len(y):
+                    x, y = y, x
+                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(parts * shared >= need * (len(x) + len(y) - shared))
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+    return run
 
 
 def _possible(need: int, parts: int):
@@ -380,57 +387,63 @@ def possible(pairs: DataFrame, prints: DataFrame, need: int, parts: int, name: s
     return materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible(need, parts), "a long, b long"), f"{name}-possible")
 
 
-def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The candidate pairs (a, b) that link: by sketches first, then by the whole sets of both."""
-    pairs = possible(pairs, prints, NEED, PARTS, name)
+def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str, need: int = NEED, parts: int = PARTS) -> DataFrame:
+    """The candidate pairs (a, b) that share need / parts: by sketches first, then by the whole sets of both."""
+    pairs = possible(pairs, prints, need, parts, name)
     sets = rows_of(docs, _ends(pairs), "node").select("node", "text").mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a"
     )
-    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified, "a long, b long"), f"{name}-links")
+    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified(need, parts), "a long, b long"), f"{name}-links")
 
 
-def _pivots(members: DataFrame, most: int) -> DataFrame:
-    """(h, p, p_size, p_place, p_label) of up to ``most`` components but the largest of each unsettled region: its least document."""
-    of_label = members.groupBy("h", "label").agg(F.count("*").alias("n"), F.min(F.struct("a", "size", "place")).alias("p"))
-    of_label = materialized(of_label, "region-labels")
-    largest = of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("largest")).where("labels > 1")
+def _pivots(balls: DataFrame, most: int) -> DataFrame:
+    """Of each unsettled region, the first ball of up to ``most`` components but its largest, as columns p, p_size and so on."""
+    of_label = materialized(balls.groupBy("h", "label").agg(F.sum("n").alias("docs"), F.min(F.struct("c", "size", "place", "n")).alias("p")), "region-labels")
+    largest = of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("docs", "label"))["label"].alias("largest")).where("labels > 1")
     others = of_label.join(largest, "h").where("label <> largest")
     first = F.row_number().over(Window.partitionBy("h").orderBy("p")) <= most
-    return others.select("h", "p.a", "p.size", "p.place", "label", first.alias("first")).where("first").toDF("h", "p", "p_size", "p_place", "p_label", "first").drop("first")
+    return others.select("h", "p.*", "label", first.alias("first")).where("first").drop("first").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
 
 
 def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, docs: DataFrame, first_pivots: int = 4) -> DataFrame:
-    """Labels (id, component) of all documents that link, by joining members (h, a, size, place) recursively."""
-    turn, most = 1, first_pivots
+    """Labels (id, component) of all documents that link, by joining members (h, a, size, place, lead) recursively."""
     labels = connected_components(edges, "turn-0")
+    near_lead = edges.select(F.col("a").alias("lead"), F.col("b").alias("a"), F.lit(True).alias("linked"))
+    members = members.join(near_lead, ["lead", "a"], "left").select("h", "a", "size", "place", F.when(F.col("linked") | (F.col("a") == F.col("lead")), F.col("lead")).otherwise(F.col("a")).alias("c"))
+    members = materialized(members, "members")
+    balls = members.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.when(F.col("a") == F.col("c"), F.struct("size", "place"))).alias("x")).select("h", "c", "x.size", "x.place", "n")
+    turn, most = 1, first_pivots
     while True:
-        labelled = members.join(labels.select(F.col("id").alias("a"), "component"), "a", "left").select("h", "a", "size", "place", F.coalesce("component", "a").alias("label"))
-        labelled = materialized(labelled, "members")
+        labelled = balls.join(labels.select(F.col("id").alias("c"), "component"), "c", "left").select("h", "c", "size", "place", "n", F.coalesce("component", "c").alias("label"))
+        labelled = materialized(labelled, "balls")
         pivots = materialized(_pivots(labelled, most), "pivots")
         if pivots.isEmpty():
             return labels
         open_ = labelled.join(few(pivots.select("h").distinct()), "h", "left_semi")
         met = open_.join(few(pivots), "h").where("label <> p_label")
-        new = links(met.where(_can_link(F.col("size"), F.col("p_size"), F.col("place"), F.col("p_place"))).select(F.col("p").alias("a"), F.col("a").alias("b")), prints, docs, f"turn-{turn}")
-        found = not new.isEmpty()
-        if found:
+        pair = (F.col("p").alias("a"), F.col("c").alias("b"))
+        new = links(met.where(_can_link(F.col("size"), F.col("p_size"), F.col("place"), F.col("p_place"))).select(*pair), prints, docs, f"turn-{turn}")
+        if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = connected_components(edges, f"turn-{turn}")
-        linked = met.join(new.select(F.col("a").alias("p"), F.col("b").alias("a")), ["p", "a"], "left_semi").select("h", "p", "a", "size", "place")
-        done = pivots.select("h", F.col("p").alias("a"))
-        if found:
-            linked = materialized(linked, "linked")
-            # what may be within 1/2 of a pivot that links with some: the window around its crowd
-            around = met.join(linked.select("h", "p").distinct(), ["h", "p"], "left_semi").join(linked.select("h", "p", "a"), ["h", "p", "a"], "left_anti")
-            around = around.where((2 * F.col("size") >= F.col("p_size")) & (F.col("size") <= 2 * F.col("p_size")))
-            near = possible(around.select(F.col("p").alias("a"), F.col("a").alias("b")), prints, 1, 2, f"window-{turn}")
-            window = around.join(near.select(F.col("a").alias("p"), F.col("b").alias("a")), ["p", "a"], "left_semi").select(*linked.columns)
-            crowds = linked.join(window.select("h", "p").distinct(), ["h", "p"], "left_semi").unionByName(window)
-            crowds = crowds.select(F.xxhash64("h", "p").alias("h"), "a", "size", "place")
-            done = done.unionByName(linked.select("h", "a"))
-        rest = open_.select("h", "a", "size", "place").join(done.distinct(), ["h", "a"], "left_anti")
-        members = rest.unionByName(crowds) if found else rest
+        # centres within 1/4 and both radii: a share of 1/2 with one ball of several documents, of 1/4 with two
+        alone = (F.col("n") == 1).cast("int") + (F.col("p_n") == 1).cast("int")
+        fits = F.least("size", "p_size") * 4 >= F.greatest("size", "p_size") * (1 + alone)
+        children = []
+        for both, need in ((1, 2), (0, 1)):
+            wide_pairs = met.where((alone == both) & fits).join(new.select(F.col("a").alias("p"), F.col("b").alias("c")), ["p", "c"], "left_anti")
+            if not wide_pairs.isEmpty():
+                near = links(wide_pairs.select(*pair), prints, docs, f"balls-{turn}-{need}", need, 4)
+                children.append(wide_pairs.join(near.select(F.col("a").alias("p"), F.col("b").alias("c")), ["p", "c"]).select("h", "p", "c"))
+        balls = open_.join(pivots.select("h", F.col("p").alias("c")), ["h", "c"], "left_anti").select("h", "c", "size", "place", "n")
+        alone_members = balls.limit(0)
+        if children:
+            near = materialized(children[0] if len(children) == 1 else children[0].unionByName(children[1]), "near-balls")
+            ends = near.select("h", F.xxhash64("h", "p", "c").alias("child"), F.explode(F.array("p", "c")).alias("c"))
+            alone_members = members.join(few(ends), ["h", "c"]).select(F.col("child").alias("h"), F.col("a").alias("c"), "size", "place", F.lit(1).cast("long").alias("n"))
+            members = materialized(members.unionByName(alone_members.select("h", F.col("c").alias("a"), "size", "place", "c")), "members")
+        balls = balls.unionByName(alone_members)
         turn, most = turn + 1, most * 4
 
 
@@ -446,10 +459,10 @@ def jaccard_components(docs: DataFrame, slice_rows: int = 1_000_000, wide: int =
     order = shingle_order(reps, total)
     slices = max(n_slices(docs.sparkSession), total // (4 * slice_rows))
     packed = reps.select("node", "text").mapInArrow(_windows(order, slices, wide), "slice int, h binary, doc binary, size binary, place binary")
-    found = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_regions(slices), "h long, a long, b long, size long, place long")
+    found = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_regions(slices), "h long, a long, b long, size long, place long, lead long")
     found = materialized(found, "regions")
     edges = links(found.where("h is null"), prints, docs, "turn-0")
-    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place"), edges, prints, docs)
+    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place", "lead"), edges, prints, docs)
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "n", F.coalesce("component", "rep").alias("component"))
     of_class = materialized(of_class, "class-components")
     out = joined_by_group(prints.where("n_shingles > 0").select("doc_id", "node", *key), of_class, key, "n").select("doc_id", "node", "n_shingles", "component")
