@@ -16,7 +16,8 @@ centres of the balls of other components. By the triangle inequality,
 
 - centres within 1/4 of each other link, and all of both balls is one component;
 - centres further apart than 1/4 and both radii leave no link between the balls;
-- two balls in between become a region of their own, in which each document is a ball.
+- in between, a document alone meets the members of the other's ball; of two crowds, those members of one
+  that are within 1/2 of the other's centre meet its members.
 
 The pivot's ball is then done with. So crowds of copies cost a pair each and not a pair of pairs, what is
 far from a crowd meets its centre and not its members, and no link between components is missed. Pairs
@@ -398,15 +399,15 @@ def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str, need:
 
 
 def _pivots(balls: DataFrame, most: int) -> DataFrame:
-    """Of each unsettled region, the first ball of up to ``most`` components but its largest, as columns p, p_size and so on."""
-    of_label = materialized(balls.groupBy("h", "label").agg(F.sum("n").alias("docs"), F.min(F.struct("c", "size", "place", "n")).alias("p")), "region-labels")
-    largest = of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("docs", "label"))["label"].alias("largest")).where("labels > 1")
-    others = of_label.join(largest, "h").where("label <> largest")
-    first = F.row_number().over(Window.partitionBy("h").orderBy("p")) <= most
-    return others.select("h", "p.*", "label", first.alias("first")).where("first").drop("first").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
+    """Of each unsettled region, up to ``most`` balls outside its largest component, as columns p, p_size and so on."""
+    of_label = balls.groupBy("h", "label").agg(F.sum("n").alias("docs"))
+    largest = materialized(of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("docs", "label"))["label"].alias("largest")).where("labels > 1"), "open-regions")
+    others = balls.join(few(largest), "h").where("label <> largest")
+    first = F.row_number().over(Window.partitionBy("h").orderBy("c")) <= most
+    return others.select("h", "c", "size", "place", "n", "label", first.alias("first")).where("first").drop("first").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
 
 
-def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, docs: DataFrame, first_pivots: int = 4) -> DataFrame:
+def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, docs: DataFrame, first_pivots: int = 64) -> DataFrame:
     """Labels (id, component) of all documents that link, by joining members (h, a, size, place, lead) recursively."""
     labels = connected_components(edges, "turn-0")
     near_lead = edges.select(F.col("a").alias("lead"), F.col("b").alias("a"), F.lit(True).alias("linked"))
@@ -415,36 +416,64 @@ def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, doc
     balls = members.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.when(F.col("a") == F.col("c"), F.struct("size", "place"))).alias("x")).select("h", "c", "x.size", "x.place", "n")
     turn, most = 1, first_pivots
     while True:
-        labelled = balls.join(labels.select(F.col("id").alias("c"), "component"), "c", "left").select("h", "c", "size", "place", "n", F.coalesce("component", "c").alias("label"))
+        labelled = _labelled(balls, labels, "c", "label").select("h", "c", "size", "place", "n", "label")
         labelled = materialized(labelled, "balls")
         pivots = materialized(_pivots(labelled, most), "pivots")
         if pivots.isEmpty():
             return labels
         open_ = labelled.join(few(pivots.select("h").distinct()), "h", "left_semi")
         met = open_.join(few(pivots), "h").where("label <> p_label")
+        fit = _can_link(F.col("size"), F.col("p_size"), F.col("place"), F.col("p_place"))
         pair = (F.col("p").alias("a"), F.col("c").alias("b"))
-        new = links(met.where(_can_link(F.col("size"), F.col("p_size"), F.col("place"), F.col("p_place"))).select(*pair), prints, docs, f"turn-{turn}")
+        new = links(met.where(fit).select(*pair), prints, docs, f"turn-{turn}")
         if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = connected_components(edges, f"turn-{turn}")
-        # centres within 1/4 and both radii: a share of 1/2 with one ball of several documents, of 1/4 with two
-        alone = (F.col("n") == 1).cast("int") + (F.col("p_n") == 1).cast("int")
-        fits = F.least("size", "p_size") * 4 >= F.greatest("size", "p_size") * (1 + alone)
-        children = []
-        for both, need in ((1, 2), (0, 1)):
-            wide_pairs = met.where((alone == both) & fits).join(new.select(F.col("a").alias("p"), F.col("b").alias("c")), ["p", "c"], "left_anti")
-            if not wide_pairs.isEmpty():
-                near = links(wide_pairs.select(*pair), prints, docs, f"balls-{turn}-{need}", need, 4)
-                children.append(wide_pairs.join(near.select(F.col("a").alias("p"), F.col("b").alias("c")), ["p", "c"]).select("h", "p", "c"))
+        crossing = _crossing(met.where("n > 1 or p_n > 1"), members, labels, prints, docs, f"balls-{turn}")
+        if crossing is not None and not crossing.isEmpty():
+            edges = edges.unionByName(crossing)
+            labels = connected_components(edges, f"crossing-{turn}")
         balls = open_.join(pivots.select("h", F.col("p").alias("c")), ["h", "c"], "left_anti").select("h", "c", "size", "place", "n")
-        alone_members = balls.limit(0)
-        if children:
-            near = materialized(children[0] if len(children) == 1 else children[0].unionByName(children[1]), "near-balls")
-            ends = near.select("h", F.xxhash64("h", "p", "c").alias("child"), F.explode(F.array("p", "c")).alias("c"))
-            alone_members = members.join(few(ends), ["h", "c"]).select(F.col("child").alias("h"), F.col("a").alias("c"), "size", "place", F.lit(1).cast("long").alias("n"))
-            members = materialized(members.unionByName(alone_members.select("h", F.col("c").alias("a"), "size", "place", "c")), "members")
-        balls = balls.unionByName(alone_members)
-        turn, most = turn + 1, most * 4
+        turn, most = turn + 1, most * 16
+
+
+def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
+    """Rows with the component of the document in a column."""
+    return rows.join(few(labels.select(F.col("id").alias(column), "component")), column, "left").withColumn(name, F.coalesce("component", column)).drop("component")
+
+
+def _crossing(met: DataFrame, members: DataFrame, labels: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame | None:
+    """Links between balls that met and whose centres aren't linked, if any centres are near enough for one.
+
+    Centres have to be within 1/4 and both radii: they share 1/2 with one ball of several documents, 1/4 with two.
+    """
+    columns = ["h", "p", "p_size", "p_place", "p_n", "c", "size", "place", "n"]
+    alone = (F.col("n") == 1).cast("int") + (F.col("p_n") == 1).cast("int")
+    wide = met.where(F.least("size", "p_size") * 4 >= F.greatest("size", "p_size") * (1 + alone)).select(*columns)
+    wide = _labelled(_labelled(wide, labels, "c", "label"), labels, "p", "p_label").where("label <> p_label")
+    wide = materialized(wide.select(*columns), f"{name}-met")
+    if wide.isEmpty():
+        return None
+
+    def near(of: DataFrame, need: int, name: str) -> DataFrame:
+        found = links(of.select(F.col("p").alias("a"), F.col("c").alias("b")), prints, docs, name, need, 4)
+        return of.join(few(found.select(F.col("a").alias("p"), F.col("b").alias("c"))), ["p", "c"])
+
+    # one document alone, and the centre of the others
+    single = near(wide.where("n = 1 or p_n = 1"), 2, f"{name}-single")
+    one = F.when(F.col("p_n") == 1, F.struct(F.col("p").alias("s"), F.col("p_size").alias("s_size"), F.col("p_place").alias("s_place"), F.col("c").alias("c"))).otherwise(
+        F.struct(F.col("c").alias("s"), F.col("size").alias("s_size"), F.col("place").alias("s_place"), F.col("p").alias("c"))
+    )
+    pairs = [(single.select("h", one.alias("one")).select("h", "one.*"), members)]
+    # two crowds: the members of the second that are within 1/2 of the first's centre
+    crowds = wide.where("n > 1 and p_n > 1")
+    if not crowds.isEmpty():
+        between = near(crowds, 1, f"{name}-crowds").select("h", "p", "c").join(members, ["h", "c"]).select("h", "p", F.col("a").alias("c"), F.col("size").alias("s_size"), F.col("place").alias("s_place"))
+        some = near(between, 2, f"{name}-between").select("h", F.col("c").alias("s"), "s_size", "s_place", F.col("p").alias("c"))
+        pairs.append((some, members))
+    fit = _can_link(F.col("size"), F.col("s_size"), F.col("place"), F.col("s_place"))
+    out = [few(of).join(inside, ["h", "c"]).where(fit & (F.col("s") != F.col("a"))).select(F.col("s").alias("a"), F.col("a").alias("b")) for of, inside in pairs]
+    return links(out[0] if len(out) == 1 else out[0].unionByName(out[1]), prints, docs, f"{name}-members")
 
 
 def jaccard_components(docs: DataFrame, slice_rows: int = 1_000_000, wide: int = 10_000) -> DataFrame:
