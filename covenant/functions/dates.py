@@ -59,17 +59,23 @@ def freshness(provider: Column, seen: Column, now: Column) -> Column:
     return F.when(age <= live, "live").when(age <= cached, "cached").otherwise("stale")
 
 
-def is_due(status: Column, provider: Column, last_attempt: Column, last_success: Column, now: Column) -> Column:
-    """Whether an entity's data of a provider is to be fetched again, by its status and age."""
-    hours = lambda ts: (F.unix_timestamp(now) - F.unix_timestamp(ts)) / 3600.0
+#: States in which an entity is asked again after its provider's hours, after those for what stays open, and never. Fixed values.
+SETTLED_STATES = ("complete", "no_data")
+OPEN_STATES = ("ambiguous", "manual_review_required", "unavailable")
+FINAL_STATES = ("failed_permanent", "blocked_entitlement", "unsupported")
+
+
+def is_due(status: Column, provider: Column, last_attempt: Column, last_success: Column, next_retry: Column, now: Column) -> Column:
+    """Whether an entity's data of a provider is to be fetched again, by its state and what it waits for."""
+    past = lambda ts, hours: F.coalesce((F.unix_timestamp(now) - F.unix_timestamp(ts)) / 3600.0 > hours, F.lit(True))
     ttl = F
     for name, h in ENRICHMENT_TTL_HOURS.items():
         ttl = ttl.when(provider == name, float(h))
-    ttl = ttl.otherwise(24.0)
     return (
-        F.when(status.isNull() | (status == "pending"), True)
-        .when(status == "running", F.coalesce(hours(last_attempt) > STUCK_HOURS, F.lit(True)))
-        .when(status == "unresolved", F.coalesce(hours(last_attempt) > UNRESOLVED_HOURS, F.lit(True)))
-        .when(status == "failed", F.coalesce(hours(last_attempt) > 6, F.lit(True)))
-        .otherwise(F.coalesce(hours(last_success) > ttl, F.lit(True)))
+        F.when(status.isNull(), True)
+        .when(status == "failed_retryable", F.coalesce(next_retry <= now, F.lit(True)))
+        .when(status == "running", past(last_attempt, STUCK_HOURS))
+        .when(status.isin(*SETTLED_STATES), past(last_success, ttl.otherwise(24.0)))
+        .when(status.isin(*OPEN_STATES), past(last_attempt, UNRESOLVED_HOURS))
+        .otherwise(False)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that say what kind of company it is and not which. Fixed values.
-COMPANY_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "company", "co", "ltd", "limited", "llc", "lp", "plc", "holdings", "group", "the")
+COMPANY_SUFFIXES = ("incorporated", "inc", "corporation", "corp", "company", "co", "holdings?", "group", "llc", r"l\.l\.c", "ltd", "limited", "plc", "lp", r"l\.p")
 
 
 def company_key(name: Column) -> Column:
@@ -116,12 +116,12 @@ def coupon(x: Column) -> Column:
 
 
 def packed_words(x: Column, most: int) -> Column:
-    """Words packed in order into pieces of at most so many characters; a longer word stands alone."""
+    """A text cut at single spaces into pieces of at most so many characters; a longer word stands alone."""
     return F.aggregate(
-        F.filter(F.split(x, r"\s+"), lambda w: w != ""),
+        F.split(x, " "),
         F.array().cast("array<string>"),
         lambda out, w: F.when(
             (F.size(out) > 0) & (F.length(F.element_at(out, -1)) + 1 + F.length(w) <= most),
-            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat_ws(" ", F.element_at(out, -1), w))),
+            F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), w))),
         ).otherwise(F.concat(out, F.array(w))),
     )

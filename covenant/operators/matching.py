@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covenant.functions.dates import within_days
+from covenant.functions.text import company_key, digits, number_in
+
 ANCHOR = 3
 
 
@@ -35,6 +38,24 @@ def contained(texts: DataFrame, items: DataFrame) -> DataFrame:
     return met(runs, long, F.array_join(F.slice(words, 1, ANCHOR), " ")).unionByName(met(firsts, short, F.element_at(words, 1))).distinct()
 
 
+def docket_match(pairs: DataFrame) -> DataFrame:
+    """Candidates (legal_name, evidence_text, evidence_date, case_name, docket_number, court, date_filed, chapter) with
+    their signals, the number of strong ones, and whether they pass: a bankruptcy case whose number the evidence
+    names, or of which two strong signals agree. That the evidence names the court is no strong signal."""
+    ours, theirs, low = company_key(F.col("legal_name")), company_key(F.col("case_name")), F.lower("evidence_text")
+    number = F.col("docket_number")
+    signals = pairs.select(
+        "*",
+        ((ours != "") & (F.contains(theirs, ours) | F.contains(ours, theirs))).alias("name_match"),
+        ((digits(number) != "") & (F.contains(low, F.lower(number)) | number_in(F.col("evidence_text"), number))).alias("number_match"),
+        F.coalesce(F.contains(low, F.lower("court")), F.lit(False)).alias("court_match"),
+        F.coalesce(within_days(F.col("date_filed"), F.col("evidence_date")), F.lit(False)).alias("date_match"),
+        F.col("chapter").isNotNull().alias("type_match"),
+    )
+    strong = F.col("name_match").cast("int") + F.col("number_match").cast("int") + F.col("date_match").cast("int")
+    return signals.select("*", strong.alias("strong"), (F.col("type_match") & (F.col("number_match") | (strong >= 2))).alias("passes"))
+
+
 def outcome(subjects: DataFrame, passing: DataFrame, key: str, match: str) -> DataFrame:
     """For each subject how many candidates pass: none, the one match, or ambiguous."""
     n = passing.groupBy(key).agg(F.count("*").alias("n"), F.max(match).alias("_m"))

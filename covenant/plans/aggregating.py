@@ -15,7 +15,7 @@ RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
 @query(
     "a03_conditional_counts",
-    "A02 A03 A06 A09 A10 A25",
+    "A02 A03 A06 A09 A10",
     """SELECT count(*) FILTER (WHERE status = 'new') AS fresh, count(*) FILTER (WHERE status = 'new' AND severity = 'high') AS urgent, count(*) FILTER (WHERE status = 'acknowledged') AS seen,
     count(*) FILTER (WHERE ai_assisted) AS assisted, count(*) FILTER (WHERE triggered_at >= TIMESTAMP '2024-01-20') AS recent, count(*) AS n FROM alert""",
 )
@@ -32,10 +32,10 @@ def group_count(r: Roles) -> DataFrame:
     return r.alert.groupBy("severity", "provider").agg(F.count("*").alias("n"), F.max("triggered_at").alias("latest"))
 
 
-@query("a05_count_for_keys", "A05", "SELECT issuer_id, coalesce(n, 0) AS n FROM (SELECT issuer_id FROM issuer WHERE issuer_id < 300) LEFT JOIN (SELECT issuer_id, count(*) AS n FROM security GROUP BY issuer_id) USING (issuer_id)")
+@query("a05_count_for_keys", "A05", "SELECT issuer_id, coalesce(n, 0) AS n FROM (SELECT issuer_id FROM issuer) LEFT JOIN (SELECT issuer_id, count(*) AS n FROM security GROUP BY issuer_id) USING (issuer_id)")
 def count_for_keys(r: Roles) -> DataFrame:
-    keys = r.issuer.where("issuer_id < 300").select("issuer_id")
-    counts = r.security.where("issuer_id < 300").groupBy("issuer_id").agg(F.count("*").alias("n"))
+    keys = r.issuer.select("issuer_id")
+    counts = r.security.groupBy("issuer_id").agg(F.count("*").alias("n"))
     return keys.join(counts, "issuer_id", "left").select("issuer_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 

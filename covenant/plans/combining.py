@@ -26,13 +26,13 @@ def except_referenced(r: Roles) -> DataFrame:
 
 @query(
     "u05_activity_feed",
-    "U05 J27 S45",
-    "SELECT 'security' AS kind, issuer_id, security_id AS id, CAST(maturity AS DATE) AS occurred_on FROM security WHERE issuer_id < 100 UNION ALL SELECT 'alert', issuer_id, alert_id, as_of_date FROM alert WHERE issuer_id < 100",
+    "U05",
+    "SELECT 'security' AS kind, issuer_id, security_id AS id, CAST(maturity AS DATE) AS occurred_on FROM security UNION ALL SELECT 'alert', issuer_id, alert_id, as_of_date FROM alert",
 )
 def activity_feed(r: Roles) -> DataFrame:
     s = r.security.select(F.lit("security").alias("kind"), "issuer_id", F.col("security_id").alias("id"), F.col("maturity").alias("occurred_on"))
     a = r.alert.select(F.lit("alert").alias("kind"), "issuer_id", F.col("alert_id").alias("id"), F.col("as_of_date").alias("occurred_on"))
-    return s.unionByName(a).where("issuer_id < 100")
+    return s.unionByName(a)
 
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
@@ -40,7 +40,7 @@ _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex
 
 @query(
     "u06_tiered_search",
-    "U06 U07 O14 Q14 Q17 P06",
+    "U06 U07 O14",
     f"""WITH n AS (SELECT 'issuer' AS kind, issuer_id AS id, legal_name AS name FROM issuer UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier),
     q AS (SELECT 'small ring' AS q), t AS (SELECT kind, id, name, {_TRIGRAMS.format(x="name")} AS a, {_TRIGRAMS.format(x="q")} AS b FROM n, q),
     m AS (SELECT kind, id, name, CASE WHEN lower(name) = 'small ring' THEN 3 WHEN lower(name) LIKE 'small ring%' THEN 2 ELSE 1 END AS tier,
@@ -61,7 +61,7 @@ def tiered_search(r: Roles) -> DataFrame:
     "u08_membership_diff",
     "U08 U09 Q23 S30 S31 A28",
     f"""WITH {_SLUGS}, e AS (SELECT issuer_id, slug, max(rank) AS rank FROM s GROUP BY issuer_id, slug),
-    c AS (SELECT issuer_id, 'chapter-11' AS slug, CASE verification WHEN 'unverified' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS rank, issuer_id % 11 = 0 AS by_hand FROM membership WHERE collection_id < 10)
+    c AS (SELECT issuer_id, 'chapter-11' AS slug, CASE verification WHEN 'unverified' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS rank, issuer_id % 11 = 0 AS by_hand FROM membership)
     SELECT issuer_id, slug, CASE WHEN by_hand THEN 'keep' WHEN c.rank IS NULL THEN 'add' WHEN e.rank IS NULL THEN 'remove' WHEN e.rank > c.rank THEN 'upgrade' WHEN e.rank < c.rank THEN 'downgrade' ELSE 'keep' END AS action
     FROM e FULL JOIN c USING (issuer_id, slug)""".replace("e AS (SELECT issuer_id, slug, max", "x AS (SELECT issuer_id, slug, max").replace("FROM e FULL", "FROM x AS e FULL"),
 )
@@ -69,5 +69,5 @@ def membership_diff(r: Roles) -> DataFrame:
     """What turns current memberships into those the evidence supports; those by hand stay."""
     expected = best_status(evidence_slugs(r.alert)).select("issuer_id", "slug", "rank")
     rank = F.when(F.col("verification") == "unverified", 0).when(F.col("verification") == "partial", 1).otherwise(2)
-    current = r.membership.where("collection_id < 10").select("issuer_id", F.lit("chapter-11").alias("slug"), rank.alias("rank"), (F.col("issuer_id") % 11 == 0).alias("by_hand"))
+    current = r.membership.select("issuer_id", F.lit("chapter-11").alias("slug"), rank.alias("rank"), (F.col("issuer_id") % 11 == 0).alias("by_hand"))
     return membership_actions(expected, current, ["issuer_id", "slug"]).select("issuer_id", "slug", "action")

@@ -22,11 +22,11 @@ def _rank():
     "Q01 J01 F11 J11 A01 O01",
     """SELECT security_id, legal_name, instrument_type, amount, maturity, latest, count(*) OVER () AS total FROM security JOIN issuer USING (issuer_id)
     LEFT JOIN (SELECT category, max(as_of_date) AS latest FROM alert GROUP BY category) b ON b.category = CASE instrument_type WHEN 'bond' THEN 'error' WHEN 'term_loan' THEN 'view' ELSE 'click' END
-    WHERE issuer_id IN (SELECT issuer_id FROM membership WHERE collection_id < 3) AND legal_name ILIKE '%0%' AND amount > 50000 ORDER BY amount DESC NULLS LAST, security_id LIMIT 100""",
+    WHERE issuer_id IN (SELECT issuer_id FROM membership) AND legal_name ILIKE '%0%' AND amount > 50000 ORDER BY amount DESC NULLS LAST, security_id LIMIT 100""",
 )
 def credit_universe(r: Roles) -> DataFrame:
     """A screen: filters, members of collections, a benchmark's latest value, a total and a page."""
-    members = r.membership.where("collection_id < 3")
+    members = r.membership
     found = where_all(r.security.join(r.issuer, "issuer_id"), F.ilike("legal_name", F.lit("%0%")), F.col("amount") > 50000, None).join(members, "issuer_id", "left_semi")
     total = found.agg(F.count("*").alias("total"))
     kind = F.when(F.col("instrument_type") == "bond", "error").when(F.col("instrument_type") == "term_loan", "view").otherwise("click")
@@ -93,7 +93,7 @@ def timeline(r: Roles) -> DataFrame:
 
 @query(
     "q10_watchlists",
-    "Q10 Q28 A20 A02",
+    "Q10 A20",
     """SELECT collection_id, name, count(DISTINCT m.issuer_id) AS members, count(a.alert_id) FILTER (WHERE status = 'new') AS fresh, count(a.alert_id) FILTER (WHERE status = 'new' AND severity = 'high') AS urgent, max(triggered_at) AS latest
     FROM collection JOIN membership m USING (collection_id) LEFT JOIN alert a ON a.issuer_id = m.issuer_id WHERE collection_type = 'watchlist' GROUP BY collection_id, name""",
 )
@@ -104,7 +104,7 @@ def watchlists(r: Roles) -> DataFrame:
     return m.groupBy("collection_id", "name").agg(F.count("*").alias("members"), F.coalesce(F.sum("f"), F.lit(0)).alias("fresh"), F.coalesce(F.sum("u"), F.lit(0)).alias("urgent"), F.max("t").alias("latest"))
 
 
-@query("q12_universes", "Q12 A07 Q33", "SELECT collection_id, slug, count(issuer_id) AS members, count(*) FILTER (WHERE verification = 'verified') AS verified FROM collection LEFT JOIN membership USING (collection_id) WHERE collection_type <> 'watchlist' GROUP BY collection_id, slug")
+@query("q12_universes", "Q12 A07", "SELECT collection_id, slug, count(issuer_id) AS members, count(*) FILTER (WHERE verification = 'verified') AS verified FROM collection LEFT JOIN membership USING (collection_id) WHERE collection_type <> 'watchlist' GROUP BY collection_id, slug")
 def universes(r: Roles) -> DataFrame:
     counts = r.membership.groupBy("collection_id").agg(F.count("*").alias("members"), F.count_if(F.col("verification") == "verified").alias("verified"))
     return r.collection.where("collection_type <> 'watchlist'").join(counts, "collection_id", "left").select("collection_id", "slug", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("members", "verified")))
@@ -127,7 +127,7 @@ def filing_search(r: Roles) -> DataFrame:
 
 @query(
     "q27_capital_demo",
-    "Q27 Q26 Q03",
+    "Q27",
     """WITH layer8(issuer_id, rank_order, amount) AS (VALUES (1, 1, 100), (1, 2, 200), (1, 3, 150), (1, 4, 300)),
     c AS (SELECT issuer_id, rank_order, CAST(amount AS DECIMAL(20,4)) AS amount, CAST(400 AS DECIMAL(20,4)) AS value, CAST(sum(amount) OVER (ORDER BY rank_order) AS DECIMAL(20,4)) AS cumulative FROM layer8)
     SELECT rank_order, amount, CAST(round(value / cumulative, 2) AS DECIMAL(18,2)) AS coverage, CAST(round(greatest(0::DECIMAL(20,4), least(amount, value - (cumulative - amount))) * 100 / amount, 2) AS DECIMAL(18,2)) AS recovery FROM c""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from covenant.bindings import Roles
 from covenant.functions.text import company_key
-from covenant.operators.matching import outcome
+from covenant.operators.matching import docket_match, outcome
 from covenant.operators.relational import as_of, first_by
 from covenant.registry import query
 
@@ -80,7 +80,7 @@ def as_of_latest(r: Roles) -> DataFrame:
 
 @query(
     "j18_containment_match",
-    "J18 J19 M05 M06 T11",
+    "J18",
     """WITH d AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM document),
     b AS (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM benchmark),
     m AS (SELECT item_id, doc_id FROM b JOIN d ON contains(d.t, ' ' || b.t || ' '))
@@ -99,9 +99,60 @@ def containment_match(r: Roles) -> DataFrame:
     return outcome(r.table("benchmark").select("item_id"), found, "item_id", "doc_id")
 
 
+_DOCKETS = r"""ev AS (SELECT issuer_id, alert_id, as_of_date, legal_name, 'Case no. ' || (alert_id % 500 + 1000) || ' filed in court 3-medium' AS text FROM
+    (SELECT *, row_number() OVER (PARTITION BY issuer_id ORDER BY triggered_at DESC, alert_id) AS n FROM alert WHERE category IN ('error', 'signup')) JOIN issuer USING (issuer_id) WHERE n = 1),
+dk AS (SELECT issuer_id, security_id AS docket_id, '24-' || (security_id % 500 + 1000) AS number, CASE WHEN security_id % 3 = 0 THEN 'In re ' || c_name || ' Holdings, Inc.' ELSE 'In re Other LLC' END AS case_name, lower(priority) AS court,
+    maturity + INTERVAL 28 YEAR + INTERVAL 1 DAY * CAST(security_id % 40 AS INTEGER) AS filed, CASE WHEN security_id % 4 > 0 THEN instrument_type END AS chapter FROM security JOIN customer ON c_custkey = issuer_id),
+nm AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(lower(legal_name), '\b(incorporated|inc|corporation|corp|company|co|holdings?|group|llc|l\.l\.c|ltd|limited|plc|lp|l\.p)\b\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS ours,
+    trim(regexp_replace(regexp_replace(regexp_replace(lower(case_name), '\b(incorporated|inc|corporation|corp|company|co|holdings?|group|llc|l\.l\.c|ltd|limited|plc|lp|l\.p)\b\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) AS theirs FROM ev JOIN dk USING (issuer_id)),
+sg AS (SELECT issuer_id, alert_id, docket_id, ours <> '' AND (contains(theirs, ours) OR contains(ours, theirs)) AS name_match,
+    contains(lower(text), number) OR (length(regexp_replace(number, '[^0-9]', '', 'g')) >= 4 AND contains(regexp_replace(text, '[^0-9]', '', 'g'), regexp_replace(number, '[^0-9]', '', 'g'))) AS number_match,
+    contains(lower(text), court) AS court_match, abs(date_diff('day', CAST(filed AS DATE), as_of_date)) <= 14 AS date_match, chapter IS NOT NULL AS type_match FROM nm),
+ps AS (SELECT *, name_match::INT + number_match::INT + date_match::INT AS strong, type_match AND (number_match OR name_match::INT + number_match::INT + date_match::INT >= 2) AS passes FROM sg)"""
+
+
+def _docket_candidates(r: Roles) -> DataFrame:
+    """Each issuer's latest relevant evidence with the dockets found for it."""
+    relevant = r.alert.where(F.col("category").isin("error", "signup"))
+    latest = first_by(relevant, ["issuer_id"], F.desc("triggered_at"), F.asc("alert_id")).join(r.issuer.select("issuer_id", "legal_name"), "issuer_id")
+    number = lambda c: (F.col(c) % 500 + 1000).cast("string")
+    evidence = latest.select("issuer_id", "alert_id", F.col("as_of_date").alias("evidence_date"), "legal_name", F.concat(F.lit("Case no. "), number("alert_id"), F.lit(" filed in court 3-medium")).alias("evidence_text"))
+    s = r.security.join(r.issuer.select("issuer_id", "legal_name"), "issuer_id")
+    name = F.when(F.col("security_id") % 3 == 0, F.concat(F.lit("In re "), "legal_name", F.lit(" Holdings, Inc."))).otherwise("In re Other LLC")
+    dockets = s.select(
+        "issuer_id", F.col("security_id").alias("docket_id"), F.concat(F.lit("24-"), number("security_id")).alias("docket_number"), name.alias("case_name"), F.lower("priority").alias("court"),
+        F.date_add(F.add_months("maturity", 28 * 12), (F.col("security_id") % 40).cast("int")).alias("date_filed"), F.when(F.col("security_id") % 4 > 0, F.col("instrument_type")).alias("chapter"),
+    )
+    return evidence.join(dockets, "issuer_id")
+
+
+@query(
+    "j18_docket_signals",
+    "J18 M05 M06 T11",
+    f"WITH {_DOCKETS} SELECT alert_id, docket_id, name_match, number_match, court_match, date_match, type_match, strong, passes FROM ps",
+)
+def docket_signals(r: Roles) -> DataFrame:
+    """The signals of each candidate docket, how many strong ones there are, and whether it passes."""
+    return docket_match(_docket_candidates(r)).select("alert_id", "docket_id", "name_match", "number_match", "court_match", "date_match", "type_match", "strong", "passes")
+
+
+@query(
+    "x17_auto_link",
+    "X17 J19",
+    f"""WITH {_DOCKETS} SELECT issuer_id, ev.alert_id, count(*) FILTER (WHERE passes) AS passing, CASE count(*) FILTER (WHERE passes) WHEN 0 THEN 'none' WHEN 1 THEN 'match' ELSE 'ambiguous' END AS outcome,
+    CASE WHEN count(*) FILTER (WHERE passes) = 1 THEN max(docket_id) FILTER (WHERE passes) END AS docket_id FROM ev LEFT JOIN ps USING (issuer_id) GROUP BY issuer_id, ev.alert_id""",
+)
+def auto_link(r: Roles) -> DataFrame:
+    """An attempt for each issuer with relevant evidence: the latest, its candidates, and the link if just one passes."""
+    relevant = r.alert.where(F.col("category").isin("error", "signup")).join(r.issuer.select("issuer_id"), "issuer_id", "left_semi")
+    latest = first_by(relevant, ["issuer_id"], F.desc("triggered_at"), F.asc("alert_id")).select("issuer_id", "alert_id")
+    passing = docket_match(_docket_candidates(r)).where("passes")
+    return outcome(latest, passing.select("issuer_id", "docket_id"), "issuer_id", "docket_id").join(latest, "issuer_id")
+
+
 @query(
     "j19_name_and_date_signals",
-    "J18 J19 D09",
+    "D09",
     """WITH p AS (SELECT s.security_id, a.alert_id FROM security s JOIN alert a ON s.issuer_id = a.issuer_id AND abs(date_diff('day', s.maturity + INTERVAL 26 YEAR, CAST(a.triggered_at AS DATE))) % 365 <= 14 AND a.severity = 'high')
     SELECT security_id, count(*) AS passing, CASE WHEN count(*) = 1 THEN 'match' ELSE 'ambiguous' END AS outcome FROM p GROUP BY security_id""",
 )
@@ -187,7 +238,7 @@ def mixed_runs(r: Roles) -> DataFrame:
     return runs("daily", "filings").unionByName(runs("discovery", "dockets"))
 
 
-@query("t10_company_key", "T10", "SELECT issuer_id, trim(regexp_replace(regexp_replace(lower(legal_name || ' Holdings, Inc.'), '\\b(inc|incorporated|corp|corporation|company|co|ltd|limited|llc|lp|plc|holdings|group|the)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM issuer")
+@query("t10_company_key", "T10", "SELECT issuer_id, trim(regexp_replace(regexp_replace(lower(legal_name || ' Holdings, Inc.'), '\\b(incorporated|inc|corporation|corp|company|co|holdings?|group|llc|l\\.l\\.c|ltd|limited|plc|lp|l\\.p)\\b\\.?', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS key FROM issuer")
 def company_keys(r: Roles) -> DataFrame:
     return r.issuer.select("issuer_id", company_key(F.concat("legal_name", F.lit(" Holdings, Inc."))).alias("key"))
 

@@ -18,14 +18,14 @@ def newest_page(r: Roles) -> DataFrame:
 @query(
     "o05_null_order",
     "O05 O06 O15",
-    "SELECT alert_id, row_number() OVER (ORDER BY is_subject ASC NULLS LAST, triggered_at) AS up, row_number() OVER (ORDER BY is_subject DESC NULLS FIRST, triggered_at) AS down FROM alert WHERE issuer_id < 20",
+    "SELECT alert_id, row_number() OVER (PARTITION BY issuer_id ORDER BY is_subject ASC NULLS LAST, triggered_at, alert_id) AS up, row_number() OVER (PARTITION BY issuer_id ORDER BY is_subject DESC NULLS FIRST, triggered_at, alert_id) AS down FROM alert",
 )
 def null_order(r: Roles) -> DataFrame:
-    """Nulls last going up and first coming down, in the positions of a bounded list."""
-    few = r.alert.where("issuer_id < 20")
-    up = Window.orderBy(F.col("is_subject").asc_nulls_last(), "triggered_at")
-    down = Window.orderBy(F.col("is_subject").desc_nulls_first(), "triggered_at")
-    return few.select("alert_id", F.row_number().over(up).cast("long").alias("up"), F.row_number().over(down).cast("long").alias("down"))
+    """Nulls last going up and first coming down, in the positions of each issuer's list."""
+    own = Window.partitionBy("issuer_id")
+    up = own.orderBy(F.col("is_subject").asc_nulls_last(), "triggered_at", "alert_id")
+    down = own.orderBy(F.col("is_subject").desc_nulls_first(), "triggered_at", "alert_id")
+    return r.alert.select("alert_id", F.row_number().over(up).cast("long").alias("up"), F.row_number().over(down).cast("long").alias("down"))
 
 
 @query(
@@ -39,12 +39,12 @@ def composite_sort(r: Roles) -> DataFrame:
     return g.orderBy("worst", F.desc("latest"), "issuer_id").limit(40)
 
 
-@query("o10_display_cap", "O10 O11", "SELECT severity, alert_id, total FROM (SELECT severity, alert_id, count(*) OVER (PARTITION BY severity) AS total, row_number() OVER (PARTITION BY severity ORDER BY triggered_at DESC) AS n FROM (SELECT * FROM alert ORDER BY triggered_at DESC, alert_id LIMIT 2000)) WHERE n <= 100")
+@query("o10_display_cap", "O10 O11", "SELECT severity, alert_id, total FROM (SELECT severity, alert_id, count(*) OVER (PARTITION BY severity) AS total, row_number() OVER (PARTITION BY severity ORDER BY triggered_at DESC, alert_id) AS n FROM (SELECT * FROM alert ORDER BY triggered_at DESC, alert_id LIMIT 2000)) WHERE n <= 100")
 def display_cap(r: Roles) -> DataFrame:
     """Of the newest, each list's first hundred with the count of before the cap."""
     newest = r.alert.orderBy(F.desc("triggered_at"), "alert_id").limit(2000)
     w = Window.partitionBy("severity")
-    n = F.row_number().over(w.orderBy(F.desc("triggered_at")))
+    n = F.row_number().over(w.orderBy(F.desc("triggered_at"), "alert_id"))
     return newest.select("severity", "alert_id", F.count("*").over(w).alias("total"), n.alias("n")).where("n <= 100").drop("n")
 
 

@@ -30,9 +30,9 @@ def by_foreign_key(r: Roles) -> DataFrame:
     return r.security.where("issuer_id = 7").select("security_id", "issuer_id", "amount")
 
 
-@query("f04_in_list", "F04", "SELECT alert_id, category FROM alert WHERE issuer_id < 50 AND category IN ('error', 'purchase')")
+@query("f04_in_list", "F04", "SELECT alert_id, category FROM alert WHERE category IN ('error', 'purchase')")
 def in_list(r: Roles) -> DataFrame:
-    return r.alert.where(F.col("category").isin("error", "purchase") & (F.col("issuer_id") < 50)).select("alert_id", "category")
+    return r.alert.where(F.col("category").isin("error", "purchase")).select("alert_id", "category")
 
 
 @query("f05_in_key_set", "F05 J11", "SELECT issuer_id, legal_name FROM issuer WHERE issuer_id IN (SELECT issuer_id FROM membership WHERE collection_id = 3 AND verification = 'verified')")

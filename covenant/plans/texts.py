@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from covenant.bindings import Roles
 from covenant.functions.html_text import html_text
 from covenant.functions.text import trigram_similarity
-from covenant.operators.chunking import chunked
+from covenant.operators.chunking import chunked, of_pages
 from covenant.operators.rules import RULES, Rule, item_hits, phrase_hits
 from covenant.operators.search import cover_density, lexemes, matches
 from covenant.plans.combining import _TRIGRAMS
@@ -18,7 +18,7 @@ _STOP = "'a','an','and','are','as','at','be','but','by','for','if','in','into','
 _LEX = f"list_filter(string_split_regex(lower({{x}}), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([{_STOP}], w))"
 
 
-@query("t02_lexemes", "T01 T02", f"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words FROM (SELECT doc_id, {_LEX.format(x='text')} AS w FROM document)")
+@query("t02_lexemes", "T02", f"SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words FROM (SELECT doc_id, {_LEX.format(x='text')} AS w FROM document)")
 def lexeme_counts(r: Roles) -> DataFrame:
     w = r.document.select("doc_id", lexemes(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").cast("long").alias("words"), F.size(F.array_distinct("w")).cast("long").alias("distinct_words"))
@@ -26,7 +26,7 @@ def lexeme_counts(r: Roles) -> DataFrame:
 
 @query(
     "t03_websearch",
-    "T03 Q18 Q19 Q20 Q21",
+    "T03",
     f"""WITH w AS (SELECT doc_id, {_LEX.format(x='text')} AS w FROM document)
     SELECT doc_id FROM w WHERE (list_contains(w, 'license') AND NOT list_contains(w, 'mit')) OR contains(' ' || array_to_string(w, ' ') || ' ', ' rights reserved ')""",
 )
@@ -36,13 +36,13 @@ def websearch(r: Roles) -> DataFrame:
     return w.where(matches(F.col("w"), 'license -mit or "rights reserved"')).select("doc_id")
 
 
-@query("t04_plain_words", "T04 Q15", f"SELECT doc_id FROM (SELECT doc_id, {_LEX.format(x='text')} AS w FROM document) WHERE list_contains(w, 'license') AND list_contains(w, 'version')")
+@query("t04_plain_words", "T04", f"SELECT doc_id FROM (SELECT doc_id, {_LEX.format(x='text')} AS w FROM document) WHERE list_contains(w, 'license') AND list_contains(w, 'version')")
 def plain_words(r: Roles) -> DataFrame:
     w = r.document.select("doc_id", lexemes(F.col("text")).alias("w"))
     return w.where(matches(F.col("w"), "license version")).select("doc_id")
 
 
-@query("t05_ranked_search", "T05 T01 Q14")
+@query("t05_ranked_search", "T05")
 def ranked_search(r: Roles) -> DataFrame:
     """Stemmed search ranked by how closely its words stand; SQL has no stemmer to compare with."""
     w = r.document.select("doc_id", lexemes(F.col("text"), stemmed=True).alias("w"))
@@ -83,7 +83,7 @@ SUBSTITUTES = (
 
 @query(
     "t08_phrase_rules",
-    "T08 T09 X16 X20",
+    "T08 T09",
     """WITH p(rule, pattern) AS (VALUES ('license', 'licensed under the .{0,20} license'), ('rights', '(all )?rights reserved'), ('key', '(token|api_key|secret)')),
     h AS (SELECT doc_id, rule, text, regexp_extract(text, '(?i)' || pattern) AS found FROM document, p WHERE regexp_matches(text, '(?i)' || pattern)),
     s AS (SELECT *, strpos(text, found) - 1 AS start FROM h)
@@ -95,10 +95,27 @@ def phrase_rules(r: Roles) -> DataFrame:
     return hits.select("doc_id", "rule", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "excerpt")
 
 
-@query("t08_reference_rules", "T08 X19")
+#: A text for each phrase rule, and one that it isn't to hit; each document has one of them put in front.
+PHRASES = (
+    "filed a voluntary petition", "see Chapter 11 of it", "chapter 11 of the Internal Revenue Code", "a chapter 7 liquidation", "missed an interest payment", "an Event of Default", "acceleration of the indebtedness", "substantial doubt about its ability to continue as a going concern",
+    "a going concern", "insufficient liquidity", "retained a restructuring advisor", "restructuring support agreement", "an exchange offer", "liability management exercise", "amend and extend", "extended the maturity", "refinanced its debt", "debtor-in-possession financing", "emergency funding",
+    "sale of substantially all of its assets", "a delisting", "reduction in force", "closed the plant", "an impairment charge", "the auditor will resign", "an adverse opinion", "review of strategic alternatives", "amended the credit agreement", "order confirming the plan", "order dismissing it",
+    "converted to chapter 7", "appointment of a trustee", "the bar date", "relief from the automatic stay", "nothing of note",
+)
+_PHRASE_RULES = ", ".join("('{}', '{}')".format(x.name, x.pattern.replace("'", "''")) for x in RULES if x.kind == "phrase")
+
+
+@query(
+    "t08_reference_rules",
+    "T08",
+    f"""WITH p(rule, pattern) AS (VALUES {_PHRASE_RULES}), t AS (SELECT doc_id, list_extract({list(PHRASES)}, CAST(doc_id % {len(PHRASES)} + 1 AS INTEGER)) || '. ' || text AS text FROM document)
+    SELECT doc_id, rule FROM t JOIN p ON regexp_matches(text, '(?i)' || pattern) WHERE rule <> 'phrase_chapter_11_bare_mention' OR NOT regexp_matches(substr(text, 1, 200), '(?i)(internal revenue code|title 11.{{0,20}}code|chapter 11 of the)')""",
+)
 def reference_rules(r: Roles) -> DataFrame:
-    """All phrase rules over all texts, which hold none of their phrases; tests use texts that do."""
-    return phrase_hits(r.document.select("doc_id", "text"), "text", RULES)
+    """All phrase rules over all texts, each with a phrase in front."""
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("doc_id") % len(PHRASES) + 1).cast("int"))
+    texts = r.document.select("doc_id", F.concat(phrase, F.lit(". "), "text").alias("text"))
+    return phrase_hits(texts, "text", RULES).select("doc_id", "rule")
 
 
 @query("t18_html_text", "T18")
@@ -107,8 +124,9 @@ def html_texts(r: Roles) -> DataFrame:
     return r.filing.select("filing_id", html_text("html").alias("text"))
 
 
-@query("w15_chunks", "W15 T26 S21 S25 P04")
+@query("w15_chunks", "W15")
 def document_chunks(r: Roles) -> DataFrame:
     """Chunks of every document, its lines taken as blocks; a scan with state, which SQL can't express."""
-    c = chunked(r.document, "doc_id", "text", separator=r"\n")
-    return c.select("doc_id", "chunk_index", "kind", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("checksum"))
+    pages = r.document.select("doc_id", of_pages("text").alias("pages"))
+    c = chunked(pages, "doc_id", "pages", separator=r"\n")
+    return c.select("doc_id", "chunk_index", "kind", "path", "page_start", "page_end", F.length("content").alias("n_chars"), F.sha2("content", 256).alias("checksum"))

@@ -34,13 +34,13 @@ def latest_per_key(r: Roles) -> DataFrame:
 
 @query(
     "w04_latest_run",
-    "W04 W05 W06 S47",
+    "W04",
     """WITH runs AS (SELECT as_of_date AS day, provider AS mode, CASE WHEN count(*) % 3 = 0 THEN 'failed' ELSE 'completed' END AS status, max(triggered_at) AS completed_at FROM alert GROUP BY as_of_date, provider)
-    SELECT mode, day, completed_at FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY completed_at DESC) AS n FROM runs WHERE status = 'completed') WHERE n = 1""",
+    SELECT mode, day, completed_at FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY completed_at DESC, day DESC) AS n FROM runs WHERE status = 'completed') WHERE n = 1""",
 )
 def latest_run(r: Roles) -> DataFrame:
     runs = r.alert.groupBy(F.col("as_of_date").alias("day"), F.col("provider").alias("mode")).agg(F.count("*").alias("n"), F.max("triggered_at").alias("completed_at"))
-    return first_by(runs.where("n % 3 <> 0"), ["mode"], F.desc("completed_at")).select("mode", "day", "completed_at")
+    return first_by(runs.where("n % 3 <> 0"), ["mode"], F.desc("completed_at"), F.desc("day")).select("mode", "day", "completed_at")
 
 
 @query(
@@ -55,7 +55,7 @@ def capital_waterfall(r: Roles) -> DataFrame:
     return waterfall(r.layer, F.lit(150000).cast("decimal(20,4)")).select("issuer_id", "rank_order", "amount", "cumulative", "coverage", "recovery")
 
 
-@query("w09_ordinals", "W09 W11", "SELECT docket_id, entry_no, row_number() OVER (PARTITION BY docket_id, role ORDER BY entry_no) - 1 AS ordinal, lag(role) OVER (PARTITION BY docket_id ORDER BY entry_no) AS previous_role FROM docket_entry")
+@query("w09_ordinals", "W09", "SELECT docket_id, entry_no, row_number() OVER (PARTITION BY docket_id, role ORDER BY entry_no) - 1 AS ordinal, lag(role) OVER (PARTITION BY docket_id ORDER BY entry_no) AS previous_role FROM docket_entry")
 def ordinals(r: Roles) -> DataFrame:
     by_role = Window.partitionBy("docket_id", "role").orderBy("entry_no")
     w = Window.partitionBy("docket_id").orderBy("entry_no")
@@ -64,7 +64,7 @@ def ordinals(r: Roles) -> DataFrame:
 
 @query(
     "w10_next_version",
-    "W10 W18 S35 N05",
+    "W10",
     """WITH v AS (SELECT issuer_id, count(*) AS version, max(security_id) AS last_id FROM security GROUP BY issuer_id),
     cur AS (SELECT v.*, s.instrument_type, s.priority FROM v JOIN security s ON s.security_id = v.last_id), e AS (SELECT issuer_id, max(priority) AS priority FROM security WHERE instrument_type = 'bond' GROUP BY issuer_id)
     SELECT issuer_id, version + CASE WHEN coalesce(e.priority, cur.priority) IS DISTINCT FROM cur.priority THEN 1 ELSE 0 END AS version, coalesce(e.priority, cur.priority) AS priority FROM cur LEFT JOIN e USING (issuer_id)""",
