@@ -101,6 +101,27 @@ def matches(words: Column, q: str, stemmed: bool = False) -> Column:
     return reduce(lambda a, b: a | b, alternatives) if alternatives else F.lit(False)
 
 
+def weighted_vector(parts: dict[str, Column]) -> Column:
+    """Lexemes by weight as an array of (lexeme, weight), each with its best weight, in order."""
+
+    def tagged(words: Column, weight: str) -> Column:
+        return F.transform(words, lambda w: F.struct(w.alias("lexeme"), F.lit(weight).alias("weight")))
+
+    every = F.array_sort(F.array_distinct(F.flatten(F.array(*(tagged(words, weight) for weight, words in parts.items())))))
+    return F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["lexeme"] != x["lexeme"]))
+
+
+def found_in(sources: dict[str, DataFrame], q: str, limit: int) -> DataFrame:
+    """(kind, id, part, hits) of each source (id, part, text): the rows with most words of a search, ``limit`` of each."""
+    wanted = sorted({w for a in parsed(q) for ok, p in a if ok for w in p})
+
+    def top(kind: str, df: DataFrame) -> DataFrame:
+        words = df.select("id", "part", lexemes(F.col("text")).alias("w")).where(matches(F.col("w"), q))
+        return words.select(F.lit(kind).alias("kind"), "id", "part", F.size(F.filter("w", lambda x: x.isin(*wanted))).alias("hits")).orderBy(F.desc("hits"), "id", "part").limit(limit)
+
+    return reduce(DataFrame.unionByName, (top(kind, df) for kind, df in sources.items()))
+
+
 @F.pandas_udf(T.DoubleType())
 def _covers(words: pd.Series, query: pd.Series) -> pd.Series:
     return pd.Series([_cover_density(w, set(q.split())) for w, q in zip(words, query, strict=True)])
