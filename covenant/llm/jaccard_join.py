@@ -55,6 +55,8 @@ WORDS = 5
 #: Links are where PARTS * shared >= NEED * all.
 NEED, PARTS = 75, 100
 SKETCH = 256
+#: Sketches of so many documents at most, about 30 MB, are sent to the pairs; more are met by a shuffle.
+SENT = 100_000
 
 
 def shingle_sets(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -382,26 +384,34 @@ def _ends(pairs: DataFrame) -> DataFrame:
 def possible(pairs: DataFrame, prints: DataFrame, need: int, parts: int, name: str) -> DataFrame:
     """The distinct pairs (a, b) whose sketches don't rule out that similarity."""
     pairs = materialized(pairs.select("a", "b").distinct(), f"{name}-candidates")
+    n = pairs.count()
+    if not n:
+        return pairs
     prints = rows_of(prints, _ends(pairs), "node").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    if 2 * n <= SENT:
+        prints = F.broadcast(prints)
     of = lambda side, x: prints.select(F.col("node").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
     near = pairs.join(of("b", "two"), "b").join(of("a", "one"), "a")
-    return materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible(need, parts), "a long, b long"), f"{name}-possible")
+    return materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible(need, parts), "a long, b long"), f"{name}-possible", n)
 
 
 def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str, need: int = NEED, parts: int = PARTS) -> DataFrame:
     """The candidate pairs (a, b) that share need / parts: by sketches first, then by the whole sets of both."""
     pairs = possible(pairs, prints, need, parts, name)
+    n = pairs.count()
+    if not n:
+        return pairs
     sets = rows_of(docs, _ends(pairs), "node").select("node", "text").mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a"
     )
-    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified(need, parts), "a long, b long"), f"{name}-links")
+    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified(need, parts), "a long, b long"), f"{name}-links", n)
 
 
-def _pivots(balls: DataFrame, most: int) -> DataFrame:
+def _pivots(balls: DataFrame, most: int, rows: int) -> DataFrame:
     """Of each unsettled region, up to ``most`` balls outside its largest component, as columns p, p_size and so on."""
     of_label = balls.groupBy("h", "label").agg(F.sum("n").alias("docs"))
-    largest = materialized(of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("docs", "label"))["label"].alias("largest")).where("labels > 1"), "open-regions")
+    largest = materialized(of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("docs", "label"))["label"].alias("largest")).where("labels > 1"), "open-regions", rows)
     others = balls.join(few(largest), "h").where("label <> largest")
     first = F.row_number().over(Window.partitionBy("h").orderBy("c")) <= most
     return others.select("h", "c", "size", "place", "n", "label", first.alias("first")).where("first").drop("first").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
@@ -413,12 +423,13 @@ def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, doc
     near_lead = edges.select(F.col("a").alias("lead"), F.col("b").alias("a"), F.lit(True).alias("linked"))
     members = members.join(near_lead, ["lead", "a"], "left").select("h", "a", "size", "place", F.when(F.col("linked") | (F.col("a") == F.col("lead")), F.col("lead")).otherwise(F.col("a")).alias("c"))
     members = materialized(members, "members")
+    rows = members.count()
     balls = members.groupBy("h", "c").agg(F.count("*").alias("n"), F.max(F.when(F.col("a") == F.col("c"), F.struct("size", "place"))).alias("x")).select("h", "c", "x.size", "x.place", "n")
     turn, most = 1, first_pivots
     while True:
         labelled = _labelled(balls, labels, "c", "label").select("h", "c", "size", "place", "n", "label")
-        labelled = materialized(labelled, "balls")
-        pivots = materialized(_pivots(labelled, most), "pivots")
+        labelled = materialized(labelled, "balls", rows)
+        pivots = materialized(_pivots(labelled, most, rows), "pivots", rows)
         if pivots.isEmpty():
             return labels
         open_ = labelled.join(few(pivots.select("h").distinct()), "h", "left_semi")

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text hashed at once; bounds the size of the numpy temporaries.
 PIECE_BYTES = 1 << 20
+#: Rows of a few numbers each that one task writes.
+ROWS_OF_A_TASK = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialized(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files any executor can read."""
+def materialized(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends at files any executor can read.
+
+    With ``rows``, a counted bound on its rows, as many tasks write it as there are ROWS_OF_A_TASK in them,
+    two for each core at least; the shuffle before may have more partitions, and then a task reads several.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // ROWS_OF_A_TASK)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -112,11 +120,13 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     are then replaced by their own labels (pointer jumping), so rounds grow with the logarithm of a
     component's diameter. Up to a million labels are sent to the edges; beyond that both are shuffled.
     """
+    rows = 2 * edges.count()
     both = materialized(
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         f"{name}-edges",
+        rows,
     )
-    labels = materialized(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{name}-labels")
+    labels = materialized(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{name}-labels", rows)
     while True:
         near = (
             both.join(few(labels.select(F.col("a").alias("b"), "label")), "b")
@@ -130,6 +140,7 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         new = materialized(
             stepped.join(jumped, "label", "left").select("a", "old", F.least("label", "further").alias("label")),
             f"{name}-labels",
+            rows,
         )
         labels = new.select("a", "label")
         if new.where("old <> label").isEmpty():
