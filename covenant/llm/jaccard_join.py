@@ -344,67 +344,69 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(blobs, pa.binary())], ["node", "shingles"])
 
 
-def _verified(need: int, parts: int):
-    """Pairs of which the sets share need / parts of all their shingles at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(parts * shared >= need * (len(x) + len(y) - shared))
-            at = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
-
-    return run
-
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of which the sets share need / PARTS of all their shingles at least, with both numbers."""
+    for batch in batches:
+        shared, total = [], []
+        for one, two in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True):
+            x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            shared.append(int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()))
+            total.append(len(x) + len(y) - shared[-1])
+        shared, total = np.array(shared, np.int64), np.array(total, np.int64)
+        at = pa.array(np.flatnonzero(PARTS * shared >= batch.column("need").to_numpy() * total))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a").take(at), batch.column("b").take(at), pa.array(shared).take(at), pa.array(total).take(at)], ["a", "b", "shared", "total"]
+        )
 
-def _possible(need: int, parts: int):
-    """Pairs whose sketches don't rule out that they share need / parts of all their shingles."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("one", "two"))
-            differ = np.abs(one - two).sum(1)
-            both = batch.column("n_one").to_numpy() + batch.column("n_two").to_numpy()
-            # sets that differ in so many share (both - differ) / 2 at most, of (both + differ) / 2 at least
-            at = pa.array(np.flatnonzero(parts * (both - differ) >= need * (both + differ)))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
-
-    return run
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches don't rule out that they share need / PARTS of all their shingles."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH).astype(np.int16) for c in ("one", "two"))
+        differ = np.abs(one - two).sum(1)
+        both = batch.column("n_one").to_numpy() + batch.column("n_two").to_numpy()
+        # sets that differ in so many share (both - differ) / 2 at most, of (both + differ) / 2 at least
+        at = pa.array(np.flatnonzero(PARTS * (both - differ) >= batch.column("need").to_numpy() * (both + differ)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b", "need")], ["a", "b", "need"])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def possible(pairs: DataFrame, prints: DataFrame, need: int, parts: int, name: str) -> DataFrame:
-    """The distinct pairs (a, b) whose sketches don't rule out that similarity."""
-    pairs = materialized(pairs.select("a", "b").distinct(), f"{name}-candidates")
+def possible(pairs: DataFrame, prints: DataFrame, name: str) -> DataFrame:
+    """The distinct pairs (a, b), with the least need of each, whose sketches don't rule out that similarity."""
+    pairs = materialized(pairs.groupBy("a", "b").agg(F.min("need").alias("need")), f"{name}-candidates")
     n = pairs.count()
     if not n:
         return pairs
-    prints = rows_of(prints, _ends(pairs), "node").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles"))
+    prints = rows_of(prints, _ends(pairs), "node", bound=2 * n)
     if 2 * n <= SENT:
         prints = F.broadcast(prints)
     of = lambda side, x: prints.select(F.col("node").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
     near = pairs.join(of("b", "two"), "b").join(of("a", "one"), "a")
-    return materialized(near.select("a", "b", "one", "two", "n_one", "n_two").mapInArrow(_possible(need, parts), "a long, b long"), f"{name}-possible")
+    return materialized(near.select("a", "b", "need", "one", "two", "n_one", "n_two").mapInArrow(_possible, "a long, b long, need int"), f"{name}-possible")
 
 
-def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str, need: int = NEED, parts: int = PARTS) -> DataFrame:
-    """The candidate pairs (a, b) that share need / parts: by sketches first, then by the whole sets of both."""
-    pairs = possible(pairs, prints, need, parts, name)
-    if pairs.isEmpty():
-        return pairs
-    sets = rows_of(docs, _ends(pairs), "node").select("node", "text").mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+def compared(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The candidate pairs (a, b) that share need / PARTS, with how many shingles they share and have: by
+    sketches first, then by the whole sets of both."""
+    pairs = possible(pairs, prints, name)
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("total"))
+    sets = rows_of(docs, _ends(pairs), "node", bound=2 * n).select("node", "text").mapInArrow(_sets, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b").join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a"
     )
-    return materialized(both.select("a", "b", "one", "two").mapInArrow(_verified(need, parts), "a long, b long"), f"{name}-links")
+    return materialized(both.select("a", "b", "need", "one", "two").mapInArrow(_verified, "a long, b long, shared long, total long"), f"{name}-compared")
+
+
+def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str, need: int = NEED) -> DataFrame:
+    """The candidate pairs (a, b) that share need / PARTS."""
+    return compared(pairs.select("a", "b", F.lit(need).alias("need")), prints, docs, name).select("a", "b")
 
 
 def _pivots(balls: DataFrame, most: int) -> DataFrame:
@@ -412,8 +414,8 @@ def _pivots(balls: DataFrame, most: int) -> DataFrame:
     of_label = balls.groupBy("h", "label").agg(F.sum("n").alias("docs"))
     largest = materialized(of_label.groupBy("h").agg(F.count("*").alias("labels"), F.max(F.struct("docs", "label"))["label"].alias("largest")).where("labels > 1"), "open-regions")
     others = balls.join(few(largest), "h").where("label <> largest")
-    first = F.row_number().over(Window.partitionBy("h").orderBy("c")) <= most
-    return others.select("h", "c", "size", "place", "n", "label", first.alias("first")).where("first").drop("first").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
+    place = F.row_number().over(Window.partitionBy("h").orderBy("c"))
+    return others.select("h", "c", "size", "place", "n", "label", place.alias("_place")).where(F.col("_place") <= most).drop("_place").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
 
 
 def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, docs: DataFrame, first_pivots: int = 64) -> DataFrame:
@@ -433,12 +435,16 @@ def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, doc
         open_ = labelled.join(few(pivots.select("h").distinct()), "h", "left_semi")
         met = open_.join(few(pivots), "h").where("label <> p_label")
         fit = _can_link(F.col("size"), F.col("p_size"), F.col("place"), F.col("p_place"))
-        pair = (F.col("p").alias("a"), F.col("c").alias("b"))
-        new = links(met.where(fit).select(*pair), prints, docs, f"turn-{turn}")
+        # links of balls need centres within 1/4 and both radii: they share 1/2 with one ball of several, 1/4 with two
+        alone = (F.col("n") == 1).cast("int") + (F.col("p_n") == 1).cast("int")
+        met = met.withColumn("balls", (alone < 2) & (F.least("size", "p_size") * 4 >= F.greatest("size", "p_size") * (1 + alone)))
+        need = F.when(F.col("balls"), (1 + alone) * (PARTS // 4)).otherwise(NEED)
+        centres = compared(met.where(fit | F.col("balls")).select(F.col("p").alias("a"), F.col("c").alias("b"), need.alias("need")), prints, docs, f"turn-{turn}")
+        new = centres.where(PARTS * F.col("shared") >= NEED * F.col("total")).select("a", "b")
         if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = connected_components(edges, f"turn-{turn}")
-        crossing = _crossing(met.where("n > 1 or p_n > 1"), members, labels, prints, docs, f"balls-{turn}")
+        crossing = _crossing(met.where("balls"), centres, members, labels, prints, docs, f"balls-{turn}")
         if crossing is not None and not crossing.isEmpty():
             edges = edges.unionByName(crossing)
             labels = connected_components(edges, f"crossing-{turn}")
@@ -451,25 +457,20 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(few(labels.select(F.col("id").alias(column), "component")), column, "left").withColumn(name, F.coalesce("component", column)).drop("component")
 
 
-def _crossing(met: DataFrame, members: DataFrame, labels: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame | None:
-    """Links between balls that met and whose centres aren't linked, if any centres are near enough for one.
-
-    Centres have to be within 1/4 and both radii: they share 1/2 with one ball of several documents, 1/4 with two.
-    """
+def _crossing(met: DataFrame, centres: DataFrame, members: DataFrame, labels: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame | None:
+    """Links between balls that met and whose components differ, if any centres are near enough for one; ``centres``
+    holds the pairs of those that are."""
+    if centres.isEmpty():
+        return None
     columns = ["h", "p", "p_size", "p_place", "p_n", "c", "size", "place", "n"]
-    alone = (F.col("n") == 1).cast("int") + (F.col("p_n") == 1).cast("int")
-    wide = met.where(F.least("size", "p_size") * 4 >= F.greatest("size", "p_size") * (1 + alone)).select(*columns)
-    wide = _labelled(_labelled(wide, labels, "c", "label"), labels, "p", "p_label").where("label <> p_label")
+    wide = met.join(few(centres.select(F.col("a").alias("p"), F.col("b").alias("c"))), ["p", "c"])
+    wide = _labelled(_labelled(wide.select(*columns), labels, "c", "label"), labels, "p", "p_label").where("label <> p_label")
     wide = materialized(wide.select(*columns), f"{name}-met")
     if wide.isEmpty():
         return None
 
-    def near(of: DataFrame, need: int, name: str) -> DataFrame:
-        found = links(of.select(F.col("p").alias("a"), F.col("c").alias("b")), prints, docs, name, need, 4)
-        return of.join(few(found.select(F.col("a").alias("p"), F.col("b").alias("c"))), ["p", "c"])
-
     # one document alone, and the centre of the others
-    single = near(wide.where("n = 1 or p_n = 1"), 2, f"{name}-single")
+    single = wide.where("n = 1 or p_n = 1")
     one = F.when(F.col("p_n") == 1, F.struct(F.col("p").alias("s"), F.col("p_size").alias("s_size"), F.col("p_place").alias("s_place"), F.col("c").alias("c"))).otherwise(
         F.struct(F.col("c").alias("s"), F.col("size").alias("s_size"), F.col("place").alias("s_place"), F.col("p").alias("c"))
     )
@@ -477,8 +478,9 @@ def _crossing(met: DataFrame, members: DataFrame, labels: DataFrame, prints: Dat
     # two crowds: the members of the second that are within 1/2 of the first's centre
     crowds = wide.where("n > 1 and p_n > 1")
     if not crowds.isEmpty():
-        between = near(crowds, 1, f"{name}-crowds").select("h", "p", "c").join(members, ["h", "c"]).select("h", "p", F.col("a").alias("c"), F.col("size").alias("s_size"), F.col("place").alias("s_place"))
-        some = near(between, 2, f"{name}-between").select("h", F.col("c").alias("s"), "s_size", "s_place", F.col("p").alias("c"))
+        between = crowds.select("h", "p", "c").join(members, ["h", "c"]).select("h", "p", F.col("a").alias("c"), F.col("size").alias("s_size"), F.col("place").alias("s_place"))
+        close = links(between.select(F.col("p").alias("a"), F.col("c").alias("b")), prints, docs, f"{name}-between", PARTS // 2)
+        some = between.join(few(close.select(F.col("a").alias("p"), F.col("b").alias("c"))), ["p", "c"]).select("h", F.col("c").alias("s"), "s_size", "s_place", F.col("p").alias("c"))
         pairs.append((some, members))
     fit = _can_link(F.col("size"), F.col("s_size"), F.col("place"), F.col("s_place"))
     out = [few(of).join(inside, ["h", "c"]).where(fit & (F.col("s") != F.col("a"))).select(F.col("s").alias("a"), F.col("a").alias("b")) for of, inside in pairs]
@@ -499,8 +501,12 @@ def jaccard_components(docs: DataFrame, slice_rows: int = 1_000_000, wide: int =
     packed = reps.select("node", "text").mapInArrow(_windows(order, slices, wide), "slice int, h binary, doc binary, size binary, place binary")
     found = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_regions(slices), "h long, a long, b long, size long, place long, lead long")
     found = materialized(found, "regions")
-    edges = links(found.where("h is null"), prints, docs, "turn-0")
-    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place", "lead"), edges, prints, docs)
+    if renamed:  # nodes of rows repeated
+        prints_of_nodes = materialized(prints.select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "shingle-sketches")
+    else:
+        prints_of_nodes = prints.select("node", "n_shingles", "sketch")
+    edges = links(found.where("h is null"), prints_of_nodes, docs, "turn-0")
+    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place", "lead"), edges, prints_of_nodes, docs)
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "n", F.coalesce("component", "rep").alias("component"))
     of_class = materialized(of_class, "class-components")
     out = joined_by_group(prints.where("n_shingles > 0").select("doc_id", "node", *key), of_class, key, "n").select("doc_id", "node", "n_shingles", "component")

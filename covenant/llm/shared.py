@@ -39,9 +39,11 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(df: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_000_000) -> DataFrame:
-    """The rows of df whose key is in ids. Up to ``most`` ids, which are counted first, are sent to
-    the rows; beyond that both sides are shuffled."""
+def rows_of(df: DataFrame, ids: DataFrame, key: str = "doc_id", most: int = 1_000_000, bound: int | None = None) -> DataFrame:
+    """The rows of df whose key is in ids. Up to ``most`` ids are sent to the rows; beyond that both sides are
+    shuffled. Ids are counted first, unless ``bound``, a counted number that they don't exceed, is low enough."""
+    if bound is not None and bound <= most:
+        return df.join(F.broadcast(ids.select(key)), key, "left_semi")
     return df.join(_counted(ids, key, most), key, "left_semi")
 
 
@@ -108,33 +110,23 @@ def n_slices(spark: SparkSession, least: int = 32) -> int:
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """Edges (a, b) to (id, component): the smallest id that each id of an edge reaches.
 
-    Labels of neighbours meet in a grouped min, which Spark combines before the shuffle, and labels
-    are then replaced by their own labels (pointer jumping), so rounds grow with the logarithm of a
-    component's diameter. Up to a million labels are sent to the edges; beyond that both are shuffled.
+    An id's label meets those of its neighbours in one grouped min, which Spark combines before the
+    shuffle, and labels are then twice replaced by their own labels (pointer jumping), so rounds grow with
+    the logarithm of a component's diameter. Up to a million labels are sent to the edges; beyond that both are
+    shuffled. Edges are read again each round, so they should be a written table.
     """
-    both = materialized(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        f"{name}-edges",
-    )
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = materialized(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{name}-labels")
     while True:
-        near = (
-            both.join(few(labels.select(F.col("a").alias("b"), "label")), "b")
-            .groupBy("a")
-            .agg(F.min("label").alias("near"))
-        )
-        stepped = labels.join(near, "a", "left").select(
-            "a", F.col("label").alias("old"), F.least("label", "near").alias("label")
-        )
-        jumped = few(labels.select(F.col("a").alias("label"), F.col("label").alias("further")))
-        new = materialized(
-            stepped.join(jumped, "label", "left").select("a", "old", F.least("label", "further").alias("label")),
-            f"{name}-labels",
-        )
+        known = few(labels)
+        near = both.join(known.select(F.col("a").alias("b"), "label"), "b").select("a", "label", F.lit(None).cast("long").alias("old"))
+        own = labels.select("a", "label", F.col("label").alias("old"))
+        stepped = near.unionByName(own).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old"))
+        jump = lambda rows: rows.join(known.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left").select("a", "old", F.least("label", "further").alias("label"))
+        new = materialized(jump(jump(stepped)), f"{name}-labels")
         labels = new.select("a", "label")
         if new.where("old <> label").isEmpty():
-            break
-    return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
+            return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
