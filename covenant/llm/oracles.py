@@ -94,4 +94,38 @@ FROM documents
 WINDOW t AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op5_line_dedup": OP5, "op9_exact_dedup": OP9}
+#: Every order of the filters is applied to every document, one filter after the other.
+OP11 = rf"""
+WITH marks AS (
+    SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+    SELECT documents.doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents LEFT JOIN marks ON documents.doc_id = marks.doc_id
+), f AS (
+    SELECT part, good, toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+    FROM d
+), p AS (
+    SELECT fails, part, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY fails, part
+), o AS (
+    SELECT [a.i, b.i, c.i, d.i, e.i] AS o
+    FROM range(1, 6) a(i), range(1, 6) b(i), range(1, 6) c(i), range(1, 6) d(i), range(1, 6) e(i)
+    WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps AS (
+    SELECT o, k, o[k] AS f, list_slice(o, 1, k - 1) AS before FROM o, range(1, 6) s(k)
+), r AS (
+    SELECT *, fails[f] AS now, len(list_filter(before, lambda x: fails[x])) > 0 AS earlier, len(list_filter(fails, lambda x: x)) AS n_failed FROM steps, p
+), s AS (
+    SELECT part, o, k, f,
+        coalesce(sum(n) FILTER (WHERE NOT now AND NOT earlier), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE now AND NOT earlier), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (WHERE now AND earlier), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE now AND n_failed = 1), 0)::BIGINT AS unique_fails,
+        coalesce(sum(good) FILTER (WHERE now AND NOT earlier), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE now AND NOT earlier), 0)::BIGINT AS toxic_lost
+    FROM r GROUP BY part, o, k, f
+)
+SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)), '') AS filter_order, k::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM s
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op5_line_dedup": OP5, "op9_exact_dedup": OP9, "op11_filter_audit": OP11}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from covenant.llm import language_id, language_model, toxicity
 from covenant.llm.decontamination import decontaminate
 from covenant.llm.exact_dedup import exact_dedup
+from covenant.llm.filter_audit import audit
 from covenant.llm.html_extraction import extract
 from covenant.llm.jaccard_join import jaccard_components
 from covenant.llm.line_dedup import line_digests
@@ -95,6 +96,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter interaction audit."""
+    return audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,5 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_lm_scoring,
         op9_exact_dedup,
         op10_language_id,
+        op11_filter_audit,
     )
 }
