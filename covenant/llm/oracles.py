@@ -128,4 +128,41 @@ SELECT part, array_to_string(list_transform(o, lambda x: substr('ABCDE', x, 1)),
 FROM s
 """
 
-ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op5_line_dedup": OP5, "op9_exact_dedup": OP9, "op11_filter_audit": OP11}
+#: The checksum is worked out byte by byte from its table; near words are told by what is left without one letter.
+OP12 = r"""
+WITH RECURSIVE crc AS (
+    SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(3988292384, x // 2) ELSE x // 2 END)) AS step
+), runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), bytes AS (
+    SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs WHERE length(run) >= 6
+), sums AS (
+    SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+        lambda h, b: xor(h // 256, step[(xor(h, b) % 256 + 1)::INT]))) AS h
+    FROM bytes, crc
+), v AS (
+    SELECT word, sum(n)::BIGINT AS n
+    FROM (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM sums)
+    WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), less AS (
+    SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1))::INT AS i FROM v)
+), near AS (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT less.word, less.n, v.word, v.n FROM less JOIN v ON less.rest = v.word
+    UNION SELECT v.word, v.n, less.word, less.n FROM less JOIN v ON less.rest = v.word
+), best AS (
+    SELECT word, n, count(*) AS n_near, max(near_n) AS most, arg_min(near, (-near_n, near)) AS form FROM near GROUP BY word, n
+), f AS (
+    SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN form END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n
+    FROM v LEFT JOIN best ON v.word = best.word
+), chain AS (
+    SELECT word, word AS root FROM f
+    UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON chain.root = f.word WHERE f.form IS NOT NULL
+), ends AS (
+    SELECT chain.word, root FROM chain JOIN f ON chain.root = f.word WHERE f.form IS NULL
+)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN ends ON f.word = ends.word
+"""
+
+ORACLES: dict[str, str] = {"op1_decontamination": OP1, "op3_mixing": OP3, "op5_line_dedup": OP5, "op9_exact_dedup": OP9, "op11_filter_audit": OP11, "op12_spelling_variants": OP12}

@@ -16,6 +16,7 @@ from covenant.llm.jaccard_join import jaccard_components
 from covenant.llm.line_dedup import line_digests
 from covenant.llm.mixing import mix_sources
 from covenant.llm.sharding import shuffle_into_shards
+from covenant.llm.spelling_variants import spelling_variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +102,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), _table(spark, sf_dir, "labels"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variant grouping; a letter is lost in one of 199 pairs of document and word."""
+    return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), slip_every=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -115,5 +121,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_exact_dedup,
         op10_language_id,
         op11_filter_audit,
+        op12_spelling_variants,
     )
 }
