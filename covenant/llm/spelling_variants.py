@@ -5,6 +5,8 @@ is turned into its whole neighbourhood: all distinct deletions, replacements and
 that the vocabulary has. A neighbourhood joins the vocabulary by equality, so what meets is near, and no
 distance is ever computed. A word of L letters over k has at most L + L (k - 1) + (L + 1) k - L candidates,
 whatever the corpus, so no key and no group grows with it: a word can't have more near words than that.
+Candidates are first held against a Bloom filter of the vocabulary, of bounded size, so that few of those that
+aren't words are shuffled; what it lets through wrongly finds no partner in the join.
 
 Words are counted in the tasks that read the texts and added up by word. A vocabulary counted to be small is
 sent to the candidates; a larger one meets them in a shuffle by candidate. A form is at least ``ratio`` times as
@@ -23,13 +25,14 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covenant.llm.shared import by_bytes, few, materialized
+from covenant.llm.shared import by_bytes, few, materialized, mixed
 
 LETTERS = "A-Za-zÀ-ÿ"
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -39,6 +42,12 @@ LONG_TEXT = 1 << 20
 HELD_WORDS = 200_000
 #: A vocabulary of up to so many words is sent to the candidates.
 MOST_SENT = 500_000
+#: Flags of the filter, 32 for each word and no more than these (32 MB).
+MOST_BITS = 1 << 28
+#: Hashes of candidates worked out at once.
+HELD_HASHES = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def _slipped(doc_id: int | None, word: str, every: int) -> str:
@@ -96,24 +105,119 @@ def alphabet(words: DataFrame) -> list[str]:
     return sorted(r.c for r in rows if r.c)
 
 
-def neighbourhood(word: Column, letters: list[str]) -> Column:
-    """All distinct words that one letter less, other or more makes of a word."""
-    n = F.length(word)
-    before = lambda i: F.substring(word, F.lit(1), i - 1)
-    after = lambda i: F.substring(word, i + 1, n)
-    at = lambda i: F.substring(word, i, F.lit(1))
-    every = F.array(*map(F.lit, letters)) if letters else F.array().cast("array<string>")
-    # of a run of one letter, the first to go stands for all; a letter goes in before another one only, and at the end
-    deleted = F.transform(F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (at(i) != at(i - 1))), lambda i: F.concat(before(i), after(i)))
-    others = lambda i: F.filter(every, lambda c: c != at(i))
-    replaced = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(others(i), lambda c: F.concat(before(i), c, after(i)))))
-    inserted = F.flatten(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.transform(others(i), lambda c: F.concat(before(i), c, at(i), after(i)))))
-    return F.when(n > 0, F.concat(deleted, replaced, inserted))
+class Neighbourhood:
+    """All distinct words that one letter less, other or more makes of words, told by 64-bit hashes.
+
+    A word's hash is a polynomial in numbers drawn for its letters, so that of a changed word follows from sums
+    up to the changed place and from there on: numpy works out a whole neighbourhood without making its words.
+    """
+
+    def __init__(self, letters: list[str]) -> None:
+        self.codes = np.frombuffer("".join(letters).encode("latin-1"), np.uint8)
+        self.number = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64)
+        self.power = np.cumprod(np.full(256, _BASE, np.uint64), dtype=np.uint64)
+
+    def _powers(self, n: int) -> np.ndarray:
+        while len(self.power) < n:
+            self.power = np.concatenate([self.power, self.power * self.power[-1]])
+        return self.power[:n]
+
+    def _sums(self, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of letters: sums before each place, and sums from each place on."""
+        each = self.number[letters] * self._powers(letters.shape[1])
+        before = np.zeros((len(letters), letters.shape[1] + 1), np.uint64)
+        np.cumsum(each, axis=1, out=before[:, 1:])
+        return before, before[:, -1:] - before
+
+    def hashes(self, letters: np.ndarray) -> np.ndarray:
+        """Of rows of words of one length."""
+        return mixed(self._sums(letters)[0][:, -1] + np.uint64(letters.shape[1]))
+
+    def of(self, letters: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of rows of words of one length, for each kind of change (letters more): hashes, whether it counts, letters put in.
+
+        Of a run of one letter the first to go stands for all, and a letter goes in only before another one or
+        at the end, so no two changes give one word, and none the word itself.
+        """
+        m, n = letters.shape
+        before, rest = self._sums(letters)
+        here = np.concatenate([letters, np.zeros((m, 1), np.uint8)], axis=1)  # no letter is 0
+        unlike = np.ones((m, n), bool)
+        unlike[:, 1:] = letters[:, 1:] != letters[:, :-1]
+        put = self.number[self.codes][None, None, :] * self._powers(n + 1)[None, :, None]
+        others = here[:, :, None] != self.codes[None, None, :]
+        yield -1, mixed(before[:, :-1] + rest[:, 1:] * np.uint64(_INVERSE) + np.uint64(n - 1))[:, :, None], unlike[:, :, None], np.zeros(1, np.uint8)
+        yield 0, mixed((before[:, :-1] + rest[:, 1:])[:, :, None] + put[:, :-1] + np.uint64(n)), others[:, :-1], self.codes
+        yield 1, mixed((before + rest * np.uint64(_BASE))[:, :, None] + put + np.uint64(n + 1)), others, self.codes
+
+    def words(self, words: list[str], passes: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, str]]:
+        """(place of a word, changed word) of those whose hash passes."""
+        by_length: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(i)
+        for n, places in by_length.items():
+            step = max(1, HELD_HASHES // max(1, (2 * n + 1) * len(self.codes)))
+            for low in range(0, len(places) if n else 0, step):
+                at = places[low : low + step]
+                for more, h, counts, put in self.of(np.frombuffer("".join(words[i] for i in at).encode("latin-1"), np.uint8).reshape(len(at), n)):
+                    for row, i, c in zip(*(x.tolist() for x in np.nonzero(counts & passes(h))), strict=True):
+                        w = words[at[row]]
+                        yield at[row], w[:i] + (chr(put[c]) if more >= 0 else "") + w[i + (more < 1) :]
+
+
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(bits - 1)
+    return (h & mask).astype(np.int64), (h >> np.uint64(32) & mask).astype(np.int64)
+
+
+def vocabulary_bits(words: DataFrame, n: int, letters: list[str]) -> np.ndarray:
+    """A Bloom filter of n words, as flags: at most MOST_BITS of them, whatever the vocabulary."""
+    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (32 * n).bit_length()))
+    chunk = min(bits, 1 << 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, flags = Neighbourhood(letters), np.zeros(bits, bool)
+        for b in batches:
+            by_length: dict[int, list[str]] = {}
+            for w in b.column("word").to_pylist():
+                by_length.setdefault(len(w), []).append(w)
+            for k, ws in by_length.items():
+                h = near.hashes(np.frombuffer("".join(ws).encode("latin-1"), np.uint8).reshape(len(ws), k))
+                for at in _bits(h, bits):
+                    flags[at] = True
+        rows = [(i, np.packbits(flags[i * chunk : (i + 1) * chunk]).tobytes()) for i in range(bits // chunk)]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["chunk", "flags"])
+
+    def joined(batch: pa.Table) -> pa.Table:
+        flags = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in batch["flags"].to_pylist()])
+        return pa.table({"chunk": batch["chunk"][:1], "flags": pa.array([flags.tobytes()], pa.binary())})
+
+    found = words.select("word").mapInArrow(run, "chunk int, flags binary").groupBy("chunk").applyInArrow(joined, "chunk int, flags binary").collect()
+    flags = np.zeros(bits // 8, np.uint8)
+    for r in found:
+        flags[r.chunk * chunk // 8 : (r.chunk + 1) * chunk // 8] = np.frombuffer(r.flags, np.uint8)
+    return flags
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """Of a written vocabulary (word, n): word, n, near, near_n for each two near words, in both orders."""
-    candidates = words.select("word", "n", F.explode(neighbourhood(F.col("word"), alphabet(words))).alias("near"))
+    letters = alphabet(words)
+    flags = words.sparkSession.sparkContext.broadcast(vocabulary_bits(words, words.count(), letters))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around, held = Neighbourhood(letters), flags.value
+        bits = len(held) * 8
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            a, b = _bits(h, bits)
+            return (held[a >> 3] >> (7 - (a & 7)).astype(np.uint8) & held[b >> 3] >> (7 - (b & 7)).astype(np.uint8) & 1).astype(bool)
+
+        for b in batches:
+            found = list(around.words(b.column("word").to_pylist(), passes))
+            rows = b.take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([w for _, w in found], pa.string())], ["word", "n", "near"])
+
+    candidates = words.select("word", "n").mapInArrow(run, "word string, n long, near string")
     return candidates.join(few(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), MOST_SENT), "near").select("word", "n", "near", "near_n")
 
 

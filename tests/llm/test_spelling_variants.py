@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from odd import ROWS, table
 from plain import lower
 
@@ -80,14 +81,32 @@ def test_chains_ties_and_letters(spark, monkeypatch):
     assert as_dict(sv.spelling_variants(docs)) == expected
 
 
-def test_neighbourhoods_are_whole_and_distinct(spark):
+def test_neighbourhoods_are_whole_and_distinct():
     rng = random.Random(3)
     letters = ["a", "b", "é"]
-    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)]
-    rows = spark.createDataFrame([(w,) for w in words], "word string").select("word", sv.neighbourhood(sv.F.col("word"), letters).alias("x")).collect()
-    for w, x in rows:
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 5))) for _ in range(60)] + ["ab" * 200]
+    around = sv.Neighbourhood(letters)
+    found: dict[int, list[str]] = {}
+    for i, w in around.words(words, lambda h: np.ones(h.shape, bool)):
+        found.setdefault(i, []).append(w)
+    for i, w in enumerate(words):
         expected = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in letters} | {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in letters}
-        assert len(x) == len(set(x)) and set(x) == expected - {w}
+        assert len(found[i]) == len(set(found[i])) and set(found[i]) == expected - {w}
+
+
+def test_hashes_of_changed_words_are_those_of_the_words():
+    around = sv.Neighbourhood(list("abcé"))
+    as_rows = lambda ws: np.frombuffer("".join(ws).encode("latin-1"), np.uint8).reshape(len(ws), -1)
+    for more, h, counts, put in around.of(as_rows(["abbéca"])):
+        for _, i, c in zip(*np.nonzero(counts), strict=True):
+            w = "abbéca"[:i] + (chr(put[c]) if more >= 0 else "") + "abbéca"[i + (more < 1) :]
+            assert around.hashes(as_rows([w]))[0] == h[0, i, c]
+
+
+def test_a_full_filter_drops_nothing(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(sv, "MOST_BITS", 1 << 16)
+    assert as_dict(sv.spelling_variants(docs)) == plain(vocabulary([tuple(r) for r in docs.collect()], every=None))
 
 
 def test_odd_rows(spark):
