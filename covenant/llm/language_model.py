@@ -24,7 +24,7 @@ the base; an array file that is missing is an error; an empty table gives an emp
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -44,7 +44,11 @@ ADDED = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 def tokens(hasher: WordHasher, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of each text, an end after each, and where each text's begin (one more)."""
-    h, at = hasher.batch(texts)
+    return with_ends(*hasher.batch(texts))
+
+
+def with_ends(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of words and where each text's begin, with an end after each text."""
     n = np.diff(at)
     begin = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.full(len(h) + len(n), END, np.uint64)
@@ -120,9 +124,12 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _held(batches: Iterator[pa.RecordBatch], flush_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _lower_cased() -> WordHasher:
+    return WordHasher(SPACES)
+
+
+def _held(batches: Iterator[pa.RecordBatch], flush_bytes: int, hasher: WordHasher) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Tokens and where texts begin, for batches of texts joined up to a size."""
-    hasher = WordHasher(SPACES)
     toks, begins, n = [], [np.zeros(1, np.int64)], 0
     for b in by_bytes(batches):
         t, begin = tokens(hasher, b.column("text"))
@@ -136,9 +143,9 @@ def _held(batches: Iterator[pa.RecordBatch], flush_bytes: int) -> Iterator[tuple
         yield np.concatenate(toks), np.concatenate(begins)
 
 
-def _word_counts(slices: int, flush_bytes: int):
+def _word_counts(slices: int, flush_bytes: int, hasher: Callable[[], WordHasher]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, begin in _held(batches, flush_bytes):
+        for tok, begin in _held(batches, flush_bytes, hasher()):
             words, counts = grouped(tok)
             cuts = np.searchsorted(_slice(words, slices), np.arange(slices + 1))
             rows = [(s, a, z) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
@@ -150,19 +157,20 @@ def _word_counts(slices: int, flush_bytes: int):
     return run
 
 
-def _words_added(folder: str):
+def _words_added(folder: str, least: int):
     def run(batch: pa.Table) -> pa.Table:
         words, counts = grouped(np.frombuffer(b"".join(batch["words"].to_pylist()), np.uint64), of_bytes(batch["counts"].to_pylist()))
-        write_arrays(folder, f"words-{batch['slice'][0].as_py()}", {"hash": words, "count": narrow(counts)})
+        stay = counts >= least
+        write_arrays(folder, f"words-{batch['slice'][0].as_py()}", {"hash": words[stay], "count": narrow(counts[stay])})
         top = np.argsort(-counts, kind="stable")[:64]
         return pa.table({"slice": pa.array([batch["slice"][0].as_py()], pa.int32()), "n": [int(counts.sum())], "v": [len(words)], "texts": [sum(batch["texts"].to_pylist())], "top": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())), "tops": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
 
     return run
 
 
-def _bigram_counts(slices: int, spread: np.ndarray, flush_bytes: int):
+def _bigram_counts(slices: int, spread: np.ndarray, flush_bytes: int, hasher: Callable[[], WordHasher]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tok, begin in _held(batches, flush_bytes):
+        for tok, begin in _held(batches, flush_bytes, hasher()):
             # words by their place among the distinct ones of these texts: a bigram is one number
             words, _ = grouped(np.append(tok, BEGIN))
             place = np.searchsorted(words, tok).astype(np.uint64)
@@ -191,7 +199,7 @@ def _bigram_counts(slices: int, spread: np.ndarray, flush_bytes: int):
 _BIGRAM_FIGURES = "kind int, slice int, words binary, counts binary, figures array<long>"
 
 
-def _bigrams_added(folder: str, slices: int, spread: np.ndarray):
+def _bigrams_added(folder: str, slices: int, spread: np.ndarray, least: int):
     """Writes a slice's bigrams and contexts; gives its counts of counts, and contexts of second words."""
 
     def run(batch: pa.Table) -> pa.Table:
@@ -207,9 +215,12 @@ def _bigrams_added(folder: str, slices: int, spread: np.ndarray):
         new = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
         by = [np.add.reduceat((counts == 1).astype(np.int64), new), np.add.reduceat((counts == 2).astype(np.int64), new), np.add.reduceat((counts > 2).astype(np.int64), new)]
         own = ~np.isin(first[new], spread)
+        by_key = by_key[counts[by_key] >= least]
+        # a context that every bigram left out follows gives all to the lower order, as one that isn't there
+        kept = own & (by[1] + by[2] > 0) if least > 1 else own
         write_arrays(
             folder, f"bigrams-{part}",
-            {"key": keys[by_key], "count": narrow(counts[by_key]), "context": first[new][own], **{f"n{k + 1}": narrow(by[k][own]) for k in range(3)}},
+            {"key": keys[by_key], "count": narrow(counts[by_key]), "context": first[new][kept], **{f"n{k + 1}": narrow(by[k][kept]) for k in range(3)}},
         )
         rows: list[tuple] = [(0, part, None, None, [part, *_of_counts(counts), len(counts)])]
         rows += [(1, part, None, None, [int(h), *(int(x[i]) for x in by)]) for i, h in zip(np.flatnonzero(~own), first[new][~own].view(np.int64), strict=True)]
@@ -222,7 +233,7 @@ def _bigrams_added(folder: str, slices: int, spread: np.ndarray):
     return run
 
 
-def _followers_added(folder: str):
+def _followers_added(folder: str, least: int):
     """Writes, for the words of a slice, how many different words each follows; passes figures on."""
 
     def run(batch: pa.Table) -> pa.Table:
@@ -233,45 +244,58 @@ def _followers_added(folder: str):
             part = batch["slice"][int(pick[0])].as_py()
             rows = batch.take(pa.array(pick))
             short, n = grouped(_long(rows["words"].to_pylist()), of_bytes(rows["counts"].to_pylist()))
-            write_arrays(folder, f"follows-{part}", {"short": short, "n": narrow(n)})
+            stay = n >= least
+            write_arrays(folder, f"follows-{part}", {"short": short[stay], "n": narrow(n[stay])})
             figures.append([2, part, *_of_counts(n), int((n > 2).sum()), int(n.sum())])
         return pa.table({"figures": pa.array(figures, pa.list_(pa.int64()))})
 
     return run
 
 
-def train(texts: DataFrame, folder: str | None = None, slices: int | None = None, flush_bytes: int = 48 << 20, slice_bytes: int = 32 << 20) -> Model:
+def train(
+    texts: DataFrame,
+    folder: str | None = None,
+    slices: int | None = None,
+    flush_bytes: int = 48 << 20,
+    slice_bytes: int = 32 << 20,
+    hasher: Callable[[], WordHasher] = _lower_cased,
+    singles: bool = True,
+) -> Model:
     """Count texts (text) and write the model's arrays to a folder that all workers share.
 
     There are so many slices that each has about ``slice_bytes`` of the texts, and a task for each.
+    Without ``singles``, what is seen once is discounted whole, so it isn't stored; it still counts
+    among the distinct words, contexts and totals.
     """
+    least = 1 if singles else 2
     spark = texts.sparkSession
     folder = folder or f"{shared_dir(spark)}/language-model-{uuid.uuid4().hex}"
     texts = texts.select("text")
     slices = slices or max(n_slices(spark), (texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // slice_bytes)
     model = Model(folder, slices)
-    packed = texts.mapInArrow(_word_counts(slices, flush_bytes), "slice int, words binary, counts binary, texts long")
-    rows = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_words_added(folder), "slice int, n long, v long, texts long, top array<long>, tops array<long>").collect()
+    packed = texts.mapInArrow(_word_counts(slices, flush_bytes, hasher), "slice int, words binary, counts binary, texts long")
+    rows = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_words_added(folder, least), "slice int, n long, v long, texts long, top array<long>, tops array<long>").collect()
     model.parts = [f"words-{r.slice}" for r in rows]
     model.n_tokens, model.n_words, model.n_texts = (sum(r[c] for r in rows) for c in ("n", "v", "texts"))
     often = [w for r in rows for w, n in zip(r.top, r.tops, strict=True) if n * 4 * slices > model.n_tokens]
     spread = np.array(sorted({*(w & 0xFFFFFFFFFFFFFFFF for w in often), int(BEGIN)}), np.uint64)
     model.spread = spread.tolist()
     counted = (
-        texts.mapInArrow(_bigram_counts(slices, spread, flush_bytes), "slice int, first binary, runs binary, second binary, counts binary")
-        .repartition(slices, "slice").groupBy("slice").applyInArrow(_bigrams_added(folder, slices, spread), _BIGRAM_FIGURES)
+        texts.mapInArrow(_bigram_counts(slices, spread, flush_bytes, hasher), "slice int, first binary, runs binary, second binary, counts binary")
+        .repartition(slices, "slice").groupBy("slice").applyInArrow(_bigrams_added(folder, slices, spread, least), _BIGRAM_FIGURES)
     )
-    figures = [r.figures for r in counted.repartition(slices, "slice").groupBy("slice").applyInArrow(_followers_added(folder), "figures array<long>").collect()]
+    figures = [r.figures for r in counted.repartition(slices, "slice").groupBy("slice").applyInArrow(_followers_added(folder, least), "figures array<long>").collect()]
     model.parts += [f"bigrams-{f[1]}" for f in figures if f[0] == 0] + [f"follows-{f[1]}" for f in figures if f[0] == 2]
     seen = np.sum([f[2:] for f in figures if f[0] == 0] or [[0] * 5], axis=0).tolist()
-    model.discounts, model.n_bigrams = _discounts(seen), seen[4]
+    whole = lambda d: d if singles else (1.0, *d[1:])
+    model.discounts, model.n_bigrams = whole(_discounts(seen)), seen[4]
     wide: dict[int, list[int]] = {h: [0, 0, 0] for h in model.spread}
     for f in figures:
         if f[0] == 1:
             wide[f[1] & 0xFFFFFFFFFFFFFFFF] = [x + y for x, y in zip(wide[f[1] & 0xFFFFFFFFFFFFFFFF], f[2:], strict=True)]
     model.spread_counts = [wide[h] for h in model.spread]
     low = np.sum([f[2:] for f in figures if f[0] == 2] or [[0] * 6], axis=0).tolist()
-    model.low_discounts = _discounts(low)
+    model.low_discounts = whole(_discounts(low))
     taken = model.low_discounts[0] * low[0] + model.low_discounts[1] * low[1] + model.low_discounts[2] * low[4]
     model.low_rest = taken / low[5] if low[5] else 1.0
     return model

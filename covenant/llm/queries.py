@@ -15,6 +15,7 @@ from covenant.llm.html_extraction import extract
 from covenant.llm.jaccard_join import jaccard_components
 from covenant.llm.line_dedup import line_digests
 from covenant.llm.mixing import mix_sources
+from covenant.llm.quality_rules import FIGURES, quality_rules
 from covenant.llm.sharding import shuffle_into_shards
 from covenant.llm.spelling_variants import spelling_variants
 
@@ -107,6 +108,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"), slip_every=199)
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules(docs).select("doc_id", *FIGURES, "base_failed", "kept", "log_perplexity", "lower", "upper")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -122,5 +129,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_language_id,
         op11_filter_audit,
         op12_spelling_variants,
+        op13_quality_rules,
     )
 }

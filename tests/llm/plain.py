@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from functools import cached_property
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -99,12 +100,14 @@ def distance(a: str, b: str) -> int:
 class KneserNey:
     """An interpolated modified Kneser-Ney bigram model in dictionaries."""
 
+    split = staticmethod(words)
+
     def __init__(self, texts: list[str | None]) -> None:
         self.words: Counter = Counter()
         self.pairs: Counter = Counter()
         for t in texts:
             before = "<begin>"
-            for w in [*words(t), "<end>"]:
+            for w in [*self.split(t), "<end>"]:
                 self.words[w] += 1
                 self.pairs[before, w] += 1
                 before = w
@@ -123,17 +126,24 @@ class KneserNey:
         y = n[1] / (n[1] + 2 * n[2])
         return [0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k] if n[k] else 0.0, 0.0), float(k)) for k in (1, 2, 3))]
 
+    @cached_property
+    def low_rest(self) -> float:
+        return sum(self.low_d[min(n, 3)] for n in self.follows.values()) / max(1, len(self.pairs)) if self.pairs else 1.0
+
+    @cached_property
+    def contexts(self) -> dict[str, tuple[int, float]]:
+        """Of each word: how often it comes before another, and what it leaves to the lower order."""
+        return {a: (sum(after.values()), sum(self.d[min(k, 3)] for k in after.values()) / sum(after.values())) for a, after in self.after.items()}
+
     def low(self, w: str) -> float:
-        rest = sum(self.low_d[min(n, 3)] for n in self.follows.values()) / max(1, len(self.pairs)) if self.pairs else 1.0
-        n = self.follows[w]
+        rest, n = self.low_rest, self.follows[w]
         return max(n - self.low_d[min(n, 3)], 0) / max(1, len(self.pairs)) + rest / (len(self.words) + 1)
 
     def p(self, before: str, w: str) -> float:
         after = self.after.get(before)
         if not after:
             return self.low(w)
-        n, total = after[w], sum(after.values())
-        rest = sum(self.d[min(k, 3)] for k in after.values()) / total
+        n, (total, rest) = after[w], self.contexts[before]
         return max(n - self.d[min(n, 3)], 0) / total + rest * self.low(w)
 
     def base(self, w: str) -> float:
