@@ -93,6 +93,11 @@ class Roles:
     def filing(self) -> DataFrame:
         return self.table("pages").select(F.col("page_id").alias("filing_id"), "url", "html")
 
+    @cached_property
+    def note(self) -> DataFrame:
+        text = F.col("text")
+        return self.table("benchmark").select(F.col("item_id").alias("note_id"), F.split_part(text, F.lit("."), F.lit(1)).alias("title"), text.alias("base_case"), (F.col("item_id") % 5 == 0).alias("is_archived"))
+
     @cached_property
     def document(self) -> DataFrame:
         return self.table("documents")
@@ -123,5 +128,6 @@ ROLE_SQL: dict[str, str] = {
     "supply": "SELECT DISTINCT l_suppkey AS supplier_id, l_partkey AS part_id FROM lineitem",
     "docket_entry": "SELECT conv_id AS docket_id, turn AS entry_no, role, text FROM conversations",
     "filing": "SELECT page_id AS filing_id, url, html FROM pages",
+    "note": "SELECT item_id AS note_id, split_part(text, '.', 1) AS title, text AS base_case, item_id % 5 = 0 AS is_archived FROM benchmark",
     "document": "SELECT * FROM documents",
 }

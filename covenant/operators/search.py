@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from covenant.functions.text import trigram_similarity
@@ -15,7 +13,12 @@ from covenant.functions.text import trigram_similarity
 #: Ranks by weight of where a word stands. Fixed values.
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 #: English words too frequent to search for. Fixed values.
-STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
+STOP_WORDS = frozenset(
+    """a about above after again against all am an and any are as at be because been before being below between both but by can did do does doing don down during each few for from further
+    had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own
+    s same she should so some such t than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why
+    will with you your yours yourself yourselves""".split()
+)
 
 
 def tiered(sources: dict[str, DataFrame], q: str, limit: int, least: float = 0.3) -> DataFrame:
@@ -28,43 +31,9 @@ def tiered(sources: dict[str, DataFrame], q: str, limit: int, least: float = 0.3
     return found.withColumn("n", n).where(F.col("n") <= limit).drop("n")
 
 
-def stem(word: str) -> str:
-    """A word without its commonest English endings, by the first steps of Porter's published algorithm."""
-    w = word
-    if len(w) < 3:
-        return w
-    for ending, to in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if w.endswith(ending):
-            w = w[: len(w) - len(ending)] + to
-            break
-    has_vowel = lambda x: any(c in "aeiou" or (c == "y" and i) for i, c in enumerate(x))
-    if w.endswith("eed"):
-        if has_vowel(w[:-3]):
-            w = w[:-1]
-    else:
-        for ending in ("ed", "ing"):
-            if w.endswith(ending) and has_vowel(w[: -len(ending)]):
-                w = w[: -len(ending)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "lsz":
-                    w = w[:-1]
-                break
-    if w.endswith("y") and has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    return w
-
-
-def lexemes(text: Column, stemmed: bool = False) -> Column:
+def lexemes(text: Column) -> Column:
     """The words of a text in order, lower-cased and without stop words."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
-    return _stems(words) if stemmed else words
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stems(words: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return words.map(lambda ws: None if ws is None else [known.setdefault(w, stem(w)) for w in ws])
+    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*sorted(STOP_WORDS)))
 
 
 def parsed(q: str) -> list[list[tuple[bool, list[str]]]]:
@@ -87,12 +56,10 @@ def parsed(q: str) -> list[list[tuple[bool, list[str]]]]:
     return [a for a in out if a]
 
 
-def matches(words: Column, q: str, stemmed: bool = False) -> Column:
+def matches(words: Column, q: str) -> Column:
     """Whether lexemes match a search."""
-    form = stem if stemmed else (lambda w: w)
 
-    def has(phrase: list[str]) -> Column:
-        p = [form(w) for w in phrase]
+    def has(p: list[str]) -> Column:
         if len(p) == 1:
             return F.array_contains(words, p[0])
         return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(p)} "))
@@ -120,30 +87,3 @@ def found_in(sources: dict[str, DataFrame], q: str, limit: int) -> DataFrame:
         return words.select(F.lit(kind).alias("kind"), "id", "part", F.size(F.filter("w", lambda x: x.isin(*wanted))).alias("hits")).orderBy(F.desc("hits"), "id", "part").limit(limit)
 
     return reduce(DataFrame.unionByName, (top(kind, df) for kind, df in sources.items()))
-
-
-@F.pandas_udf(T.DoubleType())
-def _covers(words: pd.Series, query: pd.Series) -> pd.Series:
-    return pd.Series([_cover_density(w, set(q.split())) for w, q in zip(words, query, strict=True)])
-
-
-def _cover_density(words: list[str] | None, wanted: set[str]) -> float:
-    """Sum over the shortest stretches with all wanted words of weight over length."""
-    if words is None or not wanted:
-        return 0.0
-    at = [(i, w) for i, w in enumerate(words) if w in wanted]
-    last: dict[str, int] = {}
-    total, begin = 0.0, -1
-    for i, w in at:
-        last[w] = i
-        if len(last) == len(wanted) and (low := min(last.values())) > begin:
-            total += WEIGHTS["D"] * len(wanted) / (i - low + 1)
-            begin = low
-    return total
-
-
-def cover_density(words: Column, q: str, stemmed: bool = False) -> Column:
-    """A rank by how closely the words of a search stand together."""
-    form = stem if stemmed else (lambda w: w)
-    wanted = sorted({form(w) for a in parsed(q) for ok, p in a if ok for w in p})
-    return _covers(words, F.lit(" ".join(wanted)))

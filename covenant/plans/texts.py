@@ -10,11 +10,11 @@ from covenant.functions.html_text import html_text
 from covenant.functions.text import trigram_similarity
 from covenant.operators.chunking import chunked, of_pages
 from covenant.operators.rules import RULES, Rule, item_hits, phrase_hits
-from covenant.operators.search import cover_density, lexemes, matches
+from covenant.operators.search import STOP_WORDS, lexemes, matches
 from covenant.plans.combining import _TRIGRAMS
 from covenant.registry import query
 
-_STOP = "'a','an','and','are','as','at','be','but','by','for','if','in','into','is','it','no','not','of','on','or','such','that','the','their','then','there','these','they','this','to','was','will','with'"
+_STOP = ",".join(f"'{w}'" for w in sorted(STOP_WORDS))
 _LEX = f"list_filter(string_split_regex(lower({{x}}), '[^a-z0-9]+'), lambda w: w <> '' AND NOT list_contains([{_STOP}], w))"
 
 
@@ -42,14 +42,6 @@ def plain_words(r: Roles) -> DataFrame:
     return w.where(matches(F.col("w"), "license version")).select("doc_id")
 
 
-@query("t05_ranked_search", "T05")
-def ranked_search(r: Roles) -> DataFrame:
-    """Stemmed search ranked by how closely its words stand; SQL has no stemmer to compare with."""
-    w = r.document.select("doc_id", lexemes(F.col("text"), stemmed=True).alias("w"))
-    found = w.where(matches(F.col("w"), "licensed versions", stemmed=True))
-    return found.select("doc_id", cover_density(F.col("w"), "licensed versions", stemmed=True).alias("rank")).orderBy(F.desc("rank"), "doc_id").limit(20)
-
-
 @query(
     "t06_trigram_similarity",
     "T06",
