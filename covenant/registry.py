@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from covenant.bindings import ROLE_SQL, Roles
 
 #: Modules that register queries.
-MODULES = ("scans", "predicates", "joining", "aggregating", "windowing", "ordering", "combining", "scalars", "texts", "incremental", "composite", "records", "searching", "runs")
+MODULES = ("scans", "predicates", "joining", "aggregating", "windowing", "ordering", "combining", "scalars", "texts", "incremental", "composite", "records", "searching", "runs", "sequences")
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,8 @@ def with_roles(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
-    return f"WITH {ctes},\n{body[4:]}" if body.upper().startswith("WITH") else f"WITH {ctes}\n{body}"
+    head = next((w for w in ("WITH RECURSIVE", "WITH") if body.upper().startswith(w)), "")
+    return f"{head} {ctes},\n{body[len(head):]}" if head else f"WITH {ctes}\n{body}"
 
 
 def _words(text: str) -> set[str]:
