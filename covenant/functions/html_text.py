@@ -1,13 +1,12 @@
 """The text of HTML without its scripts and styles, over Arrow batches.
 
-Markup is cut out by one regular expression: comments, whole script and style elements, declarations and
-tags. What stands between, with character references decoded and its ends trimmed, is joined by spaces.
+Comments, whole script and style elements, declarations and tags are cut out. What stands between, with character
+references decoded and its ends trimmed, is joined by spaces.
 """
 
 from __future__ import annotations
 
 import html
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,15 +14,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)|<[!?/a-z](?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+>", re.DOTALL | re.IGNORECASE)
+from covenant.functions.markup import markup
+
+RAW = frozenset({"script", "style"})
 
 
 def text_of(page: str | None) -> str | None:
     if page is None:
         return None
-    ends = [(m.start(), m.end()) for m in _MARKUP.finditer(page)]
-    between = zip([0, *(end for _, end in ends)], [*(start for start, _ in ends), len(page)], strict=True)
-    return " ".join(filter(None, (html.unescape(page[low:high]).strip() for low, high in between)))
+    out, at = [], 0
+    for m in markup(page, RAW):
+        out.append(page[at : m.start])
+        at = m.end
+    return " ".join(filter(None, (html.unescape(x).strip() for x in [*out, page[at:]])))
 
 
 @F.arrow_udf(T.StringType())
