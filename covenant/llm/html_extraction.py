@@ -29,13 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from covenant.functions.markup import markup
 from covenant.llm.shared import by_bytes
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>",
-    re.DOTALL | re.IGNORECASE,
-)
+_RAW = frozenset("script style noscript template svg iframe textarea select title object canvas".split())
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -50,6 +47,14 @@ _SAYS_NO = frozenset(
     "ad-banner ad-container ad-slot ad-unit ad-wrapper comment-form comment-list comments-area cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav main-navigation nav-menu page-footer page-header "
     "related-articles related-posts share-bar share-buttons side-bar site-footer site-header site-nav site-navigation social-links social-share sharing-buttons top-nav topnav widget-area".split()
 )
+#: Parts of names that make an element doubtful, and those that may stand beside them in a name.
+_DOUBTFUL = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense banner comment comments cookie cookies disqus footer gdpr modal navbar navigation newsletter popup promo related replies reply respond sidebar sidebars sponsor sponsored subscribe toolbar widget widgets".split()
+)
+_BESIDE = frozenset(
+    "area article bar block body bottom box col column container content custom entry first footer form global group holder home inner item items large last layout left list main menu middle nav outer page panel post posts primary reader readers region right second secondary section sections site slot small "
+    "sticky story stories text third thread top tree unit user view wide wrap wrapper zone".split()
+)
 _ENDS_P = _BLOCKS - {"body", "html", "head"}
 #: Frequent words of English, French, German and Spanish.
 _STOP = frozenset(
@@ -62,9 +67,10 @@ LENGTH_LOW, LENGTH_HIGH, STOP_LOW, STOP_HIGH, LINKS_HIGH = 70, 200, 0.15, 0.28,
 
 
 class Block:
-    __slots__ = ("good", "heading", "linked", "parts", "text", "within")
+    __slots__ = ("doubted", "good", "heading", "linked", "parts", "text", "within")
 
-    def __init__(self, within: int, heading: bool) -> None:
+    def __init__(self, within: int, heading: bool, doubted: bool) -> None:
+        self.doubted = doubted
         self.parts: list[str] = []
         self.linked = 0
         self.within = within
@@ -86,12 +92,26 @@ def _says_no(tag: str, attributes: str, article: bool) -> bool:
     return False
 
 
+def _is_doubtful(tag: str, attributes: str) -> bool:
+    """Whether a class or id is made of parts of which one names what isn't the article and the others places, as in comment-body or post-comments."""
+    if "=" not in attributes or tag in ("html", "body", "main"):
+        return False
+    for name, value in _NAMED.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for given in value.strip("\"'").lower().replace("_", "-").split():
+                parts = [p for p in given.split("-") if p and not p.isdigit()]
+                # content-sidebar and the like name a layout of both
+                if parts and parts[0] not in ("content", "main", "primary") and not _DOUBTFUL.isdisjoint(parts) and all(p in _DOUBTFUL or p in _BESIDE for p in parts):
+                    return True
+    return False
+
+
 def blocks_of(page: str) -> list[Block]:
     """Blocks outside boilerplate; ``within`` is 2 in an article, 1 in a main part, else 0."""
     out: list[Block] = []
-    open_tags: list[tuple[str, int, bool]] = []  # name, within, whether it is boilerplate
+    open_tags: list[tuple[str, int, int, bool]] = []  # name, within and doubts before it, whether it is boilerplate
     n_open: Counter[str] = Counter()
-    within, bad, links, heading = 0, 0, 0, False
+    within, bad, links, heading, doubts = 0, 0, 0, False, 0
     current: Block | None = None
     at = 0
 
@@ -102,17 +122,17 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block(within, heading)
+            current = Block(within, heading, doubts > 0)
             out.append(current)
         text = html.unescape(raw)
         current.parts.append(text)
         if links:
             current.linked += len(text)
 
-    for m in _MARKUP.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[3].lower() if m[3] else None
+    for m in markup(page, _RAW):
+        add(page[at : m.start])
+        at = m.end
+        tag = m.name
         if tag is None:
             continue
         if tag == "br":
@@ -121,30 +141,32 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if tag in _BLOCKS:
             current = None
-            heading = not m[2] and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
+            heading = not m.closing and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         if tag == "a":
-            links = max(0, links + (-1 if m[2] else 1))
+            links = max(0, links + (-1 if m.closing else 1))
         if tag in _VOID:
             continue
-        if m[2]:
+        if m.closing:
             if n_open[tag]:
                 while open_tags:
-                    name, before, was_bad = open_tags.pop()
+                    name, within, doubts, was_bad = open_tags.pop()
                     n_open[name] -= 1
-                    within = before
                     bad -= was_bad
                     if name == tag:
                         break
         elif tag in _BLOCKS or tag in ("span", "section", "button"):
             if tag in ("p", "li") and open_tags and open_tags[-1][0] == tag:
-                name, within, was_bad = open_tags.pop()
+                name, within, doubts, was_bad = open_tags.pop()
                 n_open[name] -= 1
                 bad -= was_bad
-            is_bad = _says_no(tag, m[4] or "", within == 2)
-            open_tags.append((tag, within, is_bad))
+            is_bad = _says_no(tag, m.attributes, within == 2)
+            open_tags.append((tag, within, doubts, is_bad))
             n_open[tag] += 1
             bad += is_bad
             within = max(within, 2 if tag == "article" else 1 if tag == "main" else 0)
+            doubtful = _is_doubtful(tag, m.attributes)
+            # an article or main part inside a doubtful element is the text itself, and what it holds is judged anew
+            doubts = doubtful if tag in ("article", "main") else doubts + doubtful
     add(page[at:])
     for b in out:
         b.text = " ".join("".join(b.parts).split())
@@ -189,16 +211,27 @@ def _second_pass(blocks: list[Block], marked: bool, otherwise: bool) -> None:
             before = b.good
 
 
-def main_blocks(page: str | None) -> list[str]:
-    blocks = blocks_of(page or "")
+def _judged(blocks: list[Block]) -> bool:
+    """Both passes over blocks; whether a block was good by itself."""
     most = max((b.within for b in blocks), default=0)
     told = any(len(b.text) >= LENGTH_LOW and not _is_linked(b) and _density(b) >= STOP_LOW for b in blocks)
     for b in blocks:
+        b.good = None
         _first_pass(b, told, b.within == most > 0)
     good = {b.within for b in blocks if b.good}
     for within in {b.within for b in blocks}:
         _second_pass([b for b in blocks if b.within == within], within == most > 0, within == most and good <= {within})
-    return [b.text for b in blocks if b.good]
+    return bool(good)
+
+
+def main_blocks(page: str | None) -> list[str]:
+    blocks = blocks_of(page or "")
+    sure = [b for b in blocks if not b.doubted]
+    # without a block that is good by itself outside doubtful elements, the text is in one of those
+    if not _judged(sure):
+        sure = blocks
+        _judged(sure)
+    return [b.text for b in sure if b.good]
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -66,6 +66,32 @@ def test_deep_pages_take_time_in_proportion():
     assert time.time() - began < 5
 
 
+@pytest.mark.parametrize("piece", ["<b ", "<!", "<b a=\"", "</"])
+def test_long_pages_of_open_tags_take_time_in_proportion(piece):
+    began = time.time()
+    main_blocks(f"<p>{LONG}</p>" + piece * (10_000_000 // len(piece)))
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("opened", ['<div class="comment-body">', '<div id="comments-section">', '<div class="sidebar-left">', '<div class="x advert-box">', '<section class="post-comments">', '<article class="comment">', '<div id="related_posts">'])
+def test_doubtful_names_beside_an_article(opened):
+    closed = f"</{opened[1:].split()[0]}>"
+    for before, after in (("<article>", "</article>"), ("<div>", "</div>")):
+        inside = f"{before}<p>{LONG}</p>{opened}<p>{OTHER} {LONG}</p>{closed}<p>{LONG}</p>{after}"
+        outside = f"{before}<p>{LONG}</p><p>{LONG}</p>{after}{opened}<p>{OTHER} {LONG}</p><p>Me too.</p>{closed}"
+        assert main_blocks(f"<body>{inside}</body>") == main_blocks(f"<body>{outside}</body>") == [LONG, LONG]
+
+
+@pytest.mark.parametrize("opened", ['<div class="content-sidebar-wrap">', '<div class="lead-block">', '<div class="has-sidebar">', '<div class="no-comments">', '<div class="comment-on-politics">', '<div class="page-header-lead">', '<div class="widget-area-free text">'])
+def test_names_that_only_sound_doubtful(opened):
+    assert main_blocks(f"<body><p>{LONG}</p>{opened}<p>{LONG}</p></div></body>") == [LONG, LONG]
+
+
+def test_a_page_all_in_doubt_is_judged_as_any():
+    assert main_blocks(f'<body><h1>Title</h1><div class="comment-body"><p>{LONG}</p><p>Short.</p></div></body>') == ["Title", LONG, "Short."]
+    assert main_blocks(f'<div class="widget-container"><article><p>{LONG}</p></article></div><p>{LONG}</p>') == [LONG, LONG]
+
+
 def test_pages_made_of_known_parts():
     """Articles between menus, notices, adverts, forms, comments and footers come out whole, with and without marks."""
     rng = random.Random(8)
