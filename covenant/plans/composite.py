@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from covenant.bindings import Roles
 from covenant.functions.dates import previous_business_day, research_day
 from covenant.operators.relational import first_by, page, waterfall, where_all
+from covenant.operators.storage import fresh_path
 from covenant.registry import query
+from covenant.sources.store import Store
 
 _RANK = "CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END"
 
@@ -127,15 +129,20 @@ def filing_search(r: Roles) -> DataFrame:
 
 @query(
     "q27_capital_demo",
-    "Q27",
-    """WITH layer8(issuer_id, rank_order, amount) AS (VALUES (1, 1, 100), (1, 2, 200), (1, 3, 150), (1, 4, 300)),
-    c AS (SELECT issuer_id, rank_order, CAST(amount AS DECIMAL(20,4)) AS amount, CAST(400 AS DECIMAL(20,4)) AS value, CAST(sum(amount) OVER (ORDER BY rank_order) AS DECIMAL(20,4)) AS cumulative FROM layer8)
-    SELECT rank_order, amount, CAST(round(value / cumulative, 2) AS DECIMAL(18,2)) AS coverage, CAST(round(greatest(0::DECIMAL(20,4), least(amount, value - (cumulative - amount))) * 100 / amount, 2) AS DECIMAL(18,2)) AS recovery FROM c""",
+    "Q27 Q26",
+    """WITH l AS (SELECT collection_id, rank_order, CAST(100 * rank_order + 10 * collection_id AS DECIMAL(20,4)) AS amount FROM collection, range(1, 9) t(rank_order)),
+    c AS (SELECT *, CAST(1500 + 20 * collection_id AS DECIMAL(20,4)) AS value, CAST(sum(amount) OVER (PARTITION BY collection_id ORDER BY rank_order) AS DECIMAL(20,4)) AS cumulative FROM l)
+    SELECT collection_id, CAST(rank_order AS INTEGER) AS rank_order, amount, CAST(round(value / cumulative, 2) AS DECIMAL(18,2)) AS coverage, CAST(round(greatest(0::DECIMAL(20,4), least(amount, value - (cumulative - amount))) * 100 / amount, 2) AS DECIMAL(18,2)) AS recovery FROM c""",
 )
 def capital_demo(r: Roles) -> DataFrame:
-    """A made-up issuer's layers under a value that pays half of them."""
-    rows = r.spark.sql("SELECT col1 AS issuer_id, col2 AS rank_order, CAST(col3 AS DECIMAL(20,4)) AS amount FROM VALUES (1, 1, 100), (1, 2, 200), (1, 3, 150), (1, 4, 300)")
-    return waterfall(rows, F.lit(400).cast("decimal(20,4)")).select("rank_order", "amount", "coverage", "recovery")
+    """Eight made-up tranches for each collection under a value that pays a part of them, seeded twice and there once."""
+    rows = r.collection.select(F.col("collection_id").alias("issuer_id"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank_order"))
+    rows = rows.select("issuer_id", "rank_order", (100 * F.col("rank_order") + 10 * F.col("issuer_id")).cast("decimal(20,4)").alias("amount"))
+    store = Store(r.spark, fresh_path(r.spark, "tranches"), rows.schema, ["issuer_id", "rank_order"])
+    for batch in (0, 1):
+        store.append(rows.join(store.newest(before=batch).select("issuer_id", "rank_order"), ["issuer_id", "rank_order"], "left_anti"), batch)
+    value = (1500 + 20 * F.col("issuer_id")).cast("decimal(20,4)")
+    return waterfall(store.read().drop("_batch"), value).select(F.col("issuer_id").alias("collection_id"), "rank_order", "amount", "coverage", "recovery")
 
 
 @query("q31_notes", "Q31 Q30", "SELECT security_id, legal_name, maturity FROM security JOIN issuer USING (issuer_id) WHERE instrument_type = 'revolver' ORDER BY maturity DESC, security_id LIMIT 50")

@@ -82,39 +82,73 @@ def current_promotion(r: Roles) -> DataFrame:
     return r.security.select("security_id", (n == 1).alias("is_current"))
 
 
-@query("s05_parallel_arrays", "S05", "SELECT '0001' AS cik, * FROM (VALUES ('a-1', '8-K', DATE '2024-01-02', '1.03,9.01'), ('a-2', '10-Q', NULL, NULL)) v(accession, form, filed, items)")
+def _payloads(r: Roles, fields: str, of: str = "issuer_id", rows: str = "security") -> DataFrame:
+    """A captured payload for each of ``of``: JSON of an expression over its rows."""
+    return getattr(r, rows).groupBy(of).agg(F.expr(f"to_json({fields}, map('ignoreNullFields', 'false'))").alias("body")).select("body")
+
+
+_SORTED = "transform(array_sort(collect_list(struct(security_id, {0} AS v))), x -> x.v)"
+
+
+@query(
+    "s05_parallel_arrays",
+    "S05",
+    """WITH s AS (SELECT *, row_number() OVER (PARTITION BY issuer_id ORDER BY security_id) AS n, count(*) OVER (PARTITION BY issuer_id) AS total FROM security)
+    SELECT CAST(issuer_id AS VARCHAR) AS cik, 'a-' || security_id AS accession, priority AS form, CASE WHEN security_id % 5 > 0 THEN maturity END AS filed, CASE WHEN security_id % 7 > 0 THEN instrument_type END AS items
+    FROM s WHERE n <= total - CASE WHEN issuer_id % 3 = 0 THEN 1 ELSE 0 END""",
+)
 def parallel_arrays(r: Roles) -> DataFrame:
-    """A submissions payload with a column an array, the shortest deciding how many rows."""
-    body = '{"cik": "0001", "filings": {"recent": {"accessionNumber": ["a-1", "a-2", "a-3"], "form": ["8-K", "10-Q"], "filingDate": ["2024-01-02", ""], "items": ["1.03,9.01", ""]}}}'
-    return payloads.recent_filings(r.spark.createDataFrame([(body,)], "body string"))
+    """A submissions payload for each issuer, with a column an array; the shortest decides how many rows."""
+    array = {
+        "accessionNumber": "concat('a-', CAST(security_id AS STRING))", "form": "priority", "filingDate": "CASE WHEN security_id % 5 > 0 THEN CAST(maturity AS STRING) ELSE '' END",
+        "items": "CASE WHEN security_id % 7 > 0 THEN instrument_type ELSE '' END",
+    }
+    arrays = {k: _SORTED.format(v) for k, v in array.items()}
+    arrays["form"] = f"slice({arrays['form']}, 1, CAST(count(*) - IF(first(issuer_id) % 3 = 0, 1, 0) AS INT))"
+    recent = ", ".join(f"'{k}', {v}" for k, v in arrays.items())
+    return payloads.recent_filings(_payloads(r, f"named_struct('cik', CAST(first(issuer_id) AS STRING), 'filings', named_struct('recent', named_struct({recent})))"))
 
 
-@query("s06_company_facts", "S06", "SELECT * FROM (VALUES ('Assets', 'USD', DATE '2023-12-31', CAST(10.5 AS DECIMAL(20,4)), 2023, 'FY'), ('Assets', 'USD', DATE '2022-12-31', CAST(9 AS DECIMAL(20,4)), 2022, 'FY')) v(concept, unit, ends_on, amount, fy, fp)")
+@query(
+    "s06_company_facts",
+    "S06",
+    "SELECT instrument_type AS concept, CASE WHEN security_id % 2 = 0 THEN 'USD' ELSE 'EUR' END AS unit, maturity AS ends_on, amount, CAST(year(maturity) AS INTEGER) AS fy, 'Q' || quarter(maturity) AS fp FROM security WHERE instrument_type IS NOT NULL",
+)
 def company_facts(r: Roles) -> DataFrame:
-    """Facts in a map of concepts of maps of units."""
-    body = '{"facts": {"us-gaap": {"Assets": {"units": {"USD": [{"end": "2023-12-31", "val": 10.5, "fy": 2023, "fp": "FY"}, {"end": "2022-12-31", "val": 9, "fy": 2022, "fp": "FY"}]}}}}}'
-    return payloads.company_facts(r.spark.createDataFrame([(body,)], "body string"))
+    """Facts in a map of concepts of maps of units, a payload for each issuer."""
+    point = "named_struct('end', CAST(maturity AS STRING), 'val', amount, 'fy', year(maturity), 'fp', concat('Q', quarter(maturity)))"
+    points = r.security.where("instrument_type IS NOT NULL").groupBy("issuer_id", F.col("instrument_type").alias("concept"), F.expr("IF(security_id % 2 = 0, 'USD', 'EUR')").alias("unit")).agg(F.collect_list(F.expr(point)).alias("points"))
+    units = points.groupBy("issuer_id", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "points"))).alias("units"))
+    facts = units.groupBy("issuer_id").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units")))).alias("concepts"))
+    return payloads.company_facts(facts.select(F.to_json(F.struct(F.struct(F.col("concepts").alias("us-gaap")).alias("facts"))).alias("body")))
 
 
-@query("s12_observations", "S12", "SELECT * FROM (VALUES (DATE '2024-01-03', CAST(4.25 AS DECIMAL(20,4))), (DATE '2024-01-01', CAST(4.5 AS DECIMAL(20,4)))) v(day, amount)")
+@query("s12_observations", "S12", "SELECT as_of_date AS day, confidence AS amount FROM alert WHERE k % 10 > 0")
 def observations(r: Roles) -> DataFrame:
-    """A series whose missing values are dots."""
-    body = '{"observations": [{"date": "2024-01-03", "value": "4.25"}, {"date": "2024-01-02", "value": "."}, {"date": "2024-01-01", "value": "4.5"}]}'
-    return payloads.observations(r.spark.createDataFrame([(body,)], "body string"))
+    """A series for each issuer, whose missing values are dots."""
+    return payloads.observations(_payloads(r, "named_struct('observations', collect_list(named_struct('date', CAST(as_of_date AS STRING), 'value', IF(k % 10 > 0, CAST(confidence AS STRING), '.'))))", rows="alert"))
 
 
-@query("s13_bond_search", "S13 F23", "SELECT * FROM (VALUES ('BBG1', 'ACME 4.5 06/15/29'), ('BBG3', 'ACME 5.5 06/15/31')) v(figi, description)")
+@query(
+    "s13_bond_search",
+    "S13 F23",
+    "SELECT 'BBG' || security_id AS figi, priority AS description FROM (SELECT *, row_number() OVER (PARTITION BY issuer_id ORDER BY security_id) AS n FROM security WHERE security_id % 3 > 0) WHERE n <= 5",
+)
 def bond_search(r: Roles) -> DataFrame:
-    """Of the hits of one exchange the first five, in their order."""
-    body = '{"data": [{"figi": "BBG1", "exchCode": "TRACE", "ticker": "ACME 4.5 06/15/29"}, {"figi": "BBG2", "exchCode": "LSE", "ticker": "x"}, {"figi": "BBG3", "exchCode": "TRACE", "ticker": "ACME 5.5 06/15/31"}]}'
-    return payloads.bonds(r.spark.createDataFrame([(body,)], "body string"))
+    """Of the hits of one exchange the first five, in their order, for each issuer that is searched."""
+    hit = "named_struct('figi', concat('BBG', CAST(security_id AS STRING)), 'exchCode', IF(security_id % 3 > 0, 'TRACE', 'LSE'), 'ticker', priority)"
+    return payloads.bonds(_payloads(r, f"named_struct('data', {_SORTED.format(hit)})"))
 
 
-@query("s17_ticker_map", "S17", "SELECT * FROM (VALUES ('AAA', 7, 'Second'), ('BBB', 9, 'Third')) v(ticker, cik, title)")
+@query(
+    "s17_ticker_map",
+    "S17",
+    "SELECT sector || '-' || country_id AS ticker, CAST(max(issuer_id) AS INTEGER) AS cik, arg_max(legal_name, issuer_id) AS title FROM issuer GROUP BY sector, country_id",
+)
 def ticker_map(r: Roles) -> DataFrame:
-    """A map of rows to one row a ticker, the last one counting."""
-    body = '{"0": {"ticker": "aaa", "cik_str": 5, "title": "First"}, "1": {"ticker": "AAA", "cik_str": 7, "title": "Second"}, "2": {"ticker": "bbb", "cik_str": 9, "title": "Third"}}'
-    return payloads.tickers(r.spark.createDataFrame([(body,)], "body string"))
+    """A map of rows for each country to one row a ticker, the last one counting, whatever its case."""
+    named = "named_struct('ticker', concat(IF(issuer_id % 2 = 0, lower(sector), sector), '-', CAST(country_id AS STRING)), 'cik_str', CAST(issuer_id AS INT), 'title', legal_name)"
+    return payloads.tickers(_payloads(r, f"map_from_entries(collect_list(struct(CAST(issuer_id AS STRING), {named})))", "country_id", "issuer"))
 
 
 @query("s18_json_props", "S18", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k, sha256(props) AS fingerprint FROM events")
