@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ from covenant.llm.arrays import Arrays, as_bytes, grouped, narrow, of_bytes, wri
 from covenant.llm.shared import SPACES, WordHasher, by_bytes, mixed, n_slices, shared_dir
 
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
+#: Stands for the words seen once, where those aren't kept apart.
+RARE = np.uint64(0x6A09E667F3BCC909)
 #: Of a second word's hash, the bytes that tell it from others after the same first word.
 LOW48 = np.uint64(0xFFFFFFFFFFFF0000)
 ADDED = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -163,14 +165,20 @@ def _words_added(folder: str, least: int):
         stay = counts >= least
         write_arrays(folder, f"words-{batch['slice'][0].as_py()}", {"hash": words[stay], "count": narrow(counts[stay])})
         top = np.argsort(-counts, kind="stable")[:64]
-        return pa.table({"slice": pa.array([batch["slice"][0].as_py()], pa.int32()), "n": [int(counts.sum())], "v": [len(words)], "texts": [sum(batch["texts"].to_pylist())], "top": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())), "tops": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
+        return pa.table({"slice": pa.array([batch["slice"][0].as_py()], pa.int32()), "n": [int(counts.sum())], "v": [len(words)], "stored": [int(stay.sum())], "texts": [sum(batch["texts"].to_pylist())], "top": pa.array([words[top].view(np.int64).tolist()], pa.list_(pa.int64())), "tops": pa.array([counts[top].tolist()], pa.list_(pa.int64()))})
 
     return run
 
 
-def _bigram_counts(slices: int, spread: np.ndarray, flush_bytes: int, hasher: Callable[[], WordHasher]):
+def _bigram_counts(slices: int, spread: np.ndarray, flush_bytes: int, hasher: Callable[[], WordHasher], common: Model | None):
+    """``common`` is the model so far, if all words that it doesn't have are to be counted as one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(common) if common else None
         for tok, begin in _held(batches, flush_bytes, hasher()):
+            if reader:
+                words, back = np.unique(tok, return_inverse=True)
+                tok = np.where(reader.counts(words) > 0, words, RARE)[back]
             # words by their place among the distinct ones of these texts: a bigram is one number
             words, _ = grouped(np.append(tok, BEGIN))
             place = np.searchsorted(words, tok).astype(np.uint64)
@@ -210,21 +218,29 @@ def _bigrams_added(folder: str, slices: int, spread: np.ndarray, least: int):
         starts = np.flatnonzero(np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
         first, second, counts = first[starts], second[starts], np.add.reduceat(counts, starts)
         part = int(batch["slice"][0].as_py())
+        # a bigram with a rare word comes once, so those of one word and the rare ones are as many as were counted
+        after_rare, rare = first == RARE, second == RARE & LOW48
+        single = after_rare | rare
+        n_single, context_of_rare, n_of_rare = int(counts[single].sum()), first[rare & ~after_rare], counts[rare & ~after_rare]
+        followed, n_followed = second[~rare], np.where(after_rare, counts, 1)[~rare]
+        first, second, counts = first[~single], second[~single], counts[~single]
         keys = bigram_key(first, second)
         by_key = np.argsort(keys)
-        new = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        by = [np.add.reduceat((counts == 1).astype(np.int64), new), np.add.reduceat((counts == 2).astype(np.int64), new), np.add.reduceat((counts > 2).astype(np.int64), new)]
-        own = ~np.isin(first[new], spread)
+        words, at = np.unique(np.concatenate([first, context_of_rare]), return_inverse=True)
+        of = lambda hit: np.bincount(at[: len(first)][hit], minlength=len(words))
+        by = [of(counts == 1) + np.bincount(at[len(first) :], n_of_rare, len(words)).astype(np.int64), of(counts == 2), of(counts > 2)]
+        own = ~np.isin(words, spread)
         by_key = by_key[counts[by_key] >= least]
         # a context that every bigram left out follows gives all to the lower order, as one that isn't there
         kept = own & (by[1] + by[2] > 0) if least > 1 else own
         write_arrays(
             folder, f"bigrams-{part}",
-            {"key": keys[by_key], "count": narrow(counts[by_key]), "context": first[new][kept], **{f"n{k + 1}": narrow(by[k][kept]) for k in range(3)}},
+            {"key": keys[by_key], "count": narrow(counts[by_key]), "context": words[kept], **{f"n{k + 1}": narrow(by[k][kept]) for k in range(3)}},
         )
-        rows: list[tuple] = [(0, part, None, None, [part, *_of_counts(counts), len(counts)])]
-        rows += [(1, part, None, None, [int(h), *(int(x[i]) for x in by)]) for i, h in zip(np.flatnonzero(~own), first[new][~own].view(np.int64), strict=True)]
-        seconds, n = grouped(second)
+        n1, *more = _of_counts(counts)
+        rows: list[tuple] = [(0, part, None, None, [part, n1 + n_single, *more, len(counts) + n_single])]
+        rows += [(1, part, None, None, [int(h), *(int(x[i]) for x in by)]) for i, h in zip(np.flatnonzero(~own), words[~own].view(np.int64), strict=True)]
+        seconds, n = grouped(followed, n_followed)
         cuts = np.searchsorted(_slice(seconds, slices), np.arange(slices + 1))
         rows += [(2, s, _short(seconds[a:z]), as_bytes(narrow(n[a:z])), None) for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if z > a]
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
@@ -265,7 +281,8 @@ def train(
 
     There are so many slices that each has about ``slice_bytes`` of the texts, and a task for each.
     Without ``singles``, what is seen once is discounted whole, so it isn't stored; it still counts
-    among the distinct words, contexts and totals.
+    among the distinct words, contexts and totals. Bigrams with a word seen once come once themselves,
+    so they are counted by their other word and not kept apart.
     """
     least = 1 if singles else 2
     spark = texts.sparkSession
@@ -274,14 +291,15 @@ def train(
     slices = slices or max(n_slices(spark), (texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // slice_bytes)
     model = Model(folder, slices)
     packed = texts.mapInArrow(_word_counts(slices, flush_bytes, hasher), "slice int, words binary, counts binary, texts long")
-    rows = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_words_added(folder, least), "slice int, n long, v long, texts long, top array<long>, tops array<long>").collect()
+    rows = packed.repartition(slices, "slice").groupBy("slice").applyInArrow(_words_added(folder, least), "slice int, n long, v long, stored long, texts long, top array<long>, tops array<long>").collect()
     model.parts = [f"words-{r.slice}" for r in rows]
     model.n_tokens, model.n_words, model.n_texts = (sum(r[c] for r in rows) for c in ("n", "v", "texts"))
     often = [w for r in rows for w, n in zip(r.top, r.tops, strict=True) if n * 4 * slices > model.n_tokens]
-    spread = np.array(sorted({*(w & 0xFFFFFFFFFFFFFFFF for w in often), int(BEGIN)}), np.uint64)
+    spread = np.array(sorted({*(w & 0xFFFFFFFFFFFFFFFF for w in often), int(BEGIN), *([] if singles else [int(RARE)])}), np.uint64)
     model.spread = spread.tolist()
+    common = None if singles else replace(model)
     counted = (
-        texts.mapInArrow(_bigram_counts(slices, spread, flush_bytes, hasher), "slice int, first binary, runs binary, second binary, counts binary")
+        texts.mapInArrow(_bigram_counts(slices, spread, flush_bytes, hasher, common), "slice int, first binary, runs binary, second binary, counts binary")
         .repartition(slices, "slice").groupBy("slice").applyInArrow(_bigrams_added(folder, slices, spread, least), _BIGRAM_FIGURES)
     )
     figures = [r.figures for r in counted.repartition(slices, "slice").groupBy("slice").applyInArrow(_followers_added(folder, least), "figures array<long>").collect()]
@@ -295,6 +313,8 @@ def train(
             wide[f[1] & 0xFFFFFFFFFFFFFFFF] = [x + y for x, y in zip(wide[f[1] & 0xFFFFFFFFFFFFFFFF], f[2:], strict=True)]
     model.spread_counts = [wide[h] for h in model.spread]
     low = np.sum([f[2:] for f in figures if f[0] == 2] or [[0] * 6], axis=0).tolist()
+    if not singles:  # a rare word follows one word
+        low[0], low[5] = low[0] + model.n_words - sum(r.stored for r in rows), low[5] + model.n_words - sum(r.stored for r in rows)
     model.low_discounts = whole(_discounts(low))
     taken = model.low_discounts[0] * low[0] + model.low_discounts[1] * low[1] + model.low_discounts[2] * low[4]
     model.low_rest = taken / low[5] if low[5] else 1.0
@@ -317,6 +337,15 @@ class Reader:
         here = keys[at] == queries
         return [np.where(here, v[at], 0).astype(np.int64) for v in values]
 
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """Of distinct words in order: how often each was seen."""
+        out = np.zeros(len(words), np.int64)
+        cuts = np.searchsorted(_slice(words, self.m.slices), np.arange(self.m.slices + 1))
+        for s, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if z > a:
+                (out[a:z],) = self._find(self.arrays(f"words-{s}.hash"), words[a:z], self.arrays(f"words-{s}.count"))
+        return out
+
     def words(self, words: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of distinct words in order: their count, how many words they follow, and as contexts: 1, 2, more."""
         out = np.zeros((5, len(words)), np.int64)
