@@ -11,7 +11,8 @@ A splitting tree deals the tickets of all sources to output shards. At each node
 put in seeded random order and the first half of them goes left: how many of each source go left is
 then a multivariate hypergeometric draw, and the node's quota vector is split exactly. A leaf's quotas
 take disjoint runs of each source's permuted blocks, and the documents of a leaf are put in random
-order there.
+order there. What the mix takes of a document is what the tree drew: its copies are counted from those draws.
+The tree's root holds a ticket for each block drawn, three for 100,000 documents at most, and no document.
 
 Defined results: a null source is one of its own, after all others; a null text has size 0; documents
 of size 0 come as often as others in their block; rows repeated are drawn together; an empty
@@ -95,8 +96,8 @@ def mix_sources(
 ) -> DataFrame:
     """One row per row of docs with size, source_size, target, copies, taken and shards added.
 
-    ``copies`` is how often the mix has the document, ``taken`` its words times that, and ``shards`` the
-    output shard of each copy. A block has at most about ``block_rows`` documents; a source has
+    ``shards`` are the output shards of the draws of a document, ``copies`` how many those are, and ``taken``
+    its words times that. A block has at most about ``block_rows`` documents; a source has
     ``usual_blocks`` at least, unless they would have fewer than ``usual_rows`` documents each. Nothing
     but block totals and the documents of one block for each source is shuffled; the documents themselves
     are only read.
@@ -146,11 +147,11 @@ def mix_sources(
     for k in range(ROUNDS):
         fit |= (F.col("_h") > F.col("_cuts")[k]) & (F.col("_h") <= F.col("_cuts")[k + 1]) & (F.col("size") <= F.col("_gaps")[k])
     cut = (F.col("_block") < F.col("_cut_block")) | ((F.col("_block") == F.col("_cut_block")) & fit)
-    copies = F.col("_whole") + F.coalesce(cut, F.lit(False)).cast("int")
-    return out.select(
-        *docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-        F.slice(F.coalesce("_shards", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"),
-    )
+    # the tree's draws of the block, of which a document that doesn't fit in what the last pass has left misses the last
+    passes = F.col("_whole") + F.coalesce(cut, F.lit(False)).cast("int")
+    drawn = out.withColumn("shards", F.slice(F.coalesce("_shards", F.array().cast("array<int>")), F.lit(1), passes))
+    copies = F.size("shards")
+    return drawn.select(*docs.columns, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "shards")
 
 
 def mixed_documents(docs: DataFrame, task_bytes: int = 64 << 20, **options) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from odd import ROWS, table
 from plain import SPACED
 
+from covenant.llm import mixing
 from covenant.llm.mixing import mix_sources, mixed_documents
 
 
@@ -74,3 +75,15 @@ def test_odd_rows(spark):
     assert mix_sources(nothing).collect() == [] and mixed_documents(nothing).collect() == []
     blank = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mix_sources(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_what_is_taken_comes_from_the_tree(spark, sf_dir, monkeypatch):
+    """With a tree that draws nothing, or leaves draws out, the mix takes nothing, or less."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = {r.doc_id: r.taken for r in mix_sources(docs).collect()}
+    real = mixing.splitting_tree
+    monkeypatch.setattr(mixing, "splitting_tree", lambda tickets, depth: real(tickets, depth).limit(0))
+    assert sum(r.taken for r in mix_sources(docs).collect()) == 0 < sum(whole.values())
+    monkeypatch.setattr(mixing, "splitting_tree", lambda tickets, depth: real(tickets, depth).where("shard >= 8"))
+    less = {r.doc_id: r.taken for r in mix_sources(docs).collect()}
+    assert all(less[i] <= whole[i] for i in whole) and 0 < sum(less.values()) < sum(whole.values())
