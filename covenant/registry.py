@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from covenant.bindings import ROLE_SQL, Roles
 
 #: Modules that register queries.
-MODULES = ("scans", "predicates", "joining", "aggregating", "windowing", "ordering", "combining", "scalars", "texts", "incremental", "composite", "records", "searching", "runs", "sequences", "screens")
+MODULES = ("scans", "predicates", "joining", "aggregating", "windowing", "ordering", "combining", "scalars", "texts", "incremental", "composite", "records", "searching", "runs", "sequences", "screens", "keeping")
 
 
 @dataclass(frozen=True)

@@ -104,6 +104,12 @@ class Store:
                 return True
         raise RuntimeError(f"{self.path} is written by too many at once")
 
+    def append_to(self, seen: Manifest, rows: DataFrame, batch: int) -> bool:
+        """Add rows as a batch if the store is still as it was seen, on which they are based; False, and nothing added, if it isn't."""
+        named = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields))
+        segment = self._write(named.withColumn("_batch", F.lit(batch).cast("long")))
+        return self._replaced(Manifest(seen.version + 1, [*seen.segments, segment], [*seen.batches, batch]))
+
     def read(self, before: int | None = None, manifest: Manifest | None = None) -> DataFrame:
         """All rows with their batch, or those of batches before one."""
         now = manifest or self.manifest()
