@@ -77,7 +77,7 @@ def heading_level(block: Column) -> Column:
 
 def is_list(block: Column) -> Column:
     lines = F.split(block, "\n")
-    return F.size(F.filter(lines, lambda line: F.rlike(line, F.lit(r"^\s*([-*+]|[0-9]+[.)])\s+")))) * 2 > F.size(lines)
+    return F.size(F.filter(lines, lambda line: F.rlike(line, F.lit(r"^\s*([-*]|[0-9]+[.)])\s+")))) * 2 > F.size(lines)
 
 
 def estimated_tokens(x: Column) -> Column:

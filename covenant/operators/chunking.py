@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 TARGET, CEILING = 2400, 4000
 _HEADING = re.compile(r"(#{1,6})\s+([^\n]+)\Z")
 _ROW = re.compile(r"\s*\|.*\|\s*\Z")
-_ITEM = re.compile(r"\s*([-*+]|[0-9]+[.)])\s+")
+_ITEM = re.compile(r"\s*([-*]|[0-9]+[.)])\s+")
 
 
 def _lines(block: str) -> list[str]:
@@ -102,8 +102,8 @@ def chunked(docs: DataFrame, key: str, pages: str, separator: str = r"\n\s*\n",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, texts in enumerate(b.column(pages).to_pylist()):
-                found = [(n, *c) for n, c in enumerate(chunks(texts or [], separator, target, ceiling))]
+            for i, texts in enumerate(b.column(pages)):  # one document's pages at a time are Python objects
+                found = [(n, *c) for n, c in enumerate(chunks(texts.as_py() or [], separator, target, ceiling))]
                 if found:
                     owner = b.column(key).take(pa.array([i] * len(found)))
                     yield pa.RecordBatch.from_arrays([owner, *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], [key, *names])

@@ -52,10 +52,10 @@ def high_water(r: Roles) -> DataFrame:
 )
 def usage_rollup(r: Roles) -> DataFrame:
     """Totals, by model and by operation, in one pass."""
-    r.alert.createOrReplaceTempView("covenant_usage")
-    return r.spark.sql(
-        "SELECT category AS model, provider AS operation, count(*) AS calls, sum(k) AS tokens, CAST(sum(confidence) AS DECIMAL(20,4)) AS cost FROM covenant_usage GROUP BY GROUPING SETS ((), (category), (provider))"
-    )
+    a = r.alert.select("category", "provider", "k", "confidence")
+    sets = a.groupingSets([[], ["category"], ["provider"]], "category", "provider")
+    sums = sets.agg(F.count("*").alias("calls"), F.sum("k").alias("tokens"), F.sum("confidence").cast("decimal(20,4)").alias("cost"))
+    return sums.withColumnsRenamed({"category": "model", "provider": "operation"})
 
 
 @query(

@@ -72,7 +72,7 @@ _MARKED = r"""'# Title' || chr(10) || chr(10) || replace(text, chr(10), chr(10)
     rf"""WITH b AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({_MARKED}, '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS b FROM document)
     SELECT doc_id, len(b) AS blocks, len(list_filter(b, lambda x: regexp_full_match(x, '(\s*\|.*\|\s*\n)+\s*\|.*\|\s*'))) AS tables,
     coalesce(list_sum(list_transform(b, lambda x: length(regexp_extract(x, '^(#{{1,6}})\s+[^\n]+$', 1)))), 0)::BIGINT AS levels,
-    len(list_filter(b, lambda x: len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '^\s*([-*+]|[0-9]+[.)])\s+'))) * 2 > len(string_split(x, chr(10))))) AS lists FROM b""".replace("\\\\", "\\"),
+    len(list_filter(b, lambda x: len(list_filter(string_split(x, chr(10)), lambda y: regexp_matches(y, '^\s*([-*]|[0-9]+[.)])\s+'))) * 2 > len(string_split(x, chr(10))))) AS lists FROM b""".replace("\\\\", "\\"),
 )
 def blocks(r: Roles) -> DataFrame:
     """Blocks of texts with a heading, a table and a list added, and of which kind they are."""
