@@ -376,24 +376,28 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
-def possible(pairs: DataFrame, prints: DataFrame, name: str) -> DataFrame:
-    """The distinct pairs (a, b), with the least need of each, whose sketches don't rule out that similarity."""
-    pairs = materialized(pairs.groupBy("a", "b").agg(F.min("need").alias("need")), f"{name}-candidates")
-    n = pairs.count()
-    if not n:
-        return pairs
-    prints = rows_of(prints, _ends(pairs), "node", bound=2 * n)
-    if 2 * n <= SENT:
+def possible(pairs: DataFrame, prints: DataFrame, n_prints: int, name: str) -> DataFrame:
+    """The distinct pairs (a, b), with the least need of each, whose sketches, of which there are ``n_prints``, don't rule out that similarity."""
+    pairs = pairs.groupBy("a", "b").agg(F.min("need").alias("need"))
+    if n_prints <= SENT:
         prints = F.broadcast(prints)
+    else:
+        pairs = materialized(pairs, f"{name}-candidates")
+        n = pairs.count()
+        if not n:
+            return pairs
+        prints = rows_of(prints, _ends(pairs), "node", bound=2 * n)
+        if 2 * n <= SENT:
+            prints = F.broadcast(prints)
     of = lambda side, x: prints.select(F.col("node").alias(side), F.col("sketch").alias(x), F.col("n_shingles").alias(f"n_{x}"))
     near = pairs.join(of("b", "two"), "b").join(of("a", "one"), "a")
     return materialized(near.select("a", "b", "need", "one", "two", "n_one", "n_two").mapInArrow(_possible, "a long, b long, need int"), f"{name}-possible")
 
 
-def compared(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def compared(pairs: DataFrame, prints: DataFrame, n_prints: int, docs: DataFrame, name: str) -> DataFrame:
     """The candidate pairs (a, b) that share need / PARTS, with how many shingles they share and have: by
     sketches first, then by the whole sets of both."""
-    pairs = possible(pairs, prints, name)
+    pairs = possible(pairs, prints, n_prints, name)
     n = pairs.count()
     if not n:
         return pairs.select("a", "b", F.lit(0).cast("long").alias("shared"), F.lit(0).cast("long").alias("total"))
@@ -404,9 +408,9 @@ def compared(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str) ->
     return materialized(both.select("a", "b", "need", "one", "two").mapInArrow(_verified, "a long, b long, shared long, total long"), f"{name}-compared")
 
 
-def links(pairs: DataFrame, prints: DataFrame, docs: DataFrame, name: str, need: int = NEED) -> DataFrame:
+def links(pairs: DataFrame, prints: DataFrame, n_prints: int, docs: DataFrame, name: str, need: int = NEED) -> DataFrame:
     """The candidate pairs (a, b) that share need / PARTS."""
-    return compared(pairs.select("a", "b", F.lit(need).alias("need")), prints, docs, name).select("a", "b")
+    return compared(pairs.select("a", "b", F.lit(need).alias("need")), prints, n_prints, docs, name).select("a", "b")
 
 
 def _pivots(balls: DataFrame, most: int) -> DataFrame:
@@ -418,7 +422,7 @@ def _pivots(balls: DataFrame, most: int) -> DataFrame:
     return others.select("h", "c", "size", "place", "n", "label", place.alias("_place")).where(F.col("_place") <= most).drop("_place").toDF("h", "p", "p_size", "p_place", "p_n", "p_label")
 
 
-def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, docs: DataFrame, first_pivots: int = 64) -> DataFrame:
+def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, n_prints: int, docs: DataFrame, first_pivots: int = 64) -> DataFrame:
     """Labels (id, component) of all documents that link, by joining members (h, a, size, place, lead) recursively."""
     labels = connected_components(edges, "turn-0")
     near_lead = edges.select(F.col("a").alias("lead"), F.col("b").alias("a"), F.lit(True).alias("linked"))
@@ -439,12 +443,12 @@ def _joined_regions(members: DataFrame, edges: DataFrame, prints: DataFrame, doc
         alone = (F.col("n") == 1).cast("int") + (F.col("p_n") == 1).cast("int")
         met = met.withColumn("balls", (alone < 2) & (F.least("size", "p_size") * 4 >= F.greatest("size", "p_size") * (1 + alone)))
         need = F.when(F.col("balls"), (1 + alone) * (PARTS // 4)).otherwise(NEED)
-        centres = compared(met.where(fit | F.col("balls")).select(F.col("p").alias("a"), F.col("c").alias("b"), need.alias("need")), prints, docs, f"turn-{turn}")
+        centres = compared(met.where(fit | F.col("balls")).select(F.col("p").alias("a"), F.col("c").alias("b"), need.alias("need")), prints, n_prints, docs, f"turn-{turn}")
         new = centres.where(PARTS * F.col("shared") >= NEED * F.col("total")).select("a", "b")
         if not new.isEmpty():
             edges = edges.unionByName(new)
             labels = connected_components(edges, f"turn-{turn}")
-        crossing = _crossing(met.where("balls"), centres, members, labels, prints, docs, f"balls-{turn}")
+        crossing = _crossing(met.where("balls"), centres, members, labels, prints, n_prints, docs, f"balls-{turn}")
         if crossing is not None and not crossing.isEmpty():
             edges = edges.unionByName(crossing)
             labels = connected_components(edges, f"crossing-{turn}")
@@ -457,7 +461,7 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, name: str) -> Dat
     return rows.join(few(labels.select(F.col("id").alias(column), "component")), column, "left").withColumn(name, F.coalesce("component", column)).drop("component")
 
 
-def _crossing(met: DataFrame, centres: DataFrame, members: DataFrame, labels: DataFrame, prints: DataFrame, docs: DataFrame, name: str) -> DataFrame | None:
+def _crossing(met: DataFrame, centres: DataFrame, members: DataFrame, labels: DataFrame, prints: DataFrame, n_prints: int, docs: DataFrame, name: str) -> DataFrame | None:
     """Links between balls that met and whose components differ, if any centres are near enough for one; ``centres``
     holds the pairs of those that are."""
     if centres.isEmpty():
@@ -479,12 +483,12 @@ def _crossing(met: DataFrame, centres: DataFrame, members: DataFrame, labels: Da
     crowds = wide.where("n > 1 and p_n > 1")
     if not crowds.isEmpty():
         between = crowds.select("h", "p", "c").join(members, ["h", "c"]).select("h", "p", F.col("a").alias("c"), F.col("size").alias("s_size"), F.col("place").alias("s_place"))
-        close = links(between.select(F.col("p").alias("a"), F.col("c").alias("b")), prints, docs, f"{name}-between", PARTS // 2)
+        close = links(between.select(F.col("p").alias("a"), F.col("c").alias("b")), prints, n_prints, docs, f"{name}-between", PARTS // 2)
         some = between.join(few(close.select(F.col("a").alias("p"), F.col("b").alias("c"))), ["p", "c"]).select("h", F.col("c").alias("s"), "s_size", "s_place", F.col("p").alias("c"))
         pairs.append((some, members))
     fit = _can_link(F.col("size"), F.col("s_size"), F.col("place"), F.col("s_place"))
     out = [few(of).join(inside, ["h", "c"]).where(fit & (F.col("s") != F.col("a"))).select(F.col("s").alias("a"), F.col("a").alias("b")) for of, inside in pairs]
-    return links(out[0] if len(out) == 1 else out[0].unionByName(out[1]), prints, docs, f"{name}-members")
+    return links(out[0] if len(out) == 1 else out[0].unionByName(out[1]), prints, n_prints, docs, f"{name}-members")
 
 
 def jaccard_components(docs: DataFrame, slice_rows: int = 1_000_000, wide: int = 10_000) -> DataFrame:
@@ -505,8 +509,9 @@ def jaccard_components(docs: DataFrame, slice_rows: int = 1_000_000, wide: int =
         prints_of_nodes = materialized(prints.select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "shingle-sketches")
     else:
         prints_of_nodes = prints.select("node", "n_shingles", "sketch")
-    edges = links(found.where("h is null"), prints_of_nodes, docs, "turn-0")
-    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place", "lead"), edges, prints_of_nodes, docs)
+    n_prints = prints_of_nodes.count()
+    edges = links(found.where("h is null"), prints_of_nodes, n_prints, docs, "turn-0")
+    labels = _joined_regions(found.where("h is not null").select("h", "a", "size", "place", "lead"), edges, prints_of_nodes, n_prints, docs)
     of_class = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "n", F.coalesce("component", "rep").alias("component"))
     of_class = materialized(of_class, "class-components")
     out = joined_by_group(prints.where("n_shingles > 0").select("doc_id", "node", *key), of_class, key, "n").select("doc_id", "node", "n_shingles", "component")

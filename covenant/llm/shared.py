@@ -107,26 +107,42 @@ def n_slices(spark: SparkSession, least: int = 32) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: So many labels of components are sent to the edges.
+MOST_LABELS = 1_000_000
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """Edges (a, b) to (id, component): the smallest id that each id of an edge reaches.
 
     An id's label meets those of its neighbours in one grouped min, which Spark combines before the
     shuffle, and labels are then twice replaced by their own labels (pointer jumping), so rounds grow with
-    the logarithm of a component's diameter. Up to a million labels are sent to the edges; beyond that both are
-    shuffled. Edges are read again each round, so they should be a written table.
+    the logarithm of a component's diameter. A label is an id of its component and no larger than the id it is
+    of, so labels are final once no edge has two: edges are held against the labels, without a shuffle where
+    labels are sent. Up to a million labels are sent to the edges; beyond that both are shuffled. Edges are
+    read again each round, so they should be a written table.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialized(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")), f"{name}-labels")
+    # there are no more labels than ends of edges
+    small = edges.limit(MOST_LABELS // 2 + 1).count() <= MOST_LABELS // 2
+    sent = F.broadcast if small else few
+
+    def further(labels: DataFrame) -> DataFrame:
+        known = sent(labels)
+        near = both.join(known.select(F.col("a").alias("b"), "label"), "b").select("a", "label")
+        stepped = near.unionByName(labels.select("a", "label")).groupBy("a").agg(F.min("label").alias("label"))
+        jump = lambda rows: rows.join(known.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left").select("a", F.least("label", "further").alias("label"))
+        return jump(jump(stepped))
+
+    labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"))
     while True:
-        known = few(labels)
-        near = both.join(known.select(F.col("a").alias("b"), "label"), "b").select("a", "label", F.lit(None).cast("long").alias("old"))
-        own = labels.select("a", "label", F.col("label").alias("old"))
-        stepped = near.unionByName(own).groupBy("a").agg(F.min("label").alias("label"), F.max("old").alias("old"))
-        jump = lambda rows: rows.join(known.select(F.col("a").alias("label"), F.col("label").alias("further")), "label", "left").select("a", "old", F.least("label", "further").alias("label"))
-        new = materialized(jump(jump(stepped)), f"{name}-labels")
-        labels = new.select("a", "label")
-        if new.where("old <> label").isEmpty():
+        # labels that are sent needn't be written between rounds
+        labels = materialized(further(further(labels)) if small else labels, f"{name}-labels")
+        known = sent(labels)
+        of = lambda side: known.select(F.col("a").alias(side), F.col("label").alias(f"of_{side}"))
+        if edges.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("of_a <> of_b").isEmpty():
             return labels.select(F.col("a").alias("id"), F.col("label").alias("component"))
+        if not small:
+            labels = further(labels)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
