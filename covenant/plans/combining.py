@@ -40,7 +40,7 @@ _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex
 
 @query(
     "u06_tiered_search",
-    "U06 U07 O14",
+    "O14",
     f"""WITH n AS (SELECT 'issuer' AS kind, issuer_id AS id, legal_name AS name FROM issuer UNION ALL SELECT 'part', p_partkey, p_name FROM part UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier),
     q AS (SELECT 'small ring' AS q), t AS (SELECT kind, id, name, {_TRIGRAMS.format(x="name")} AS a, {_TRIGRAMS.format(x="q")} AS b FROM n, q),
     m AS (SELECT kind, id, name, CASE WHEN lower(name) = 'small ring' THEN 3 WHEN lower(name) LIKE 'small ring%' THEN 2 ELSE 1 END AS tier,

@@ -14,7 +14,7 @@ from covenant.registry import query
 
 @query(
     "j01_three_way_inner",
-    "J01 J07 J08 J13",
+    "J01",
     "SELECT security_id, legal_name, country, amount FROM security JOIN issuer USING (issuer_id) JOIN layer_head USING (security_id)".replace("layer_head USING (security_id)", "(SELECT DISTINCT issuer_id AS security_id FROM layer) USING (security_id)"),
 )
 def three_way_inner(r: Roles) -> DataFrame:

@@ -77,7 +77,7 @@ def queue_head(r: Roles) -> DataFrame:
 
 @query(
     "x12_queue_transitions",
-    "X11 X12 X13 S39",
+    "X12 X13",
     f"""SELECT job_id, CASE WHEN status = 'processing' AND age > 60 THEN CASE WHEN attempts >= 3 THEN 'failed' ELSE 'pending' END WHEN status = 'failed' AND attempts < 3 AND age % 2 = 0 THEN 'pending' ELSE status END AS status,
     attempts + CASE WHEN status = 'pending' THEN 1 ELSE 0 END AS attempts FROM ({_QUEUE})""",
 )

@@ -41,12 +41,12 @@ def in_key_set(r: Roles) -> DataFrame:
     return r.issuer.join(members, "issuer_id", "left_semi").select("issuer_id", "legal_name")
 
 
-@query("f06_not_in_seen", "F06 U02 J12", "SELECT issuer_id, legal_name FROM issuer WHERE issuer_id NOT IN (SELECT issuer_id FROM security WHERE instrument_type = 'bond' AND issuer_id IS NOT NULL)")
+@query("f06_not_in_seen", "F06 U02", "SELECT issuer_id, legal_name FROM issuer WHERE issuer_id NOT IN (SELECT issuer_id FROM security WHERE instrument_type = 'bond' AND issuer_id IS NOT NULL)")
 def not_in_seen(r: Roles) -> DataFrame:
     return r.issuer.join(r.security.where("instrument_type = 'bond'"), "issuer_id", "left_anti").select("issuer_id", "legal_name")
 
 
-@query("f07_half_open_range", "F07 F08 F09", "SELECT security_id, maturity FROM security WHERE maturity > DATE '1997-01-01' AND maturity <= DATE '1997-03-31'")
+@query("f07_half_open_range", "F07", "SELECT security_id, maturity FROM security WHERE maturity > DATE '1997-01-01' AND maturity <= DATE '1997-03-31'")
 def half_open_range(r: Roles) -> DataFrame:
     d = F.col("maturity")
     return r.security.where((d > F.lit("1997-01-01").cast("date")) & (d <= F.lit("1997-03-31").cast("date"))).select("security_id", "maturity")

@@ -32,7 +32,7 @@ def weighted_vectors(r: Roles) -> DataFrame:
 
 @query(
     "q18_entity_search",
-    "Q15 Q18 Q19 Q20 Q21",
+    "T03",
     f"""WITH s AS (SELECT 'docket' AS kind, docket_id AS id, entry_no AS part, text FROM docket_entry UNION ALL SELECT 'collection', collection_id, 0, replace(name, '_', ' ') FROM collection
     UNION ALL SELECT 'document', doc_id, i, line FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM document)),
     w AS (SELECT kind, id, part, {_LEX.format(x='text')} AS w FROM s),

@@ -166,7 +166,7 @@ def attempt_outcomes(r: Roles) -> DataFrame:
 
 @query(
     "s40_landed_texts",
-    "S18 S40 S39",
+    "S18 S40",
     "SELECT filing_id, url, sha256(html) AS checksum, length(html) AS n_chars, CASE WHEN filing_id % 3 = 0 THEN sha256('an earlier text of ' || filing_id) END AS earlier FROM filing",
 )
 def landed_texts(r: Roles) -> DataFrame:

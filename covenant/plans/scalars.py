@@ -271,7 +271,7 @@ def forms_split(r: Roles) -> DataFrame:
 
 @query(
     "n11_nested_any",
-    "N11 F34 T32",
+    "N11 F34",
     "SELECT docket_id, bool_or(role <> 'system' AND length(text) > 300) AS has_long, string_agg(CASE WHEN role <> 'system' THEN substr(text, 1, 5) END, '|' ORDER BY entry_no) AS heads FROM docket_entry GROUP BY docket_id",
 )
 def nested_any(r: Roles) -> DataFrame:

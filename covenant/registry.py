@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from covenant.bindings import ROLE_SQL, Roles
 
 #: Modules that register queries.
-MODULES = ("scans", "predicates", "joining", "aggregating", "windowing", "ordering", "combining", "scalars", "texts", "incremental", "composite", "records", "searching", "runs", "sequences", "screens", "keeping")
+MODULES = ("scans", "predicates", "joining", "aggregating", "windowing", "ordering", "combining", "scalars", "texts", "incremental", "composite", "records", "searching", "runs", "sequences", "screens", "keeping", "synthesis")
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,11 @@ def all_queries() -> dict[str, Query]:
     return _QUERIES
 
 
+def all_of(name: str) -> Query:
+    """A query that a module before this one has registered."""
+    return _QUERIES[name]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, run=q.run: run(Roles(spark, sf_dir))) for name, q in all_queries().items()}
 
