@@ -146,3 +146,37 @@ def layers_with_issuer(r: Roles) -> DataFrame:
 def latest_run(r: Roles) -> DataFrame:
     """The latest run of each kind, however it ended."""
     return first_by(r.alert, ["provider"], F.desc("triggered_at"), F.desc("alert_id")).select("provider", F.col("alert_id").alias("run"), "status", F.col("triggered_at").alias("started_at"))
+
+
+@query(
+    "t32_match_texts",
+    "T32",
+    """WITH d AS (SELECT docket_id, entry_no, role, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS i FROM docket_entry),
+    t AS (SELECT docket_id, entry_no, string_agg(body, ' ' ORDER BY i) AS texts FROM d WHERE i % 3 <> 2 AND body <> '' GROUP BY docket_id, entry_no)
+    SELECT docket_id, entry_no, sha256(trim(concat_ws(' ', role, texts))) AS checksum, length(trim(concat_ws(' ', role, texts))) AS n_chars FROM docket_entry LEFT JOIN t USING (docket_id, entry_no)""",
+)
+def match_texts(r: Roles) -> DataFrame:
+    """What rules are held against: an entry's description and the texts of its documents that aren't sealed and have any."""
+    docs = F.transform(F.split("text", "\n"), lambda t, i: F.struct(t.alias("body"), (i % 3 == 2).alias("sealed")))
+    open_ = F.transform(F.filter(docs, lambda d: ~d["sealed"] & (d["body"] != "")), lambda d: d["body"])
+    text = F.trim(F.concat_ws(" ", "role", F.nullif(F.array_join(open_, " "), F.lit(""))))
+    return r.docket_entry.select("docket_id", "entry_no", F.sha2(text, 256).alias("checksum"), F.length(text).alias("n_chars"))
+
+
+@query(
+    "s39_payload_links",
+    "S39",
+    """WITH e AS (SELECT alert_id, issuer_id, provider, as_of_date, row_number() OVER (PARTITION BY provider, as_of_date ORDER BY alert_id) AS n FROM alert WHERE severity <> 'low')
+    SELECT provider, as_of_date, count(a.alert_id) AS rows_in_payload, max(e.alert_id) AS provenance FROM (SELECT alert_id, provider, as_of_date FROM alert) a LEFT JOIN e ON e.provider = a.provider AND e.as_of_date = a.as_of_date AND n = 1 GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY a.provider, a.as_of_date").replace("SELECT provider, as_of_date, count(a", "SELECT a.provider, a.as_of_date, count(a"),
+)
+def payload_links(r: Roles) -> DataFrame:
+    """Evidence written in bulk, and each payload that it came from linked to the first of it, once; payloads without any stay unlinked."""
+    payloads = Store(r.spark, fresh_path(r.spark, "linked-payloads"), "provider string, as_of_date date, rows_in_payload long, provenance long", ["provider", "as_of_date"])
+    evidence = Store(r.spark, fresh_path(r.spark, "evidence"), "alert_id long, issuer_id long, provider string, as_of_date date", ["alert_id"])
+    payloads.append(r.alert.groupBy("provider", "as_of_date").agg(F.count("*").alias("rows_in_payload"), F.lit(None).cast("long").alias("provenance")), 0)
+    for batch in (1, 2):
+        evidence.append(r.alert.where("severity <> 'low'").join(evidence.newest(before=batch).select("alert_id"), "alert_id", "left_anti").select("alert_id", "issuer_id", "provider", "as_of_date"), batch)
+        first = evidence.read().groupBy("provider", "as_of_date").agg(F.min("alert_id").alias("first"))
+        unlinked = payloads.newest(before=batch).where("provenance IS NULL").join(first, ["provider", "as_of_date"])
+        payloads.append(unlinked.select("provider", "as_of_date", "rows_in_payload", F.col("first").alias("provenance")), batch)
+    return payloads.newest()
