@@ -123,7 +123,7 @@ def sketches(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(SKETCH), n, [None, pa.py_buffer(counts.tobytes())]).cast(pa.binary())
 
 
-def _shingle_counts(slices: int, bits: int, flush: int = 4_000_000):
+def _shingle_counts(slices: int, bits: int, flush: int = 2_000_000):
     """How many documents have each shingle, as runs of the upper bits of hashes, by slice."""
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -273,7 +273,7 @@ def _windows(shingles: Order, slices: int, wide: int):
             share = place[keep] * 255 // sizes[owners[keep]]
             held.append((values[keep], ids[owners[keep]].astype(np.int64), sizes[owners[keep]].astype(np.int32), share.astype(np.uint8), rank[keep] > wide))
             n_held += int(keep.sum())
-            if n_held > 2_000_000:
+            if n_held > 1_000_000:
                 yield packed()
                 held, n_held = [], 0
         if n_held:
