@@ -42,26 +42,60 @@ KEYS = ["kind", "id", "part"]
 WHERE = ["kind", "block", "page"]
 
 
-def tokens(rows: DataFrame) -> DataFrame:
+def tokens(rows: DataFrame, heads: list[str] | None = None) -> DataFrame:
     """Rows (kind, id, part, A, B, C, D) to (kind, id, part, word, pos, weight): words that aren't stop words, by their
-    place among all words of A, then B and so on. ``weight`` is 3 for A down to 0 for D."""
+    place among all words of A, then B and so on. ``weight`` is 3 for A down to 0 for D. With ``heads``, those words that begin with one."""
     words = {p: F.filter(F.split(F.lower(F.coalesce(F.col(p), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "") for p in PARTS}
     split = rows.where("id is not null").select(*KEYS, *(w.alias(p) for p, w in words.items()))
     before, every = F.lit(0), []
     for i, p in enumerate(PARTS):
         every.append(F.transform(F.col(p), _place(before, 3 - i)))
         before = before + F.size(p)
-    return split.select(*KEYS, F.inline(F.concat(*every))).where(~F.col("word").isin(*sorted(STOP_WORDS)))
+    placed = F.concat(*every)
+    if heads is not None:
+        placed = F.filter(placed, lambda x: reduce(lambda a, b: a | b, (F.startswith(x["word"], F.lit(h)) for h in heads), F.lit(False)))
+    return split.select(*KEYS, F.inline(placed)).where(~F.col("word").isin(*sorted(STOP_WORDS)))
 
 
 def _place(before: Column, weight: int) -> Callable[[Column, Column], Column]:
     return lambda w, k: F.struct(w.alias("word"), (before + k + 1).alias("pos"), F.lit(weight).alias("weight"))
 
 
-def build(rows: DataFrame, name: str = "search-index") -> DataFrame:
-    """The index of rows (kind, id, part, A, B, C, D: texts by weight), written to the shared folder."""
-    placed = tokens(rows)
-    stems = few(shared_table(stemmed(placed.select("word").distinct()).select("word", F.col("stem").alias("lexeme")), f"{name}-stems"))
+def heads_of(lexemes: list[str]) -> list[str]:
+    """How words with these stems begin. Steps keep at least two letters of what they change, or leave a stem of two or fewer."""
+    return sorted({x[: 2 if len(x) > 2 else 1] for x in lexemes})
+
+
+def words_asked(rows: DataFrame, asked: tuple[str, ...], name: str = "search-index") -> DataFrame:
+    """(word, lexeme) of the words of rows that have a stem which one of some searches asks for, as a written table."""
+    lexemes = sorted({x for q in asked for x in search_of(rows, q).lexemes(True, False)})
+    words = tokens(rows, heads_of(lexemes)).select("word").distinct()
+    # written before it is filtered: a filter that moves under the steps of stems repeats them all
+    return shared_table(stemmed(words).select("word", F.col("stem").alias("lexeme")), f"{name}-stems").where(F.col("lexeme").isin(*lexemes))
+
+
+def has_all(text: Column, words: DataFrame, q: str) -> Column:
+    """Whether a text has what some alternative of a search wants, by its words (word, lexeme), wherever they stand."""
+    of: dict[str, list[str]] = {}
+    for r in words.collect():
+        of.setdefault(r.lexeme, []).append(r.word)
+    low = F.lower(text)
+    has = lambda x: F.rlike(low, F.lit(f"(?<![a-z0-9])(?:{'|'.join(sorted(of[x]))})(?![a-z0-9])")) if x in of else F.lit(False)
+    alternatives = [reduce(lambda a, b: a & b, (has(w) for ok, p in a if ok for w, _ in p)) for a in search_of(words, q).alternatives]
+    return reduce(lambda a, b: a | b, alternatives) if alternatives else F.lit(False)
+
+
+def build(rows: DataFrame, name: str = "search-index", asked: tuple[str, ...] | None = None, words: DataFrame | None = None) -> DataFrame:
+    """The index of rows (kind, id, part, A, B, C, D: texts by weight), written to the shared folder.
+
+    With ``asked``, searches, it has only their words, of all rows: what those searches find is the same, and what no
+    search reads isn't shuffled or written. ``words`` are the rows' ``words_asked`` where these are there already."""
+    if asked is None:
+        placed = tokens(rows)
+        stems = few(shared_table(stemmed(placed.select("word").distinct()).select("word", F.col("stem").alias("lexeme")), f"{name}-stems"))
+    else:
+        words = words_asked(rows, asked, name) if words is None else words
+        placed, stems = tokens(rows, heads_of([x for q in asked for x in search_of(rows, q).lexemes(True, False)])), few(words)
     keys = ["lexeme", *WHERE]
     block, page = (F.floor(F.col(c) / BLOCK).cast("long") for c in ("id", "part"))
     of = placed.join(stems, "word").select("lexeme", "kind", block.alias("block"), page.alias("page"), "id", "part", (F.col("pos") * 4 + F.col("weight")).alias("place"))
@@ -105,12 +139,18 @@ def worded(q: str) -> list[list[tuple[bool, list[tuple[str, int]]]]]:
     return [a for a in out if any(ok for ok, _ in a)]
 
 
+#: Stems of words that were asked for; they depend on nothing else.
+_STEMS: dict[str, str] = {}
+
+
 def search_of(index: DataFrame, q: str) -> Search:
     """A search in lexemes. The few words are stemmed where they are, without a job."""
     asked = worded(q)
     words = sorted({w for a in asked for _, p in a for w, _ in p})
-    stems = {r.word: r.stem for r in stemmed(index.sparkSession.createDataFrame([(w,) for w in words], "word string")).collect()} if words else {}
-    return Search(tuple(tuple((ok, tuple((stems[w], k) for w, k in p)) for ok, p in a) for a in asked))
+    new = [w for w in words if w not in _STEMS]
+    if new:
+        _STEMS.update({r.word: r.stem for r in stemmed(index.sparkSession.createDataFrame([(w,) for w in new], "word string")).collect()})
+    return Search(tuple(tuple((ok, tuple((_STEMS[w], k) for w, k in p)) for ok, p in a) for a in asked))
 
 
 def _value(weight: Column) -> Column:
