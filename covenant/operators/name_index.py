@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from covenant.functions.text import trigrams
-from covenant.operators.storage import shared_table
+from covenant.operators.storage import few, shared_table
 
 #: Ids in a block.
 BLOCK = 65536
@@ -29,10 +29,18 @@ LEAST = 0.3
 
 @dataclass(frozen=True)
 class Names:
-    by_trigram: DataFrame
+    """The two tables; without ``by_trigram``, ``by_name`` is the rows themselves, which each search goes through."""
+
+    by_trigram: DataFrame | None
     by_name: DataFrame
 
 
+def scanned(names: DataFrame) -> Names:
+    """Names (kind, id, name) for a few searches, of which each reads all names once; nothing is shuffled or written but what they find.
+    Rows repeated with one kind and id are names of their own, of which the most alike counts."""
+    return Names(None, names.where("name IS NOT NULL").select("kind", F.lower("name").alias("lower"), "id", "name").distinct())
+
+
 def build(names: DataFrame) -> Names:
     """The two tables of names (kind, id, name)."""
     named = names.where("name IS NOT NULL").select("kind", "id", "name")
@@ -49,9 +57,17 @@ def build(names: DataFrame) -> Names:
 
 def alike(names: Names, q: str, least: float = LEAST) -> DataFrame:
     """(kind, id, similarity) of names more alike to q than ``least``."""
-    spark = names.by_trigram.sparkSession
+    spark = names.by_name.sparkSession
     asked = [r.t for r in spark.createDataFrame([(q,)], "q string").select(F.explode(trigrams(F.col("q"))).alias("t")).collect()]
     b = len(asked)
+    if names.by_trigram is None:
+        # each distinct name is taken apart once; generated columns keep that after the names are made distinct
+        parts = F.array(F.lit(None).cast("string")) if not asked else F.array(*map(F.lit, asked))
+        of = F.transform(F.array(trigrams(F.col("lower"))), lambda t: F.struct(F.size(F.array_intersect(t, parts)).alias("shared"), F.size(t).alias("size")))
+        counted = names.by_name.select("lower").distinct().select("lower", F.inline(of))
+        near = counted.where((F.col("shared") > 0) & (F.col("shared") * (1 + least) > least * (F.col("size") + b)))
+        near = few(shared_table(near.select("lower", (F.col("shared") / (F.col("size") + b - F.col("shared"))).alias("similarity")), "names-alike"))
+        return names.by_name.join(near, "lower").groupBy("kind", "id").agg(F.max("similarity").alias("similarity"))
     ids = names.by_trigram.where(F.col("trigram").isin(*asked)).select("kind", "block", F.inline("ids"))
     # no name of other sizes can share enough
     sized = ids.where((F.col("size") > least * b) & (F.col("size") * least < b))

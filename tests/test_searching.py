@@ -101,3 +101,25 @@ def test_chunks_found_are_those_with_all_words(spark, sf_dir):
             in_order.setdefault(c.doc_id, []).append(c.chunk_index)
     found = {(x.doc_id, x.chunk_index) for x in searching.chunk_search(r).collect()}
     assert found == {(d, n) for d, ns in in_order.items() for n in ns[:50]} and found
+
+
+def test_an_index_of_the_words_asked_finds_the_same(spark):
+    texts = ["Licensed versions", "licensing of a version, licenses", "eyed and eying eyes", "a lie, lies, lied", "veri version", "y ties skies sky", None, ""]
+    rows = [("k", i, 0, t, None, None, texts[-1 - i]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "kind string, id long, part long, A string, B string, C string, D string")
+    whole = search_index.build(df)
+    asked = ("license version", "eyes or lies", "sky -ties", "of the", "absent")
+    some = search_index.build(df, asked=asked)
+    for q in asked:
+        assert sorted(search_index.matching(some, q).collect()) == sorted(search_index.matching(whole, q).collect())
+    assert {r.lexeme for r in some.select("lexeme").distinct().collect()} < {r.lexeme for r in whole.select("lexeme").distinct().collect()}
+
+
+def test_names_gone_through_are_found_as_by_tables(spark):
+    rows = [("k", i, n) for i, n in enumerate(["Abc De", "abc de f", "ABC", None, "", "zz abc", "!!"])] + [("l", 1, "abc de"), ("l", 1, "abc de")]
+    names = spark.createDataFrame(rows, "kind string, id long, name string")
+    tables, one = name_index.build(names), name_index.scanned(names)
+    for q in ("abc de", "zz", "", "none such"):
+        for find in (name_index.alike, name_index.beginning, name_index.exactly):
+            assert sorted(find(one, q).collect()) == sorted(find(tables, q).collect())
+    assert one.by_trigram is None
