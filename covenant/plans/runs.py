@@ -21,10 +21,9 @@ def _batch(day: str) -> str:
     return f"CASE WHEN {day} < DATE '{CUTS[0]}' THEN 0 WHEN {day} < DATE '{CUTS[1]}' THEN 1 ELSE 2 END"
 
 
-def _arrive(rows: DataFrame, path: str, batches: tuple[int, ...]) -> None:
-    """Batches of rows (with ``batch``) as folders of files that a stream reads, in their order."""
-    for b in batches:
-        rows.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(path)
+def _arrive(rows: DataFrame, path: str, batch: int) -> None:
+    """A batch of rows (with ``batch``) as files that a stream reads, as many as tasks wrote."""
+    rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(path)
 
 
 class _CutOff(RuntimeError):
@@ -32,11 +31,12 @@ class _CutOff(RuntimeError):
 
 
 def _restarted(rows: DataFrame, name: str, run) -> str:
-    """Two arrivals are streamed, the second is cut off after its run was half written; then the third comes and the stream is started again."""
+    """Two arrivals are streamed, the second is cut off after its run was half written; then the third comes and the stream is started again.
+
+    A stream takes all files that are there as one micro-batch, so it is started for each arrival."""
     spark = rows.sparkSession
     path = fresh_path(spark, name)
-    _arrive(rows, f"{path}/arrivals", (0, 1))
-    source = lambda: spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/arrivals")
+    source = lambda: spark.readStream.schema(rows.drop("batch").schema).parquet(f"{path}/arrivals")
 
     def cut_off(df: DataFrame, n: int) -> None:
         run(path, df, n)
@@ -44,11 +44,13 @@ def _restarted(rows: DataFrame, name: str, run) -> str:
             raise _CutOff
 
     try:
-        stream(source(), f"{path}/checkpoint", cut_off).awaitTermination()
+        for b in (0, 1):
+            _arrive(rows, f"{path}/arrivals", b)
+            stream(source(), f"{path}/checkpoint", cut_off).awaitTermination()
     except Exception as e:  # noqa: BLE001 - the stream wraps what its function raises
         if "_CutOff" not in str(e):
             raise
-    _arrive(rows, f"{path}/arrivals", (2,))
+    _arrive(rows, f"{path}/arrivals", 2)
     stream(source(), f"{path}/checkpoint", lambda df, n: run(path, df, n)).awaitTermination()
     return path
 

@@ -50,9 +50,10 @@ def discovery_run(hits: DataFrame, known: DataFrame, stores: Stores, batch: int)
     if batch in stores.runs.manifest().batches:
         return
     hits = hits.persist()
-    handled = stores.candidates.newest(before=batch)
-    filings = first_by(hits, FILING, F.asc("hit_id"))
-    fresh = filings.join(handled.select(*FILING), FILING, "left_anti")
+    handled = stores.candidates.read(before=batch).select(*FILING, "outcome")  # each filing is a candidate once
+    first = F.min(F.struct("hit_id", "provider", "problem", "verdict")).alias("first")
+    filings = hits.groupBy(*FILING).agg(first).select(*FILING, "first.*").join(handled.select(*FILING, F.lit(True).alias("done")), FILING, "left").persist()
+    fresh = filings.where("done IS NULL")
     resolvable = fresh.where("problem IS NULL AND verdict IS NULL")
     met = known.select("issuer_id").union(handled.where("outcome IN ('matched_existing', 'verified_new')").select("issuer_id")).distinct()
     first = resolvable.join(met, "issuer_id", "left_anti").groupBy("issuer_id").agg(F.min("hit_id").alias("hit_id")).withColumn("new", F.lit(True))
@@ -62,29 +63,29 @@ def discovery_run(hits: DataFrame, known: DataFrame, stores: Stores, batch: int)
     mine = stores.candidates.read().where(F.col("_batch") == batch)
     processed = mine.where("outcome IN ('matched_existing', 'verified_new')").select("issuer_id").distinct()
     evidence = hits.where("relevant").join(processed, "issuer_id", "left_semi").groupBy("issuer_id", "provider").agg(F.count("*").alias("evidence"))
-    had = stores.bundles.newest(before=batch).select("issuer_id", "provider")
+    had = stores.bundles.read(before=batch).select("issuer_id", "provider")
     stores.bundles.append(evidence, batch)
     gathered = stores.bundles.read().where(F.col("_batch") == batch)
     alerts = gathered.join(had, ["issuer_id", "provider"], "left_anti")
 
     n = lambda name: F.count_if(F.col("outcome") == name)
     of_hits = hits.agg(F.count("*").alias("examined"), F.max("at").alias("last"))
-    of_filings = filings.agg(F.count("*").alias("candidates"))
-    of_failed = fresh.agg(F.count_if(F.col("problem").isNotNull()).alias("errors"))
+    of_filings = filings.agg(F.count("*").alias("candidates"), F.count_if(F.col("done").isNull() & F.col("problem").isNotNull()).alias("errors"))
     of_mine = mine.agg(n("matched_existing").alias("resolved_existing"), n("verified_new").alias("resolved_new"), n("ambiguous").alias("ambiguous"), n("rejected").alias("rejected"))
     counts: dict = {}
-    for row in (of_hits, of_filings, of_failed, of_mine, gathered.agg(F.coalesce(F.sum("evidence"), F.lit(0)).alias("evidence")), alerts.agg(F.count("*").alias("alerts"))):
+    for row in (of_hits, of_filings, of_mine, gathered.agg(F.coalesce(F.sum("evidence"), F.lit(0)).alias("evidence")), alerts.agg(F.count("*").alias("alerts"))):
         counts |= row.first().asDict()
     previous = stores.runs.read(before=batch).agg(F.max("mark").alias("mark")).first().mark
     counts |= {"run": batch, "status": "success" if not counts["errors"] else "completed_with_errors", "mark": counts.pop("last") if not counts["errors"] else previous}
     schema = stores.runs.schema
     stores.runs.append(hits.sparkSession.createDataFrame([tuple(counts[f.name] for f in schema.fields)], schema), batch)
+    filings.unpersist()
     hits.unpersist()
 
 
 def evidence_run(texts: DataFrame, keys: list[str], find: Callable[[DataFrame], DataFrame], done: Store, found: Store, batch: int) -> None:
     """Evidence in texts (keys, text) that no earlier run has looked at. ``find`` gives rows of texts; texts without any are remembered as well."""
-    new = first_by(texts, keys, F.asc("text")).join(done.newest(before=batch).select(*keys), keys, "left_anti")
+    new = first_by(texts, keys, F.asc("text")).join(done.read(before=batch).select(*keys), keys, "left_anti")
     found.append(find(new), batch)
     done.append(new.select(*keys), batch)  # last: without it the batch is done again
 

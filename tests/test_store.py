@@ -76,3 +76,16 @@ def test_a_run_cut_off_between_its_stores_is_done_again(spark, sf_dir, monkeypat
     again = runs.discovered(r)
     assert failed and [as_set(s.read()) for s in (again.candidates, again.bundles, again.runs)] == expected
     assert os.path.isdir(f"{again.runs.path}/manifest")
+
+
+def test_an_arrival_is_written_and_read_by_many_tasks(spark):
+    arrivals = spark.range(0, 3000, numPartitions=4).select("id", (F.col("id") % 3).cast("int").alias("batch"))
+    seen = []
+
+    def run(path, df, n):
+        seen.append((n, df.count(), df.where(F.col("id") % 3 != n).count(), df.select(F.spark_partition_id()).distinct().count()))
+
+    path = runs._restarted(arrivals, "arrivals", run)
+    assert len([f for f in os.listdir(f"{path}/arrivals") if f.endswith(".parquet")]) == 12
+    assert [s[:3] for s in seen] == [(0, 1000, 0), (1, 1000, 0), (1, 1000, 0), (2, 1000, 0)]
+    assert all(parts > 1 for *_, parts in seen)
