@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from covenant.bindings import Roles
 from covenant.plans import runs
 from covenant.sources.store import Manifest, Store
+from covenant.streaming.discovery import Stores, discovery_run
 
 
 @pytest.fixture()
@@ -89,3 +90,26 @@ def test_an_arrival_is_written_and_read_by_many_tasks(spark):
     assert len([f for f in os.listdir(f"{path}/arrivals") if f.endswith(".parquet")]) == 12
     assert [s[:3] for s in seen] == [(0, 1000, 0), (1, 1000, 0), (1, 1000, 0), (2, 1000, 0)]
     assert all(parts > 1 for *_, parts in seen)
+
+
+def test_a_discovery_run_does_not_group_again_what_earlier_runs_wrote(spark, tmp_path, monkeypatch):
+    stores = Stores.at(spark, str(tmp_path))
+    monkeypatch.setattr(Store, "newest", lambda *_, **__: pytest.fail("candidates are grouped again"))
+    known = spark.createDataFrame([(2,)], "issuer_id long")
+    schema = "hit_id long, issuer_id long, accession string, provider string, at timestamp_ntz, problem string, verdict string, relevant boolean"
+    hit = lambda n, issuer, accession, problem=None, verdict=None: (n, issuer, accession, "p" if n % 2 else "q", None, problem, verdict, True)
+    arrivals = (
+        [hit(3, 1, "a"), hit(1, 1, "b"), hit(2, 1, "a"), hit(4, 2, "a"), hit(5, 3, "x", "bad"), hit(6, 4, "y", verdict="rejected"), hit(7, None, "z", verdict="ambiguous")],
+        [hit(8, 1, "a"), hit(9, 1, "c"), hit(10, 3, "x"), hit(11, 3, "w"), hit(12, 4, "y"), hit(13, 2, "v", "bad")],
+    )
+    for n, hits in enumerate((*arrivals, arrivals[1])):
+        discovery_run(spark.createDataFrame(hits, schema), known, stores, min(n, 1))
+    assert as_set(stores.candidates.read()) == sorted(
+        [
+            (1, "b", 1, "p", "verified_new", 0), (1, "a", 2, "q", "matched_existing", 0), (2, "a", 4, "q", "matched_existing", 0), (4, "y", 6, "q", "rejected", 0), (None, "z", 7, "p", "ambiguous", 0),
+            (1, "c", 9, "p", "matched_existing", 1), (3, "x", 10, "q", "verified_new", 1), (3, "w", 11, "p", "matched_existing", 1),
+        ],
+        key=repr,
+    )
+    runs_written = sorted(stores.runs.read().select("run", "examined", "candidates", "resolved_existing", "resolved_new", "ambiguous", "rejected", "evidence", "alerts", "errors").collect())
+    assert [tuple(r) for r in runs_written] == [(0, 7, 6, 2, 1, 1, 1, 4, 3, 1), (1, 6, 6, 2, 1, 0, 0, 4, 2, 1)]
