@@ -21,9 +21,28 @@ def _batch(day: str) -> str:
     return f"CASE WHEN {day} < DATE '{CUTS[0]}' THEN 0 WHEN {day} < DATE '{CUTS[1]}' THEN 1 ELSE 2 END"
 
 
+#: Rows in a file of arrivals at most, so that tasks share them evenly however the rows lay before.
+FILE_ROWS = 250_000
+
+
+def _stage(rows: DataFrame, path: str) -> None:
+    """Rows as files, those of a batch (``batch``) apart, in one pass over them."""
+    rows.write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("batch").parquet(f"{path}/staged")
+
+
 def _arrive(rows: DataFrame, path: str, batch: int) -> None:
-    """A batch of rows (with ``batch``) as files that a stream reads, as many as tasks wrote."""
-    rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(path)
+    """The staged files of a batch are moved to where a stream finds them; if it has no rows, an empty one comes."""
+    spark = rows.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    staged = at(f"{path}/staged/batch={batch}")
+    fs = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(staged):
+        rows.drop("batch").limit(0).write.mode("append").parquet(f"{path}/arrivals")
+        return
+    fs.mkdirs(at(f"{path}/arrivals"))
+    for f in fs.listStatus(staged):
+        if not fs.rename(f.getPath(), at(f"{path}/arrivals/{batch}-{f.getPath().getName()}")):
+            raise OSError(f"{f.getPath()} was not moved")
 
 
 class _CutOff(RuntimeError):
@@ -36,6 +55,7 @@ def _restarted(rows: DataFrame, name: str, run) -> str:
     A stream takes all files that are there as one micro-batch, so it is started for each arrival."""
     spark = rows.sparkSession
     path = fresh_path(spark, name)
+    _stage(rows, path)
     source = lambda: spark.readStream.schema(rows.drop("batch").schema).parquet(f"{path}/arrivals")
 
     def cut_off(df: DataFrame, n: int) -> None:
@@ -45,12 +65,12 @@ def _restarted(rows: DataFrame, name: str, run) -> str:
 
     try:
         for b in (0, 1):
-            _arrive(rows, f"{path}/arrivals", b)
+            _arrive(rows, path, b)
             stream(source(), f"{path}/checkpoint", cut_off).awaitTermination()
     except Exception as e:  # noqa: BLE001 - the stream wraps what its function raises
         if "_CutOff" not in str(e):
             raise
-    _arrive(rows, f"{path}/arrivals", 2)
+    _arrive(rows, path, 2)
     stream(source(), f"{path}/checkpoint", lambda df, n: run(path, df, n)).awaitTermination()
     return path
 

@@ -49,7 +49,6 @@ def discovery_run(hits: DataFrame, known: DataFrame, stores: Stores, batch: int)
     """
     if batch in stores.runs.manifest().batches:
         return
-    hits = hits.persist()
     handled = stores.candidates.read(before=batch).select(*FILING, "outcome")  # each filing is a candidate once
     first = F.min(F.struct("hit_id", "provider", "problem", "verdict")).alias("first")
     filings = hits.groupBy(*FILING).agg(first).select(*FILING, "first.*").join(handled.select(*FILING, F.lit(True).alias("done")), FILING, "left").persist()
@@ -80,7 +79,6 @@ def discovery_run(hits: DataFrame, known: DataFrame, stores: Stores, batch: int)
     schema = stores.runs.schema
     stores.runs.append(hits.sparkSession.createDataFrame([tuple(counts[f.name] for f in schema.fields)], schema), batch)
     filings.unpersist()
-    hits.unpersist()
 
 
 def evidence_run(texts: DataFrame, keys: list[str], find: Callable[[DataFrame], DataFrame], done: Store, found: Store, batch: int) -> None:

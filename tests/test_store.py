@@ -92,6 +92,26 @@ def test_an_arrival_is_written_and_read_by_many_tasks(spark):
     assert all(parts > 1 for *_, parts in seen)
 
 
+def test_arrivals_are_gone_through_once_and_shared_evenly(spark, monkeypatch):
+    """Rows lie in the order of their batches, as events do in the order of their days; one batch has none."""
+    monkeypatch.setattr(runs, "FILE_ROWS", 100, raising=False)
+    gone_through = spark.sparkContext.accumulator(0)
+
+    def passed(n):
+        gone_through.add(1)
+        return n
+
+    rows = spark.range(0, 2000, numPartitions=4).select(F.udf(passed, "long")("id").alias("id"), F.when(F.col("id") < 500, 0).otherwise(2).alias("batch"))
+    seen = []
+
+    def run(path, df, n):
+        seen.append((n, df.count(), df.where((F.col("id") < 500) != (n == 0)).count(), df.select(F.spark_partition_id()).distinct().count()))
+
+    runs._restarted(rows, "ordered", run)
+    assert [s[:3] for s in seen] == [(0, 500, 0), (1, 0, 0), (1, 0, 0), (2, 1500, 0)]
+    assert seen[0][3] > 1 and gone_through.value == 2000
+
+
 def test_a_discovery_run_does_not_group_again_what_earlier_runs_wrote(spark, tmp_path, monkeypatch):
     stores = Stores.at(spark, str(tmp_path))
     monkeypatch.setattr(Store, "newest", lambda *_, **__: pytest.fail("candidates are grouped again"))
